@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing_best_fit, packing_cutting_stock
+from . import chat_preference, decontamination, packing_best_fit, packing_cutting_stock, quality_qda, toxicity_fm, url_automaton
 from .common import table
 
 
@@ -16,6 +17,17 @@ def _word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _fold(n: int) -> Column:
+    """The remainder that decides which labels may be learnt from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op1_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity_fm.score(docs, labels, "toxic", _fold(5) != 0)
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_best_fit.pack(table(spark, sf_dir, "documents"), _word_vocabulary())
 
@@ -24,8 +36,28 @@ def op4_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_cutting_stock.pack(table(spark, sf_dir, "documents"), _word_vocabulary())
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op7_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_automaton.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return chat_preference.format_pairs(turns, chat_preference.neighbours(turns))
+
+
+def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality_qda.score(docs, labels, "quality", _fold(4) != 2)
+    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_matrices, op4_cutting_stock)}
+    return {f.__name__: f for f in (op1_toxicity_machine, op2_token_matrices, op4_cutting_stock, op6_decontamination, op7_url_automaton, op9_preference_pairs, op10_quality_discriminant)}
 
 
 def oracle_sql() -> dict[str, str]:
