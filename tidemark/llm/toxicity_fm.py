@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its distinct words, hashed into ``2**BITS`` buckets. From the labelled training rows
+A text's terms are its distinct words and the first 3 to 7 letters of each, which stand for a stem in
+all its forms; they are hashed into ``2**BITS`` buckets. From the labelled training rows
 a bounded sample (at most ``SAMPLE`` rows, those with the smallest hash of doc_id; every row below the
 bound is used) is taken to fit the model: buckets are ranked by how much their presence says about the
 label, the best ``KEPT`` are kept, and the machine
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import only, ship
 
-BITS = 18
+BITS = 20
 #: Most labelled rows that the model is fitted on.
-SAMPLE = 30_000
+SAMPLE = 16_000
 #: Buckets with a weight and a vector.
 KEPT = 4096
 FACTORS = 8
@@ -36,6 +37,8 @@ EPOCHS = 30
 BATCH = 512
 #: Distinct words whose bucket a Python worker remembers.
 CACHE = 400_000
+#: Letters of a word's beginnings that are terms of their own.
+STEMS = range(3, 8)
 
 _BREAK = bytes(c if c >= 0x80 or chr(c).isalnum() or c == 0x27 else 0x20 for c in range(256))
 
@@ -45,14 +48,18 @@ def terms(text: str | None) -> set[bytes]:
     return set((text or "").lower().encode("utf-8", "surrogatepass").translate(_BREAK).split())
 
 
-def bucket(word: bytes) -> int:
-    return zlib.crc32(word) & ((1 << BITS) - 1)
+def buckets(word: bytes) -> list[int]:
+    """Where a word and its beginnings fall."""
+    found = [zlib.crc32(word) & ((1 << BITS) - 1)]
+    text = word.decode("utf-8", "surrogatepass")
+    return found + [zlib.crc32(text[:n].encode("utf-8", "surrogatepass"), 1) & ((1 << BITS) - 1) for n in STEMS if n <= len(text)]
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x = [sorted({bucket(w) for w in terms(t)}) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32())), b.column(1)], names=["x", "y"])
+        x = [np.array(sorted({k for w in terms(t) for k in buckets(w)}), np.int32) for t in b.column(0).to_pylist()]
+        ends = np.cumsum([0, *map(len, x)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*x, np.zeros(0, np.int32)]).astype(np.int32))), b.column(1)], names=["x", "y"])
 
 
 @dataclass
@@ -97,7 +104,7 @@ def fit(x: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
     gain = np.where(seen >= 4, n1 * kl(p1, p) + n0 * kl(p0, p), 0)
     columns = np.sort(np.argsort(-gain, kind="stable")[:KEPT])
     columns = columns[gain[columns] > 3]
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[columns] = np.arange(len(columns))
     own = place[flat]
     used = own >= 0
@@ -136,7 +143,7 @@ def fit(x: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
 def _score(m: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {int(c): i for i, c in enumerate(m.columns)}
-        known: dict[bytes, int] = {}
+        known: dict[bytes, tuple[int, ...]] = {}
         for b in batches:
             rows = []
             for t in b.column(1).to_pylist():
@@ -146,8 +153,8 @@ def _score(m: Machine):
                     known = {}
                     new = words
                 for w in new:
-                    known[w] = place.get(bucket(w), -1)
-                rows.append(np.array(sorted({k for k in map(known.__getitem__, words) if k >= 0}), int))
+                    known[w] = tuple(place[k] for k in buckets(w) if k in place)
+                rows.append(np.array(sorted({k for own in map(known.__getitem__, words) if own for k in own}), int))
             flat, row = _flatten(rows)
             odds = m.odds(flat, row, len(rows)) if len(m.columns) else np.full(len(rows), m.bias)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(odds, -500, 500))))], names=["doc_id", "score"])
@@ -166,10 +173,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column
     # The sample is bounded by its rows, so it may be sent to the tasks that read the texts.
     own = only(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
     found = own.mapInArrow(_buckets, "x array<int>, y int").toArrow()
-    x = [np.array(v, int) for v in found.column("x").to_pylist()]
-    y = np.array(found.column("y").to_pylist(), float)
-    order = sorted(range(len(x)), key=lambda i: (x[i].tobytes(), y[i]))
-    return fit([x[i] for i in order], y[order] if len(order) else y)
+    lists = found.column("x").combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(int)
+    y = found.column("y").to_numpy().astype(float)
+    # The same order whichever task was first.
+    order = sorted(range(len(y)), key=lambda i: (zlib.crc32(flat[ends[i] : ends[i + 1]].tobytes()), ends[i + 1] - ends[i], y[i]))
+    return fit([flat[ends[i] : ends[i + 1]] for i in order], y[order] if order else y)
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column | None = None) -> DataFrame:

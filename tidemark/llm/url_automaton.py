@@ -57,7 +57,8 @@ HOST_RULES = (
 
 # Wildcard rules for URLs that no host rule fits; the rest is allowed.
 BLOCK_GLOBS = (
-    "*.ads.*/**", "*.adserver.*/**", "*.tracker.*/**", "*.casino*/**", "*.porn*/**", "*.xxx*/**", "*.torrent*/**",
+    "*casino**", "*-bets.**", "*.bets.**", "*poker**", "*porn**", "*.xxx.**", "*.adult.**", "*.adult-**", "*-adult.**",
+    "*pills**", "*viagra**", "*spam**", "*torrent**", "*.ads.**", "*.ads-**", "*adserver**", "*.tracker.**", "*.track.**",
     "**/ads/**", "**/adult/**", "**/casino/**", "**/login", "**/login/**", "**/cart", "**/cart/**", "**/cgi-bin/**",
     "**.exe", "**.zip", "**.gz", "**.apk", "**.jpg", "**.jpeg", "**.png", "**.gif", "**.mp3", "**.mp4", "**.css", "**.js",
 )
