@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_preference, decontamination, packing_best_fit, packing_cutting_stock, quality_qda, toxicity_fm, url_automaton
+from . import chat_preference, decontamination, jaccard_join, packing_best_fit, packing_cutting_stock, quality_qda, toxicity_fm, url_automaton
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op7_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_automaton.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"), k=3, p=90, q=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return chat_preference.format_pairs(turns, chat_preference.neighbours(turns))
@@ -57,7 +61,7 @@ def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_machine, op2_token_matrices, op4_cutting_stock, op6_decontamination, op7_url_automaton, op9_preference_pairs, op10_quality_discriminant)}
+    return {f.__name__: f for f in (op1_toxicity_machine, op2_token_matrices, op4_cutting_stock, op6_decontamination, op7_url_automaton, op8_jaccard_join, op9_preference_pairs, op10_quality_discriminant)}
 
 
 def oracle_sql() -> dict[str, str]:
