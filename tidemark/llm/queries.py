@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_preference, decontamination, jaccard_join, packing_best_fit, packing_cutting_stock, quality_qda, toxicity_fm, url_automaton
+from . import ann_hnsw, chat_preference, decontamination, jaccard_join, packing_best_fit, packing_cutting_stock, quality_qda, toxicity_fm, url_automaton
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op4_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_cutting_stock.pack(table(spark, sf_dir, "documents"), _word_vocabulary())
 
 
+def op5_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -61,7 +65,7 @@ def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_machine, op2_token_matrices, op4_cutting_stock, op6_decontamination, op7_url_automaton, op8_jaccard_join, op9_preference_pairs, op10_quality_discriminant)}
+    return {f.__name__: f for f in (op1_toxicity_machine, op2_token_matrices, op4_cutting_stock, op5_small_world, op6_decontamination, op7_url_automaton, op8_jaccard_join, op9_preference_pairs, op10_quality_discriminant)}
 
 
 def oracle_sql() -> dict[str, str]:
