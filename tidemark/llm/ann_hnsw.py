@@ -158,7 +158,7 @@ _INDEX = "shard int, size int, width int, top int, vectors binary, levels binary
 
 
 def _index(dim: int, largest: float):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
         x = np.array(table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
         order = np.argsort(ids, kind="stable")

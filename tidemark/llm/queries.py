@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_hnsw, chat_preference, decontamination, jaccard_join, packing_best_fit, packing_cutting_stock, quality_qda, toxicity_fm, url_automaton
+from . import ann_hnsw, chat_preference, decontamination, jaccard_join, packing_best_fit, packing_cutting_stock, pii_bootstrap, quality_qda, toxicity_fm, url_automaton
 from .common import table
 
 
@@ -32,6 +32,15 @@ def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_best_fit.pack(table(spark, sf_dir, "documents"), _word_vocabulary())
 
 
+def op3_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_bootstrap.find(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii_bootstrap.KINDS), F.sha2(pii_bootstrap.joined(F.col("base")), 256).alias("base_sha256"), pii_bootstrap.joined(F.col("spans")).alias("spans"))
+
+
 def op4_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_cutting_stock.pack(table(spark, sf_dir, "documents"), _word_vocabulary())
 
@@ -65,7 +74,7 @@ def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_machine, op2_token_matrices, op4_cutting_stock, op5_small_world, op6_decontamination, op7_url_automaton, op8_jaccard_join, op9_preference_pairs, op10_quality_discriminant)}
+    return {f.__name__: f for f in (op1_toxicity_machine, op2_token_matrices, op3_contextual_pii, op4_cutting_stock, op5_small_world, op6_decontamination, op7_url_automaton, op8_jaccard_join, op9_preference_pairs, op10_quality_discriminant)}
 
 
 def oracle_sql() -> dict[str, str]:
