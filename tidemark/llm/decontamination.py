@@ -229,5 +229,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    bad = scan(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad.distinct(), docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    cut = list(blocks(benchmark))
+    if len(cut) > 1:
+        bad = scan(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__bad"))
+        return docs.join(bad.distinct(), docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    # With one block a task knows all that decides about its documents, and nothing is shuffled.
+    ship(docs.sparkSession)
+    judge, at = _scan(cut[0], window, False), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column(at)], names=["doc_id", "text"])
+            clean = np.ones(b.num_rows, bool)
+            for found in judge(iter([both])):
+                n, hit = found.column("n_words").to_numpy(), found.column("n_hit").to_numpy()
+                clean[found.column("doc_id").to_numpy()] = ~((hit > 0) & (20 * hit >= n))
+            yield b.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,6 +125,22 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", train: Col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float, label: str = "quality", train: Column | None = None) -> DataFrame:
-    """The documents with at least this score, with all their columns."""
-    bad = score(docs, labels, label, train).where(F.col("score") < threshold).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad.distinct(), docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents with at least this score, with all their columns and in no new order.
+
+    Documents are written with their vectors once, so that neither texts are read for statistics twice
+    nor decisions joined to texts by a shuffle.
+    """
+    ship(docs.sparkSession)
+    @F.pandas_udf("array<double>")
+    def statistics(text: pd.Series) -> pd.Series:
+        return text.map(text_statistics)
+
+    store = Stored(docs.sparkSession, "quality")
+    both = store.keep(docs.withColumn("__x", statistics(F.coalesce("text", F.lit("")))), "documents")
+    model = fit(_gram(both.select("doc_id", F.col("__x").alias("x")), labels, label, F.lit(True) if train is None else train))
+
+    @F.pandas_udf("double")
+    def scored(x: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.array(x.tolist()).reshape(-1, D)), dtype=float)
+
+    return both.where(scored("__x") >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
