@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Lines and preambles that are no part of a document, by the name that is logged. The
 # flags read as Unicode, unix lines, any case and, where lines are meant, one line.
@@ -26,7 +27,7 @@ BOILERPLATE = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """HTML entities resolved and compatibility forms composed; the one step the JVM has no function for."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", html.unescape(t)))

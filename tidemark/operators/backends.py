@@ -63,7 +63,8 @@ def classify(docs: DataFrame, key: str, tokens: str, make: Callable[[], LogitBac
     """Windows of every document through the model, weighted by their tokens; error rows stay."""
     chunks = docs.select(key, F.explode_outer(token_windows(F.col(tokens), max_length, stride)).alias("ids"))
     # Nondeterministic keeps the optimiser from calling the model twice for one row.
-    scored = chunks.withColumn("p", softmax(logits_udf(make).asNondeterministic()(F.coalesce("ids", F.array().cast("array<int>")))))
+    raw = chunks.withColumn("logits", logits_udf(make).asNondeterministic()(F.coalesce("ids", F.array().cast("array<int>"))))
+    scored = raw.withColumn("p", softmax(F.col("logits")))
     good = scored.where("ids is not null and p is not null").withColumn("n", F.size("ids"))
     mean = weighted(good, (key,), "p", len(labels), "n")
     failed = scored.groupBy(key).agg(F.count_if(F.col("ids").isNull() | F.col("p").isNull()).alias("failed"))

@@ -31,3 +31,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+# The modules register their queries when they are imported.
+from . import queries_docs, queries_events, queries_models, queries_stats  # noqa: E402, F401
