@@ -87,6 +87,51 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Bits of a filter that is sent to every task: 4 MB, whatever the tables hold.
+FILTER_BITS = 1 << 25
+
+
+class Filter:
+    """A Bloom filter of fixed size with one hash: ``may_hold`` is true of every key that was put in.
+
+    It keeps most rows that a join would drop out of the join's shuffle. With more keys it lets more
+    rows through, up to all, and the join after it stays exact; its size never grows.
+    """
+
+    def __init__(self, keys: DataFrame, *columns: str):
+        import numpy as np
+
+        at = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+        words = keys.groupBy(F.floor(at / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()
+        table = np.zeros(FILTER_BITS // 64, np.int64)
+        table[words["w"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
+        self.table = keys.sparkSession.sparkContext.broadcast(table)
+
+    def may_hold(self, *columns: str) -> Column:
+        import numpy as np
+        import pandas as pd
+
+        table = self.table
+
+        def held(at: pd.Series) -> pd.Series:
+            at = at.to_numpy()
+            return pd.Series((table.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+        held.__annotations__ = {"at": pd.Series, "return": pd.Series}
+        return F.pandas_udf(held, "boolean")(F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)))
+
+
+def without(docs: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """``docs`` less the rows whose ``column`` is among the values of ``gone``'s only column."""
+    gone = gone.toDF("__gone").where("__gone is not null").distinct()
+    held = Filter(gone, "__gone")
+    marked = docs.withColumn("__may", held.may_hold(column))
+    stay = marked.where("not __may")
+    rest = marked.where("__may").join(gone, F.col(f"`{column}`") == F.col("__gone"), "left_anti")
+    return stay.unionByName(rest).drop("__may")
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z in lower case and nothing else changed."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

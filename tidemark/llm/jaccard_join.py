@@ -14,7 +14,8 @@ compared apart from each other:
    second and third time by other hashes and at last meets all such sets of its class.
 2. *Bound.* A sketch of 512 parity bits differs in at most as many bits as the sets differ in
    n-grams; pairs that differ in more than they may are dropped before any text is looked at.
-3. *Overlaps.* For the pairs left, overlaps are counted fragment by fragment and summed for each pair.
+3. *Overlaps.* Texts of the pairs left (a filter of fixed size keeps most others out of the shuffle)
+   are brought together, and overlaps are counted fragment by fragment and summed for each pair.
 
 Equal sets form one class with one representative, whatever their number. Among sets that meet,
 each is first compared with one hub of its bucket; the links found give components; after that only
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, only, release, ship
+from .common import Filter, Stored, only, release, ship, without
 from .components import components
 
 #: Words of documents handled at once in a task.
@@ -299,7 +300,9 @@ class Join:
         wanted = salted.select("hub", "salt", F.col("node").alias("doc_id"), F.col("node"))
         wanted = wanted.unionByName(salted.select("hub", "salt").distinct().select("hub", "salt", F.col("hub").alias("doc_id"), F.lit(None).cast("long").alias("node")))
         # A doc_id with several texts is taken with the one that its node's set came from.
-        texts = self.docs if self.unique else self.docs.join(nodes.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        texts = self.docs.where(Filter(wanted, "doc_id").may_hold("doc_id"))
+        if not self.unique:
+            texts = texts.dropDuplicates(["doc_id"])
         sent = texts.join(wanted, "doc_id").select("hub", "node", "text", "salt")
         n = max(8, int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         laid = sent.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("node").asc_nulls_first())
@@ -356,10 +359,12 @@ class Join:
         done = first.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
         second = store.keep(more.join(done, ["hub", "node"], "left_anti"), "pairs-2")
         links2 = self._verify(second, nodes, "links-2")
-        both = links.unionByName(links2)
-        parts = components(both, store, "parts-2")
+        self.links = links.unionByName(links2)
+        if links2.head(1):
+            # The components so far are stars, to which the new links are added.
+            stars = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            parts = components(stars.unionByName(links2), store, "parts-2")
         store.drop("open", "buckets", "pairs-1", "pairs-2")
-        self.links = both
 
         named = nodes.select("s1", F.col("doc_id").alias("node")).join(parts, "node", "left").select("s1", F.coalesce("component", "node").alias("component"))
         if not self.unique:
@@ -389,8 +394,7 @@ def one_of_each(docs: DataFrame, k: int = 5, p: int = 8, q: int = 10) -> DataFra
     down to one row, the one whose text comes first.
     """
     found = link_components(docs, k, p, q)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    left = without(docs, found.where("doc_id <> component_id").select("doc_id"), "doc_id")
     ids = left.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     if ids[0] == ids[1]:
         return left
