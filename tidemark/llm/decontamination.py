@@ -154,10 +154,8 @@ def _scan(items: list[tuple[str, str | None]], window: int, several: bool):
             yield doc, row, len(ids), int(mine.sum()), bits, sorted({n for n, *_ in own}), _maximal(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         windows = Windows(items, window)
-        get, row = windows.vocab.get, TaskContext.get().partitionId() << 40
+        get = windows.vocab.get
         schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("item_start", pa.int64()), ("words", pa.int64())])))])
 
         def out(docs: list) -> pa.RecordBatch:
@@ -165,10 +163,10 @@ def _scan(items: list[tuple[str, str | None]], window: int, several: bool):
 
         docs, held = [], 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text, row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 words = words_of(text)
                 docs.append((doc, row, [get(w, 0) for w in words]))
-                held, row = held + len(words), row + 1
+                held += len(words)
                 if held >= SHARD_WORDS:
                     yield out(docs)
                     docs, held = [], 0
@@ -204,7 +202,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and
     matches (all maximal verbatim matches: item, place in either, words)."""
     ship(docs.sparkSession)
-    source = only(docs, "doc_id", "text")
+    # The same row has the same number in each pass over the documents.
+    source = only(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     cut = list(blocks(benchmark))
     parts = [source.mapInArrow(_scan(b, window, len(cut) > 1), SCHEMA) for b in cut]
     sha = F.sha2(F.concat_ws(",", "items"), 256)
@@ -239,7 +238,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column(at)], names=["doc_id", "text"])
+            number = pa.array(np.arange(b.num_rows))
+            both = pa.RecordBatch.from_arrays([number, b.column(at), number], names=["doc_id", "text", "row"])
             clean = np.ones(b.num_rows, bool)
             for found in judge(iter([both])):
                 n, hit = found.column("n_words").to_numpy(), found.column("n_hit").to_numpy()
