@@ -73,8 +73,9 @@ class Model:
             return np.full(len(x), self.share)
         density = []
         for k in (0, 1):
-            z = (x - self.mean[k]) @ self.whiten[k].T
-            density.append(-0.5 * ((z * z).sum(axis=1) + self.log_det[k]))
+            # Not a matrix product, whose last digits depend on the number of rows.
+            z = np.einsum("ij,kj->ik", x - self.mean[k], self.whiten[k])
+            density.append(-0.5 * (np.einsum("ij,ij->i", z, z) + self.log_det[k]))
         odds = (density[1] - density[0]) / self.temper + np.log(self.share / (1 - self.share))
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
