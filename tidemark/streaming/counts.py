@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def daily(events: DataFrame, time: str = "ts", late: str = "2 days") -> DataFrame:
     """Events a day and type; on a stream a day is final once the watermark has passed it."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     source = events.withWatermark(time, late) if events.isStreaming else events
     out = source.groupBy(F.window(time, "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return out.select(F.to_date("w.start").alias("day"), "event_type", "n")
