@@ -56,6 +56,7 @@ BITMAP_BITS = 1 << 20
 
 _SPAN = "array<struct<start:long,finish:long,value:string>>"
 _EMPTY = f"cast(array() as {_SPAN})"
+_NONE = "cast(array() as array<struct<start:long,order:int,finish:long,kind:string>>)"
 
 
 def spans_of(text: Column, form: str) -> Column:
@@ -129,16 +130,21 @@ def _context(text: Column, start: Column) -> Column:
     return F.array_compact(F.array(F.when(two != "", F.regexp_replace(two, r"\s+", " ")), label))
 
 
+def _with_forms(df: DataFrame) -> DataFrame:
+    """A column for each kind with its spans in ``text``."""
+    may = F.col("text").rlike(ANY)
+    gates = {"email": F.col("text").contains("@"), "ip": F.col("text").contains("."), "card": F.lit(True), "phone": F.col("text").contains("+")}
+    found = {k: F.when(may & gates[k], spans_of(F.col("text"), FORMS[k])).otherwise(F.expr(_EMPTY)) for k in KINDS}
+    return df.withColumns({f"__{k}": F.filter(found[k], _checked(k)) for k in KINDS})
+
+
 def annotate(docs: DataFrame) -> DataFrame:
     """doc_id with ``seeds`` (kind, start, finish, value, patterns) and ``candidates`` (the same, no kind)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = only(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    df = _with_forms(df)
+    df = df.withColumn("seeds", F.array_sort(F.concat(*(F.transform(f"__{kind}", _tagged(i, kind)) for i, kind in enumerate(KINDS)))))
     may = F.col("text").rlike(ANY)
-    gates = {"email": F.col("text").contains("@"), "ip": F.col("text").contains("."), "card": F.lit(True), "phone": F.col("text").contains("+")}
-    for kind in KINDS:
-        found = F.when(may & gates[kind], spans_of(F.col("text"), FORMS[kind])).otherwise(F.expr(_EMPTY))
-        df = df.withColumn(kind, F.filter(found, _checked(kind)))
-    df = df.withColumn("seeds", F.array_sort(F.concat(*(F.transform(kind, _tagged(i, kind)) for i, kind in enumerate(KINDS)))))
     tokens = F.when(may, F.filter(spans_of(F.col("text"), TOKEN), lambda s: F.length(_digits(s["value"])) >= LEAST_DIGITS)).otherwise(F.expr(_EMPTY))
     clear = F.filter(tokens, lambda s: ~F.exists("seeds", lambda b: (b["start"] < s["finish"]) & (s["start"] < b["finish"])))
     named = F.transform(clear, lambda s: F.struct(s["start"].alias("start"), s["finish"].alias("finish"), F.sha2(F.lower(s["value"]), 256).alias("instance"), _context(F.col("text"), s["start"]).alias("patterns")))
@@ -153,15 +159,25 @@ def _bit(h: Column) -> Column:
     return F.pmod(h, F.lit(BITMAP_BITS))
 
 
-def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """How often each pattern occurs in all documents, whatever stands after it."""
-    hashed = patterns.select(_pattern_hash(F.col("pattern")).alias("h"))
-    words = hashed.groupBy(F.floor(_bit(F.col("h")) / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (_bit(F.col("h")) % 64).cast("int"))).alias("bits")).collect()
+def _bitmap(hashes: DataFrame) -> Column | None:
+    """A constant of fixed size with a bit for each value of the column ``h``; null without values."""
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (_bit(F.col("h")) % 64).cast("int")))
+    words = hashes.groupBy(F.floor(_bit(F.col("h")) / 64).cast("int").alias("w")).agg(bits.alias("bits")).collect()
     bitmap = [0] * (BITMAP_BITS // 64)
     for w in words:
         bitmap[w["w"]] = w["bits"]
-    table = F.from_json(F.lit(str(bitmap)), "array<bigint>")  # a constant, folded when the query is planned
-    if not words:
+    return F.from_json(F.lit(str(bitmap)), "array<bigint>") if words else None  # folded when the query is planned
+
+
+def _inside(bitmap: Column, h: Column) -> Column:
+    bit = _bit(h)
+    return F.call_function("shiftright", F.get(bitmap, F.floor(bit / 64).cast("int")), (bit % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """How often each pattern occurs in all documents, whatever stands after it."""
+    bitmap = _bitmap(patterns.select(_pattern_hash(F.col("pattern")).alias("h")))
+    if bitmap is None:
         return patterns.select("pattern", F.lit(0).cast("long").alias("total"))
     list_ = F.split(F.lower(F.trim(F.coalesce(F.col("text"), F.lit("")))), r"\s+")
     # A pattern is two words, or a label, with a word after it.
@@ -170,9 +186,7 @@ def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     two = F.when(n > 2, F.zip_with(F.slice("w", F.lit(1), n - 2), F.slice("w", F.lit(2), n - 2), lambda a, b: _pattern_hash(F.concat(a, F.lit(" "), b)))).otherwise(F.array().cast("array<long>"))
     label = F.transform(F.filter(F.slice("w", F.lit(1), n - 1), lambda a: a.rlike("[:=#]$")), _pattern_hash)
     h = of_words.select(F.explode(F.concat(two, label)).alias("h"))
-    bit = _bit(F.col("h"))
-    inside = F.call_function("shiftright", F.get(table, F.floor(bit / 64).cast("int")), (bit % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    counts = h.where(inside).groupBy("h").agg(F.count(F.lit(1)).alias("total"))
+    counts = h.where(_inside(bitmap, F.col("h"))).groupBy("h").agg(F.count(F.lit(1)).alias("total"))
     return patterns.withColumn("h", _pattern_hash(F.col("pattern"))).join(counts, "h", "left").select("pattern", F.coalesce("total", F.lit(0)).alias("total"))
 
 
@@ -207,15 +221,18 @@ class Extraction:
                 weights = fixed.unionByName(gained)
         self.accepted = scored.where(F.col("score") >= ACCEPT).join(backed, ["pattern", "kind"])
 
-    def spans(self) -> DataFrame:
-        """row, doc_id, seeds and all spans (kind, start, finish), by start and then kind."""
+    def discovered(self) -> DataFrame:
+        """row and ``more``, the spans that accepted patterns stand before, for rows that have any."""
         rank = reduce(lambda c, x: c.when(F.col("kind") == x[1], x[0]), enumerate(KINDS), F.when(F.lit(False), 0))
         places = self.rows.select("row", F.explode("candidates").alias("s")).select("row", "s.start", "s.finish", F.explode("s.patterns").alias("pattern"))
         best = places.join(self.accepted, "pattern").groupBy("row", "start", "finish").agg(F.max(F.struct("score", (-rank).alias("r"), "kind")).alias("b"))
-        more = best.select("row", F.struct("start", (-F.col("b.r")).alias("order"), "finish", F.col("b.kind").alias("kind")).alias("s")).groupBy("row").agg(F.collect_list("s").alias("more"))
+        return best.select("row", F.struct("start", (-F.col("b.r")).alias("order"), "finish", F.col("b.kind").alias("kind")).alias("s")).groupBy("row").agg(F.collect_list("s").alias("more"))
+
+    def spans(self) -> DataFrame:
+        """row, doc_id, seeds and all spans (kind, start, finish), by start and then kind."""
         base = F.transform("seeds", lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["finish"].alias("finish"), s["kind"].alias("kind")))
-        empty = F.expr("cast(array() as array<struct<start:long,order:int,finish:long,kind:string>>)")
-        return self.rows.join(more, "row", "left").select("row", "doc_id", base.alias("base"), F.array_sort(F.concat(base, F.coalesce("more", empty))).alias("spans"))
+        both = self.rows.join(self.discovered(), "row", "left")
+        return both.select("row", "doc_id", base.alias("base"), F.array_sort(F.concat(base, F.coalesce("more", F.expr(_NONE)))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -227,14 +244,32 @@ def find(docs: DataFrame) -> DataFrame:
     return Extraction(docs).spans().select("doc_id", "base", "spans")
 
 
+def _placed(order: int, kind: str):
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["finish"].alias("finish"), F.lit(kind).alias("kind"))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; n_chars, if it is there,
-    counts anew. Rows that repeat doc_id and text have the same spans, so they are joined by these."""
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    keyed = docs.withColumn("__key", key)
-    found = Extraction(keyed.select(F.col("__key").alias("doc_id"), "text")).spans().where(F.size("spans") > 0)
-    spans = found.groupBy(F.col("doc_id").alias("__key")).agg(F.min("spans").alias("__spans"))
-    both = keyed.join(spans, "__key", "left")
+    counts anew.
+
+    Seeds are found again where they are replaced, so only discovered spans are joined to texts, and a
+    bitmap of fixed size keeps most documents without any out of that join. Rows that repeat a text
+    have the same spans, so texts are joined by their hash.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumn("__key", F.xxhash64(text, F.sha2(text, 256)))
+    work = Extraction(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    more = work.rows.join(work.discovered(), "row").groupBy(F.col("doc_id").alias("__key")).agg(F.min(F.array_sort("more")).alias("__more"))
+    more = work.store.keep(more, "discovered")
+    bitmap = _bitmap(more.select(F.col("__key").alias("h")))
+    if bitmap is None:
+        both = keyed.withColumn("__more", F.expr(_NONE))
+    else:
+        held = keyed.where(_inside(bitmap, F.col("__key"))).join(more, "__key", "left").select(*keyed.columns, "__more")
+        both = keyed.where(~_inside(bitmap, F.col("__key"))).withColumn("__more", F.expr(_NONE)).unionByName(held)
+    forms = _with_forms(both)
+    spans = F.array_sort(F.concat(*(F.transform(f"__{kind}", _placed(i, kind)) for i, kind in enumerate(KINDS)), F.coalesce("__more", F.expr(_NONE))))
+    ready = forms.withColumn("__spans", spans)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -245,7 +280,8 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["finish"]).alias("at"), F.when(over, acc["out"]).otherwise(put).alias("out"))
 
     clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    out = both.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean))
+    some = F.size("__spans") > 0
+    out = ready.withColumn("text", F.when(some, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
