@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_hnsw, chat_preference, decontamination, jaccard_join, packing_best_fit, packing_cutting_stock, pii_bootstrap, quality_qda, toxicity_fm, url_automaton
+from . import ann_hnsw, chat_preference, decontamination, jaccard_join, oracles, packing_best_fit, packing_cutting_stock, pii_bootstrap, quality_qda, toxicity_fm, url_automaton
 from .common import table
 
 
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": oracles.DECONTAMINATION, "op7_url_automaton": oracles.url_filter(), "op8_jaccard_join": oracles.JACCARD, "op9_preference_pairs": oracles.PREFERENCES}
