@@ -103,9 +103,9 @@ class Fit:
     def _sandwich(self, middle: np.ndarray) -> np.ndarray:
         return self.inverse @ middle @ self.inverse
 
-    def _products(self, df: DataFrame, weight: Column) -> np.ndarray:
+    def _products(self, df: DataFrame, weight: Column, cols: list[Column]) -> np.ndarray:
         pairs = [(i, j) for i in range(self.k) for j in range(i, self.k)]
-        row = df.agg(*(F.sum(self.cols[i] * self.cols[j] * weight) for i, j in pairs)).first()
+        row = df.agg(*(F.sum(cols[i] * cols[j] * weight) for i, j in pairs)).first()
         out = np.zeros((self.k, self.k))
         for (i, j), s in zip(pairs, row, strict=True):
             out[i, j] = out[j, i] = s
@@ -116,7 +116,12 @@ class Fit:
 
     def hc3(self, df: DataFrame) -> np.ndarray:
         e, h = F.col("residual"), F.col("leverage")
-        return self._sandwich(self._products(self.with_rows(df), e * e / ((1 - h) * (1 - h))))
+        names = [f"__x{i}" for i in range(self.k)]
+        # Kept as columns, or every sum would hold the whole expression of the leverage.
+        rows = self.with_rows(df).select(*(c.alias(n) for c, n in zip(self.cols, names, strict=True)), (e * e / ((1 - h) * (1 - h))).alias("__w")).persist()
+        middle = self._products(rows, F.col("__w"), [F.col(n) for n in names])
+        rows.unpersist()
+        return self._sandwich(middle)
 
     def hac(self, df: DataFrame, lags: int, order: str) -> np.ndarray:
         """Bartlett weights over ``lags`` rows in order, without a small-sample correction."""
@@ -124,21 +129,14 @@ class Fit:
         names = [f"__u{i}" for i in range(self.k)]
         rows = rows.select(order, *((c * F.col("residual")).alias(n) for c, n in zip(self.cols, names, strict=True)))
         w = Window.orderBy(order)
-        sums = []
-        for lag in range(lags + 1):
-            for i in range(self.k):
-                for j in range(self.k):
-                    sums.append((lag, i, j))
-        lagged = rows.select(*names, *(F.lag(n, lag).over(w).alias(f"{n}_{lag}") for lag in range(1, lags + 1) for n in names))
-        part = lambda lag, j: F.col(names[j]) if lag == 0 else F.col(f"{names[j]}_{lag}")
-        row = lagged.agg(*(F.sum(F.col(names[i]) * part(lag, j)) for lag, i, j in sums)).first()
-        middle = np.zeros((self.k, self.k))
-        for (lag, i, j), s in zip(sums, row, strict=True):
-            weight = 1 - lag / (lags + 1)
-            middle[i, j] += weight * (s or 0.0)
-            if lag:
-                middle[j, i] += weight * (s or 0.0)
-        return self._sandwich(middle)
+        # The lags of a row enter a sum with their weights, so one column stands for all of them: the middle
+        # is the sum of u (u/2 + weighted lags)' and its transpose.
+        behind = lambda n: sum(((1 - lag / (lags + 1)) * F.coalesce(F.lag(n, lag).over(w), F.lit(0.0)) for lag in range(1, lags + 1)), F.col(n) / 2)
+        lagged = rows.select(*names, *(behind(n).alias(f"{n}_b") for n in names))
+        pairs = [(i, j) for i in range(self.k) for j in range(self.k)]
+        row = lagged.agg(*(F.sum(F.col(names[i]) * F.col(f"{names[j]}_b")) for i, j in pairs)).first()
+        half = np.array(row, float).reshape(self.k, self.k)
+        return self._sandwich(half + half.T)
 
     def table(self, covariance: np.ndarray) -> list[tuple]:
         """(term, coefficient, std_error, statistic, p_value, ci_lower, ci_upper)"""
