@@ -13,12 +13,22 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of one Arrow batch: with texts of any length in them, ten times as many (the default) would
+#: take more memory than an executor's Python workers may have.
+BATCH_ROWS = 1000
+
 _SHIPPED: set[str] = set()
 _OWN: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives executors this package, once per application; they need not see the driver's folders."""
+    """Gives executors this package, once per application; they need not see the driver's folders.
+
+    Also makes Arrow batches small enough for whole texts.
+    """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(batch)) > BATCH_ROWS:
+        spark.conf.set(batch, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

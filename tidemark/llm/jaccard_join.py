@@ -46,9 +46,9 @@ from .common import Filter, Stored, only, release, ship, without
 from .components import components
 
 #: Words of documents handled at once in a task.
-GROUP_WORDS = 500_000
+GROUP_WORDS = 200_000
 #: Sets that a task remembers, to send the signatures of equal sets once.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 SKETCH_LONGS = 8
 #: Fragments in which the overlap of a pair is counted.
 COUNT_FRAGMENTS = 4
@@ -345,11 +345,12 @@ class Join:
         release(spark)
 
         # Then all that met and are in different components still.
-        placed = nodes.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        own = buckets.join(placed, "s1")
+        placed = nodes.select("s1", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        own = buckets.select("key", "s1").join(placed.select("s1", "doc_id", F.coalesce("component", "doc_id").alias("component")), "s1").drop("s1")
         split = Window.partitionBy("key")
-        open_ = own.withColumn("c0", F.min("component").over(split)).withColumn("c1", F.max("component").over(split)).where("c0 < c1")
-        open_ = store.keep(open_.select("key", "doc_id", "n", "sketch", "component", "c0"), "open")
+        unsettled = own.withColumn("c0", F.min("component").over(split)).withColumn("c1", F.max("component").over(split)).where("c0 < c1").drop("c1")
+        # Sizes and sketches only join what is left.
+        open_ = store.keep(unsettled.join(nodes.select("doc_id", "n", "sketch"), "doc_id"), "open")
         l = open_.where("component <> c0").select("key", *(F.col(c).alias(f"l_{c}") for c in ("doc_id", "n", "sketch", "component")))  # noqa: E741
         r = open_.select("key", *(F.col(c).alias(f"r_{c}") for c in ("doc_id", "n", "sketch", "component")))
         # Both sides outside the least component would come twice.

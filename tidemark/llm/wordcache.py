@@ -19,7 +19,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Chunks kept per Python worker; a full cache is emptied, so memory has a bound.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 500_000
 #: Characters of text whose missing words are merged together.
 GROUP_CHARS = 4_000_000
 #: Words with more bytes than this go through the library.
