@@ -90,13 +90,15 @@ def _flatten(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def fit(x: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
     """Trains on rows of distinct buckets."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         bias = 0.0 if not len(y) else float(np.log(max(share, 1e-4) / max(1 - share, 1e-4)))
         return Machine(np.zeros(0, int), bias, np.zeros(0), np.zeros((0, FACTORS)))
     n1, n0 = y.sum(), len(y) - y.sum()
-    flat, row = _flatten(x)
-    seen = np.bincount(flat, minlength=1 << BITS)
-    toxic = np.bincount(flat, y[row], 1 << BITS)
+    # Row by row: a row's buckets are distinct, and no copy of all rows is made.
+    seen, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for r, t in zip(x, y, strict=True):
+        seen[r] += 1
+        toxic[r] += t
     # Log-likelihood ratio of presence and label; terms in fewer than 4 rows say too little.
     p1, p0 = (toxic + 0.5) / (n1 + 1), (seen - toxic + 0.5) / (n0 + 1)
     p = (seen + 0.5) / (len(y) + 1)
@@ -106,10 +108,8 @@ def fit(x: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
     columns = columns[gain[columns] > 3]
     place = np.full(1 << BITS, -1, np.int32)
     place[columns] = np.arange(len(columns))
-    own = place[flat]
-    used = own >= 0
-    own, row = own[used], row[used]
-    ends = np.searchsorted(row, np.arange(len(x) + 1))
+    rows = [p[p >= 0] for p in (place[r] for r in x)]
+    own, ends = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
 
     random = np.random.default_rng(seed)
     m = Machine(columns, float(np.log(share / (1 - share))), np.zeros(len(columns)), random.normal(0, 0.02, (len(columns), FACTORS)))
@@ -120,13 +120,13 @@ def fit(x: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
             cols = np.concatenate([own[ends[i] : ends[i + 1]] for i in batch])
-            rows = np.repeat(np.arange(len(batch)), ends[batch + 1] - ends[batch])
-            sums = np.stack([np.bincount(rows, m.factor[cols, f], len(batch)) for f in range(FACTORS)], axis=1)
-            odds = m.odds(cols, rows, len(batch))
+            whose = np.repeat(np.arange(len(batch)), ends[batch + 1] - ends[batch])
+            sums = np.stack([np.bincount(whose, m.factor[cols, f], len(batch)) for f in range(FACTORS)], axis=1)
+            odds = m.odds(cols, whose, len(batch))
             error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y[batch]) / len(batch)
-            e = error[rows]
+            e = error[whose]
             gw = np.bincount(cols, e, len(columns)) + decay * m.weight
-            gv = np.stack([np.bincount(cols, e * (sums[rows, f] - m.factor[cols, f]), len(columns)) for f in range(FACTORS)], axis=1) + decay * m.factor
+            gv = np.stack([np.bincount(cols, e * (sums[whose, f] - m.factor[cols, f]), len(columns)) for f in range(FACTORS)], axis=1) + decay * m.factor
             gb = float(error.sum())
             step += 1
             for k, g in ((0, gw), (2, gv), (4, gb)):
