@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import config
+from tidemark.plans import queries_models
 from tidemark.operators import aggregate, backends, cache, evaluate, events, ingest, markets, quality, topics, views
 from tidemark.sources import files, sinks
 from tidemark.stats import dist, ols, tests as rank_tests
@@ -275,3 +276,15 @@ def test_settings():
     for bad in ({"stride": 510}, {"provider": "other"}, {"max_length": 0}, {"nonsense": 1}):
         with pytest.raises(ValueError):
             config.load(base | bad, {})
+
+
+def test_topics_learn_from_every_document(spark):
+    """One iteration over all documents gives each topic-term weight its whole count: priors plus all words."""
+    docs = spark.createDataFrame([(i, f"alpha beta gamma word{chr(97 + i % 5)}x only{chr(97 + i % 26)}y") for i in range(300)], "doc_id long, text string")
+    for seed in (1, 2):
+        model, _, _ = topics.lda(docs, "text", 3, seed=seed, max_df=10**6, iterations=1)
+        fitted = model.stages[-1]
+        v = fitted.vocabSize()
+        assert abs(fitted.topicsMatrix().toArray().sum() - (300 * 5 + v)) < 1e-3
+    assert topics.MOST_TERMS > 262_144
+    assert set(queries_models.q_topics_lda(spark, "/root/testdata/sf0.001").columns) == {"doc_id", "topic", "topic_weight"}

@@ -162,8 +162,8 @@ def q_jaccard_category(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("q_topics_lda")
 def q_topics_lda(spark: SparkSession, sf: str) -> DataFrame:
-    _, assigned, _ = topics.lda(table(spark, sf, "conversations").where("text is not null"), "text", 4, iterations=3)
-    return assigned.select("conv_id", "turn", "topic", F.round("topic_weight", 4).alias("topic_weight"))
+    _, assigned, _ = topics.lda(table(spark, sf, "documents").where("text is not null"), "text", 4)
+    return assigned.select("doc_id", "topic", F.round("topic_weight", 4).alias("topic_weight"))
 
 
 @register("q_model_windows")
