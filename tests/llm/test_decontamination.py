@@ -73,3 +73,15 @@ def test_empty_tables(spark, empty, odd):
     assert decontamination.scan(empty, none).collect() == []
     assert {r.n_hit for r in decontamination.scan(odd, none).collect()} == {0}
     assert decontamination.remove(odd, none).count() == odd.count()
+
+
+def test_several_blocks_judge_rows_not_ids(spark, monkeypatch):
+    """A contaminated row takes no clean row along that shares its doc_id, or a null one."""
+    items = [(1, " ".join(f"p{i}" for i in range(15))), (2, " ".join(f"q{i}" for i in range(15)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, [(None, items[0][1]), (None, "clean a"), (None, "clean b"), (5, items[1][1]), (5, "clean c"), (6, "clean d")])
+    want = ["clean a", "clean b", "clean c", "clean d"]
+    assert sorted(r.text for r in decontamination.remove(docs, bench).collect()) == want
+    monkeypatch.setattr(decontamination, "blocks", lambda b: iter([[(str(i), t)] for i, t in items]))
+    kept = decontamination.remove(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == want

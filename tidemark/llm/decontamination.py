@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, ship
+from .common import Stored, only, ship
 
 WINDOW = 13
 #: Words of documents in one suffix array.
@@ -201,14 +201,18 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and
     matches (all maximal verbatim matches: item, place in either, words)."""
-    ship(docs.sparkSession)
     # The same row has the same number in each pass over the documents.
     source = only(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    cut = list(blocks(benchmark))
+    return _judged(source, list(blocks(benchmark)), window).drop("row")
+
+
+def _judged(source: DataFrame, cut: list[list[tuple[str | None, str | None]]], window: int) -> DataFrame:
+    """Of each row of ``source`` (doc_id, text, row) what scan() returns, with its row."""
+    ship(source.sparkSession)
     parts = [source.mapInArrow(_scan(b, window, len(cut) > 1), SCHEMA) for b in cut]
     sha = F.sha2(F.concat_ws(",", "items"), 256)
     if len(parts) == 1:
-        found = parts[0].select("doc_id", "n_words", "n_hit", "items", "matches")
+        found = parts[0].select("row", "doc_id", "n_words", "n_hit", "items", "matches")
     else:
         both = parts[0]
         for p in parts[1:]:
@@ -218,10 +222,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"),
         )
         union = F.udf(lambda ps: _join_bits(list(ps)), "long")
-        found = joined.select("doc_id", "n_words", union("parts").alias("n_hit"), "items", "matches")
+        found = joined.select("row", "doc_id", "n_words", union("parts").alias("n_hit"), "items", "matches")
     n_hit, n_words = F.col("n_hit"), F.col("n_words")
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"),
+        "row", "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"), "matches",
     )
 
@@ -230,8 +234,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     """The documents that are not contaminated, with all their columns."""
     cut = list(blocks(benchmark))
     if len(cut) > 1:
-        bad = scan(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__bad"))
-        return docs.join(bad.distinct(), docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+        # Rows are numbered and written first, so that each keeps its number in all passes.
+        named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("row", F.monotonically_increasing_id())
+        numbered = Stored(docs.sparkSession, "decontamination").keep(named, "numbered")
+        place = {c: F.col(f"c{docs.columns.index(c)}").alias(c) for c in ("doc_id", "text")}
+        bad = _judged(numbered.select(*place.values(), "row"), cut, window).where("contaminated").select("row")
+        return numbered.join(bad, "row", "left_anti").drop("row").toDF(*docs.columns)
     # With one block a task knows all that decides about its documents, and nothing is shuffled.
     ship(docs.sparkSession)
     judge, at = _scan(cut[0], window, False), docs.columns.index("text")
