@@ -85,3 +85,19 @@ def test_several_blocks_judge_rows_not_ids(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "blocks", lambda b: iter([[(str(i), t)] for i, t in items]))
     kept = decontamination.remove(docs, bench)
     assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == want
+
+
+def test_items_without_id_are_searched(spark, monkeypatch):
+    """As in the oracle: their words are hit, they count as one item, and the hash leaves them out."""
+    p, q, s = (" ".join(f"{c}{i}" for i in range(15)) for c in "pqs")
+    items = [(None, p), (None, q), (7, s)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, [(1, p + " " + q), (2, s + " " + p), (3, "clean")])
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {1: (30, 1, sha(""), True), 2: (30, 2, sha("7"), True), 3: (0, 0, sha(""), False)}
+    read = lambda: {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.scan(docs, bench).collect()}
+    assert read() == want
+    assert [r.doc_id for r in decontamination.remove(docs, bench).collect()] == [3]
+    monkeypatch.setattr(decontamination, "blocks", lambda b: iter([[(i if i is None else str(i), t)] for i, t in items]))
+    assert read() == want
+    assert [r.doc_id for r in decontamination.remove(docs, bench).collect()] == [3]

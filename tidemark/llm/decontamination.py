@@ -16,7 +16,9 @@ The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, so w
 bound; with more blocks, the documents are read once for each and the hits of all blocks are joined.
 
 Null texts have no words, as have empty ones: nothing hit, not contaminated. Items with null, empty
-or word-less text have no windows; of items with the same text each counts. Repeated documents are
+or word-less text have no windows; of items with the same text each counts. Items with a null item_id are
+searched like others; in n_items all that a document holds count as one, items_sha256 leaves them out, and
+their matches have a null item_id. Repeated documents are
 judged alike. Very long documents make a shard of their own. Extra columns are ignored.
 """
 
@@ -115,17 +117,22 @@ def search(text: np.ndarray, windows: Windows) -> Iterator[tuple[int, np.ndarray
         yield w, place, which, sources
 
 
-def _maximal(places: list[tuple[str, int, int, int]]) -> list[dict]:
+def _by_name(name: str | None) -> tuple[bool, str]:
+    """Null last."""
+    return name is None, name or ""
+
+
+def _maximal(places: list[tuple[str | None, int, int, int]]) -> list[dict]:
     """Occurrences (item, start, item_start, words) that follow each other, joined."""
     out: list[dict] = []
     last: tuple | None = None
-    for name, start, item_start, w in sorted(places, key=lambda p: (p[0], p[1] - p[2], p[1])):
+    for name, start, item_start, w in sorted(places, key=lambda p: (_by_name(p[0]), p[1] - p[2], p[1])):
         if last == (name, start - item_start) and start == before + 1:
             out[-1]["words"] += 1
         else:
             out.append({"item_id": name, "start": start, "item_start": item_start, "words": w})
         last, before = (name, start - item_start), start
-    return sorted(out, key=lambda m: (m["start"], m["item_id"], m["item_start"]))
+    return sorted(out, key=lambda m: (m["start"], _by_name(m["item_id"]), m["item_start"]))
 
 
 def _scan(items: list[tuple[str, str | None]], window: int, several: bool):
@@ -151,7 +158,7 @@ def _scan(items: list[tuple[str, str | None]], window: int, several: bool):
             own = found.get(k, [])
             mine = hit[begins[k] : begins[k] + len(ids)]
             bits = np.packbits(mine).tobytes() if own and several else None
-            yield doc, row, len(ids), int(mine.sum()), bits, sorted({n for n, *_ in own}), _maximal(own)
+            yield doc, row, len(ids), int(mine.sum()), bits, sorted({n for n, *_ in own}, key=_by_name), _maximal(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(items, window)
@@ -184,11 +191,11 @@ def _join_bits(parts: list[bytes]) -> int:
     return total.bit_count()
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str, str | None]]]:
+def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, str | None]]]:
     """The benchmark's items, at most so many words at a time (one item at least)."""
-    block: list[tuple[str, str | None]] = []
+    block: list[tuple[str | None, str | None]] = []
     held = 0
-    for r in only(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").toLocalIterator():
+    for r in only(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
         n = len(words_of(r["text"]))
         if block and held + n > most:
             yield block
