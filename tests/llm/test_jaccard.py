@@ -57,3 +57,10 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     got = dict((r.node, r.component) for r in components(links, Stored(spark, "t"), "c").collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_a_single_short_text(spark):
+    """Two or three words are all that a group of texts has, at shingles of five."""
+    for t, n in (("two words", 1), ("now three words", 1), ("one", 1), ("", 0)):
+        (row,) = jaccard_join.link_components(frame(spark, [(3, t)]).coalesce(1)).collect()
+        assert (row.doc_id, row.n_shingles, row.component_id) == (3, n, 3)

@@ -80,7 +80,7 @@ def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarra
     total = len(words)
     h = mix(words, 1)
     with np.errstate(over="ignore"):
-        for j in range(1, k):
+        for j in range(1, min(k, total)):
             h[: total - j] = mix(h[: total - j] * _M[1] + words[j:], j + 1)
     parts, sizes = [], np.zeros(len(split) + 1, np.int64)
     for i, (m, e) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):
