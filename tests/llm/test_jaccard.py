@@ -64,3 +64,12 @@ def test_a_single_short_text(spark):
     for t, n in (("two words", 1), ("now three words", 1), ("one", 1), ("", 0)):
         (row,) = jaccard_join.link_components(frame(spark, [(3, t)]).coalesce(1)).collect()
         assert (row.doc_id, row.n_shingles, row.component_id) == (3, n, 3)
+
+
+def test_a_row_without_id_stands_for_no_other(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [*base[:-1], "other"]
+    docs = frame(spark, [(None, " ".join(base)), (4, " ".join(base)), (None, " ".join(near)), (9, " ".join(near))]).coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_components(docs).collect()}
+    assert got == {None: None, 4: 4, 9: 4}
+    assert sorted(r.doc_id or 0 for r in jaccard_join.one_of_each(docs).collect()) == [0, 0, 4]

@@ -227,9 +227,12 @@ def _describe(k: int, p: int, q: int):
             if len(some):
                 s1[some] = mix(np.add.reduceat(mix(h, 11), begins[some]), 12)
                 s2[some] = np.add.reduceat(mix(h, 13), begins[some])
-            # Of equal sets in a task one stands for all: they link through their common hash.
+            # Of equal sets in a task one stands for all: they link through their common hash. Rows with
+            # a null doc_id link with nothing and stand for none.
             first = np.zeros(len(n), bool)
             for i in some.tolist():
+                if ids[i] is None:
+                    continue
                 mark = (int(s1[i]), int(s2[i]))
                 if mark not in seen:
                     seen[mark] = None
