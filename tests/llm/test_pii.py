@@ -75,3 +75,26 @@ def test_query_columns(spark, sf_small, empty):
     for r in rows:
         assert r.base_sha256 == hashlib.sha256(brute(texts[r.doc_id]).encode()).hexdigest()
     assert pii.find(empty).collect() == [] and pii.redact(empty).collect() == []
+
+
+def test_behind_a_pattern_no_digits_are_needed(spark):
+    """Short, grouped and digitless identifiers behind accepted patterns are spans, wherever they begin."""
+    seeds = [(i, f"some words then Call me:  +1 555 010 {1000 + i} and more") for i in range(9)]
+    seeds += [(20 + i, f"you may Write to: user{i}@example.com about it") for i in range(9)]
+    unseen = {
+        100: ("now call me: 555 010 199 please", "now call me: <PHONE> please"),
+        101: ("now call me: (555) 0199, please", "now call me: <PHONE>, please"),
+        102: ("now call me: 555-01 or not", "now call me: <PHONE> or not"),
+        103: ("so write to: jane.doe@intranet, soon", "so write to: <EMAIL>, soon"),
+        104: ('so write to: "jane(at)example.com" soon', 'so write to: "<EMAIL>" soon'),
+        105: ("nothing to call at 555 010 199 here", "nothing to call at 555 010 199 here"),
+        106: ("é call  me:\n 55 (01) - 2\nwrite to: -- ok", "é call  me:\n <PHONE>\nwrite to: -- ok"),
+        107: ("now call me: 12 +1 555 010 1000 end", "now call me: <PHONE> <PHONE> end"),
+    }
+    docs = frame(spark, seeds + [(i, t) for i, (t, _) in unseen.items()])
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert {i: clean[i] for i in unseen} == {i: t for i, (_, t) in unseen.items()}
+    for r in pii.find(docs).collect():
+        if r.doc_id == 103:
+            ((kind, a, b),) = [(s.kind, s.start, s.finish) for s in r.spans]
+            assert kind == "email" and unseen[103][0][a:b] == "jane.doe@intranet"
