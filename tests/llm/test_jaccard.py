@@ -73,3 +73,15 @@ def test_a_row_without_id_stands_for_no_other(spark):
     got = {r.doc_id: r.component_id for r in jaccard_join.link_components(docs).collect()}
     assert got == {None: None, 4: 4, 9: 4}
     assert sorted(r.doc_id or 0 for r in jaccard_join.one_of_each(docs).collect()) == [0, 0, 4]
+
+
+def test_texts_that_share_an_id_are_compared_as_themselves(spark):
+    text = lambda c: [f"{c}{i}" for i in range(60)]
+    near = lambda c: " ".join([*text(c)[:-1], "other"])
+    pairs = [(5, " ".join(text(c))) for c in "abcd"] + [(10 + i, near(c)) for i, c in enumerate("abcd")] + [(10, " ".join(text("e"))), (5, " ".join(text("a"))), (None, near("a")), (5, None), (5, "")]
+    docs = frame(spark, pairs)
+    assert {r.component_id for r in jaccard_join.link_components(docs).where("doc_id is not null").collect()} == {5}
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    want = [(5, " ".join(text(c))) for c in "abcd"] + [(10, " ".join(text("e"))), (0, near("a")), (5, "")]
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(want)

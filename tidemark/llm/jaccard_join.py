@@ -24,8 +24,8 @@ between components is lost, and a large group of near copies gives as many pairs
 not the square of that.
 
 Nulls and texts without words have an empty set and link with nothing. Texts with fewer words than a
-shingle are one shingle. Rows that share a doc_id are one document in the graph of links, and each
-row reports its own set size; a null doc_id has a null component. An empty table gives an empty
+shingle are one shingle. Rows that share a doc_id are one component, though each text is compared
+as itself, and each row reports its own set size; a null doc_id has a null component. An empty table gives an empty
 result; extra columns are ignored. Hashes of n-grams and sets have 64 bits: of ten billion different
 sets two or three pairs would be taken for equal by chance.
 """
@@ -199,27 +199,28 @@ def sketches(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
 
 
-_DESCRIBED = "doc_id long, n long, s1 long, s2 long, sketch array<long>, keys array<long>"
+_DESCRIBED = "doc_id long, t long, n long, s1 long, s2 long, sketch array<long>, keys array<long>"
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
     for b in batches:
-        ids, texts, held = [], [], 0
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        ids, texts, marks, held = [], [], [], 0
+        for i, t, m in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
             ids.append(i)
             texts.append(t)
+            marks.append(m)
             held += len(t or "") // 6
             if held >= GROUP_WORDS:
-                yield ids, texts
-                ids, texts, held = [], [], 0
+                yield ids, texts, marks
+                ids, texts, marks, held = [], [], [], 0
         if ids:
-            yield ids, texts
+            yield ids, texts, marks
 
 
 def _describe(k: int, p: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[tuple[int, int], None] = OrderedDict()
-        for ids, texts in _groups(batches):
+        for ids, texts, named in _groups(batches):
             h, begins = shingle_sets(texts, k)
             n = np.diff(begins)
             s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
@@ -245,10 +246,10 @@ def _describe(k: int, p: int, q: int):
             ends = np.concatenate(([0], np.cumsum(np.bincount(whose, minlength=len(n))))).astype(np.int32)
             marks = sketches(h, begins)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
+                [pa.array(ids, pa.int64()), pa.array(named, pa.int64()), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH_LONGS), pa.array(marks.ravel())),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64)))],
-                names=["doc_id", "n", "s1", "s2", "sketch", "keys"],
+                names=["doc_id", "t", "n", "s1", "s2", "sketch", "keys"],
             )
 
     return run
@@ -282,12 +283,17 @@ def _overlaps(k: int):
     return run
 
 
+def _text_key(doc_id: str, text: str) -> Column:
+    """Stands for a text together with its doc_id, where doc_ids repeat."""
+    return F.xxhash64(doc_id, text)
+
+
 class Join:
     """One run of the join over ``docs``; ``k`` words a shingle, linked at similarity ``p / q``."""
 
     def __init__(self, docs: DataFrame, k: int, p: int, q: int):
         ship(docs.sparkSession)
-        self.docs, self.k, self.p, self.q = only(docs, "doc_id", "text"), k, p, q
+        self.docs, self.k, self.p, self.q = only(docs, "doc_id", "text").withColumn("t", _text_key("doc_id", "text")), k, p, q
         self.store = Stored(docs.sparkSession, "jaccard")
 
     def _may_link(self, a: str, b: str) -> Column:
@@ -297,36 +303,52 @@ class Join:
         return (self.q * F.least(na, nb) >= self.p * F.greatest(na, nb)) & (differ * (self.q + self.p) <= (self.q - self.p) * (na + nb))
 
     def _verify(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-        """Of (hub, node) pairs of doc_ids those that link, as (u, v)."""
+        """Of pairs of sets, as _PAIR, those that link, as (u, v), the sets' ids in the graph."""
         per_hub = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_HUB).alias("salts"))
         salted = pairs.join(per_hub, "hub").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
-        wanted = salted.select("hub", "salt", F.col("node").alias("doc_id"), F.col("node"))
-        wanted = wanted.unionByName(salted.select("hub", "salt").distinct().select("hub", "salt", F.col("hub").alias("doc_id"), F.lit(None).cast("long").alias("node")))
-        # A doc_id with several texts is taken with the one that its node's set came from.
-        texts = self.docs.where(Filter(wanted, "doc_id").may_hold("doc_id"))
+        wanted = salted.select("hub", "salt", F.col("node_t").alias("t"), F.col("node"))
+        wanted = wanted.unionByName(salted.select("hub", "salt", F.col("hub_t").alias("t")).distinct().withColumn("node", F.lit(None).cast("long")))
+        # A set's text is the one that its node was made of, whatever others have its doc_id.
+        texts = self.docs.where(Filter(wanted, "t").may_hold("t"))
         if not self.unique:
-            texts = texts.dropDuplicates(["doc_id"])
-        sent = texts.join(wanted, "doc_id").select("hub", "node", "text", "salt")
+            texts = texts.dropDuplicates(["t"])
+        sent = texts.join(wanted, "t").select("hub", "node", "text", "salt")
         n = max(8, int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         laid = sent.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("node").asc_nulls_first())
         counted = laid.select("hub", "node", "text").mapInArrow(_overlaps(self.k), "a long, b long, fragment int, shared long")
         shared = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-        size = nodes.select("doc_id", "n")
-        full = shared.join(size.select(F.col("doc_id").alias("a"), F.col("n").alias("an")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("bn")), "b")
+        size = lambda c: nodes.select(F.col("s1").alias(c), F.col("n").alias(f"{c}n"), F.col("id").alias(f"{c}_id"))
+        full = shared.join(size("a"), "a").join(size("b"), "b")
         linked = full.where((self.p + self.q) * F.col("shared") >= self.p * (F.col("an") + F.col("bn")))
-        return self.store.keep(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), name)
+        return self.store.keep(linked.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")), name)
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id of each row, and set_id, equal for equal sets."""
+        rows, named = self.sets()
+        named = named.select("s1", self._doc("component").alias("component"))
+        if not self.unique:
+            named = self._same_ids(rows, named)
+        return rows.join(named, "s1", "left").select(
+            "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"), F.col("s1").alias("set_id")
+        )
+
+    def _doc(self, id_: str) -> Column:
+        return F.col(id_) if self.unique else F.col(f"{id_}.doc_id")
+
+    def sets(self) -> tuple[DataFrame, DataFrame]:
+        """Rows (doc_id, t, n, s1) and, for each set that has a doc_id, the least id of a set that links lead to.
+
+        A set's id is its smallest doc_id, with the set's own hash beside it where doc_ids repeat.
+        """
         store, spark = self.store, self.docs.sparkSession
         all_rows = store.keep(self.docs.mapInArrow(_describe(self.k, self.p, self.q), _DESCRIBED), "described")
-        rows = store.keep(all_rows.select("doc_id", "n", "s1", "s2"), "rows")
+        rows = store.keep(all_rows.select("doc_id", "t", "n", "s1"), "rows")
         counted = rows.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
         self.unique = counted[0] == counted[1]
         # One node for each set: its smallest doc_id, combined before the shuffle.
         nodes = store.keep(
-            all_rows.where("n > 0 and doc_id is not null").groupBy("s1").agg(F.min(F.struct("doc_id", "n", *(F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH_LONGS)))).alias("x"))
-            .select("s1", "x.doc_id", "x.n", F.array(*(F.col(f"x.k{i}") for i in range(SKETCH_LONGS))).alias("sketch")), "nodes",
+            all_rows.where("n > 0 and doc_id is not null").groupBy("s1").agg(F.min(F.struct("doc_id", "t", "n", *(F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH_LONGS)))).alias("x"))
+            .select("s1", F.col("x.doc_id") if self.unique else F.struct("x.doc_id", "s1"), "x.t", "x.n", F.array(*(F.col(f"x.k{i}") for i in range(SKETCH_LONGS))).alias("sketch")).toDF("s1", "id", "t", "n", "sketch"), "nodes",
         )
         sent = all_rows.where("doc_id is not null").select(F.explode("keys").alias("key"), "s1")
         bucket = Window.partitionBy("key")
@@ -336,30 +358,31 @@ class Join:
         del all_rows, sent, met
         release(spark)
 
-        side = lambda c: nodes.select(F.col("s1").alias(c), F.col("doc_id").alias(f"{c}_doc"), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
+        side = lambda c: nodes.select(F.col("s1").alias(c), F.col("t").alias(f"{c}_t"), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
         # First each set with the two hubs that it shares the most segments with.
         common = buckets.where("s1 <> hub").groupBy("hub", F.col("s1").alias("node")).agg(F.count(F.lit(1)).alias("agree"))
         near = common.join(side("hub"), "hub").join(side("node"), "node").where(self._may_link("hub_", "node_"))
         best = Window.partitionBy("node").orderBy(F.desc("agree"), "hub")
-        chosen = near.withColumn("r", F.row_number().over(best)).where("r <= 2").select(F.col("hub_doc").alias("hub"), F.col("node_doc").alias("node"))
-        first = store.keep(chosen.where("hub <> node"), "pairs-1")
+        chosen = near.withColumn("r", F.row_number().over(best)).where("r <= 2").select("hub", "node", "hub_t", "node_t")
+        first = store.keep(chosen, "pairs-1")
         links = self._verify(first, nodes, "links-1")
         parts = components(links, store, "parts-1")
         release(spark)
 
         # Then all that met and are in different components still.
-        placed = nodes.select("s1", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        own = buckets.select("key", "s1").join(placed.select("s1", "doc_id", F.coalesce("component", "doc_id").alias("component")), "s1").drop("s1")
+        placed = nodes.select("s1", "id").join(parts.withColumnRenamed("node", "id"), "id", "left")
+        own = buckets.select("key", "s1").join(placed.select("s1", F.coalesce("component", "id").alias("component")), "s1")
         split = Window.partitionBy("key")
         unsettled = own.withColumn("c0", F.min("component").over(split)).withColumn("c1", F.max("component").over(split)).where("c0 < c1").drop("c1")
         # Sizes and sketches only join what is left.
-        open_ = store.keep(unsettled.join(nodes.select("doc_id", "n", "sketch"), "doc_id"), "open")
-        l = open_.where("component <> c0").select("key", *(F.col(c).alias(f"l_{c}") for c in ("doc_id", "n", "sketch", "component")))  # noqa: E741
-        r = open_.select("key", *(F.col(c).alias(f"r_{c}") for c in ("doc_id", "n", "sketch", "component")))
+        open_ = store.keep(unsettled.join(nodes.select("s1", "t", "n", "sketch"), "s1"), "open")
+        l = open_.where("component <> c0").select("key", *(F.col(c).alias(f"l_{c}") for c in ("s1", "t", "n", "sketch", "component")))  # noqa: E741
+        r = open_.select("key", *(F.col(c).alias(f"r_{c}") for c in ("s1", "t", "n", "sketch", "component")))
         # Both sides outside the least component would come twice.
-        once = (F.col("r_component") < F.col("l_component")) & (F.col("l_doc_id") != F.col("r_doc_id"))
+        once = F.col("r_component") < F.col("l_component")
         more = l.join(r, (l["key"] == r["key"]) & once & self._may_link("l_", "r_"))
-        more = more.select(F.least("l_doc_id", "r_doc_id").alias("hub"), F.greatest("l_doc_id", "r_doc_id").alias("node")).distinct()
+        low, high = (f(F.struct(F.col("l_s1").alias("s1"), F.col("l_t").alias("t")), F.struct(F.col("r_s1").alias("s1"), F.col("r_t").alias("t"))) for f in (F.least, F.greatest))
+        more = more.select(low["s1"].alias("hub"), high["s1"].alias("node"), low["t"].alias("hub_t"), high["t"].alias("node_t")).distinct()
         done = first.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
         second = store.keep(more.join(done, ["hub", "node"], "left_anti"), "pairs-2")
         links2 = self._verify(second, nodes, "links-2")
@@ -370,13 +393,7 @@ class Join:
             parts = components(stars.unionByName(links2), store, "parts-2")
         store.drop("open", "buckets", "pairs-1", "pairs-2")
 
-        named = nodes.select("s1", F.col("doc_id").alias("node")).join(parts, "node", "left").select("s1", F.coalesce("component", "node").alias("component"))
-        if not self.unique:
-            named = self._same_ids(rows, named)
-        found = rows.join(named, "s1", "left").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"), F.col("s1").alias("set_id")
-        )
-        return found
+        return rows, nodes.select("s1", F.col("id").alias("node")).join(parts, "node", "left").select("s1", F.coalesce("component", "node").alias("component"))
 
     def _same_ids(self, rows: DataFrame, named: DataFrame) -> DataFrame:
         """Components of sets that share a doc_id are one."""
@@ -392,16 +409,19 @@ def link_components(docs: DataFrame, k: int = 5, p: int = 8, q: int = 10) -> Dat
 
 
 def one_of_each(docs: DataFrame, k: int = 5, p: int = 8, q: int = 10) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with all its columns.
+    """One document of each group of texts that links lead to, that with the smallest doc_id, with all its columns.
 
-    Rows with a null doc_id stay, as do all but the last of rows that repeat a doc_id: those are cut
-    down to one row, the one whose text comes first.
+    Rows with a null doc_id stay. Texts that share nothing but their doc_id all stay; of rows with one
+    doc_id and one set of shingles (or none) one stays.
     """
-    found = link_components(docs, k, p, q)
-    left = without(docs, found.where("doc_id <> component_id").select("doc_id"), "doc_id")
-    ids = left.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if ids[0] == ids[1]:
-        return left
-    order = Window.partitionBy("doc_id").orderBy("text")
-    ranked = left.withColumn("__r", F.row_number().over(order))
-    return ranked.where("doc_id is null or __r = 1").drop("__r")
+    join = Join(docs, k, p, q)
+    rows, named = join.sets()
+    placed = rows.where("doc_id is not null").join(named, "s1", "left")
+    if join.unique:
+        return without(docs, placed.where("n > 0 and doc_id <> component").select("doc_id"), "doc_id")
+    stays = (F.col("n") == 0) | ((F.col("component.doc_id") == F.col("doc_id")) & (F.col("component.s1") == F.col("s1")))
+    one = placed.where(stays).groupBy("doc_id", "s1").agg(F.min("t").alias("t"))
+    gone = join.store.keep(placed.select("t").join(one.select("t"), "t", "left_anti"), "gone")
+    left = without(docs.withColumn("__t", _text_key("doc_id", "text")), gone.select("t"), "__t")
+    ranked = left.where("doc_id is not null").withColumn("__r", F.row_number().over(Window.partitionBy("__t").orderBy("text"))).where("__r = 1").drop("__r")
+    return ranked.unionByName(left.where("doc_id is null")).drop("__t")
