@@ -1,10 +1,14 @@
 import re
+import tracemalloc
+from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import jaccard_join
 from tidemark.llm.components import components
-from tidemark.llm.common import Stored
+from tidemark.llm.common import Stored, without
 
 from .conftest import ODD, frame
 
@@ -85,3 +89,68 @@ def test_texts_that_share_an_id_are_compared_as_themselves(spark):
     assert kept.columns == docs.columns
     want = [(5, " ".join(text(c))) for c in "abcd"] + [(10, " ".join(text("e"))), (0, near("a")), (5, "")]
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(want)
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    word = "Ab" * 900_000  # longer than what is hashed at once
+    texts = ["one Two\nTHREE", None, "", " two\x0bone ", "é\x1cİ ab", word, f"x {word.lower()} y", "three" + " " * 2_000_000 + "one"]
+    got, counts = jaccard_join.words_of(pa.array(["skipped", *texts]).slice(1))
+    want = [w for t in texts for w in (t or "").encode().lower().split()]
+    assert counts.tolist() == [len((t or "").encode().split()) for t in texts]
+    by_word = {}
+    for h, w in zip(got.tolist(), want, strict=True):
+        assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+    assert jaccard_join.words_of(pa.array([], pa.string()))[0].tolist() == []
+
+
+def test_a_long_text_takes_a_few_times_its_length():
+    text = pa.array([" ".join(f"w{i * 7919 % 1_000_003}" for i in range(7_000_000))])  # about 50 MB
+    tracemalloc.start()
+    h, begins = jaccard_join.shingle_sets(text, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(h) == begins[-1] > 900_000
+    assert peak < 10 * text.nbytes
+
+
+def test_signatures_of_a_slot_settle_alike_in_several_passes():
+    r = np.random.default_rng(2)
+    keys = r.integers(0, 2**63, 3000).astype(np.uint64)
+    keys, sets = keys[r.integers(0, 3000, 20_000)], r.integers(1, 500, 20_000).astype(np.uint64)
+    batch = jaccard_join._packed(keys, sets, 1)
+    ((blob,),) = [batch.column("blob").to_pylist()]
+    place, part = jaccard_join._unpacked(blob)
+    want = defaultdict(set)
+    for k, s in zip((keys >> np.uint64(32)).tolist(), sets.tolist(), strict=True):
+        want[k].add(s)
+    want = sorted(sorted(v) for v in want.values() if len(v) > 1)
+    for most in (10**9, 700):
+        jaccard_join.HELD_KEYS, before = most, jaccard_join.HELD_KEYS
+        try:
+            cut = [jaccard_join._packed(keys[a : a + 1000], sets[a : a + 1000], 1) for a in range(0, 20_000, 1000)]
+            got = defaultdict(set)
+            for b in jaccard_join._settled(iter(cut)):
+                for mark, p in zip(b.column("mark").to_pylist(), b.column("part").to_pylist(), strict=True):
+                    got[mark].add(p)
+        finally:
+            jaccard_join.HELD_KEYS = before
+        found = sorted(sorted(v) for v in got.values())
+        assert found == want if most == 700 else sorted(set(map(tuple, found))) == sorted(set(map(tuple, want)))
+    assert len(place) == len(part) == 20_000
+
+
+def test_sketches_of_two_sizes_bound_the_difference():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 130).astype(np.uint64)
+    a, b = np.sort(base[:128]), np.sort(base)
+    (x,), (y,) = jaccard_join.sketches(a, np.array([0, 128])), jaccard_join.sketches(b, np.array([0, 130]))
+    assert len(y) == 2 * len(x)
+    assert jaccard_join.differing_bits([x, y, x], [y, x, x]).tolist() == [2, 2, 0]
+
+
+def test_a_filter_never_loses_a_key(spark):
+    keys = spark.range(0, 5000).toDF("k")
+    docs = spark.range(0, 20_000).toDF("c0").unionByName(spark.createDataFrame([(None,)], "c0 long"))
+    left = without(docs, keys, "c0", Stored(spark, "t"))
+    assert sorted(r.c0 or -1 for r in left.collect()) == [-1, *range(5000, 20_000)]

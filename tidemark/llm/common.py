@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,22 +14,30 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: with texts of any length in them, ten times as many (the default) would
-#: take more memory than an executor's Python workers may have.
+#: Rows and bytes of one Arrow batch: texts have any length, and a worker holds a batch and what it makes of
+#: it. A single text may be longer than this and is a batch of its own.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 _SHIPPED: set[str] = set()
 _OWN: dict[str, str] = {}
 
 
+def _plain(size: str) -> int:
+    """A setting's number; bytes may have a unit."""
+    digits = size.rstrip("bBkKmMgG")
+    return int(digits) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[size[len(digits) :].lower()[:1]]
+
+
 def ship(spark: SparkSession) -> None:
     """Gives executors this package, once per application; they need not see the driver's folders.
 
     Also makes Arrow batches small enough for whole texts.
     """
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(batch)) > BATCH_ROWS:
-        spark.conf.set(batch, str(BATCH_ROWS))
+    for what, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.max{what}PerBatch"
+        if not 0 < _plain(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -54,10 +63,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """The cluster's spark.checkpoint.dir; a folder of our own only in local mode where that is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="tidemark-ckpt-")
@@ -97,24 +108,25 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-#: Bits of a filter that is sent to every task: 4 MB, whatever the tables hold.
-FILTER_BITS = 1 << 25
+#: Bits of a filter for each key in it, and the fewest and most that a filter has: 32 MB go to a task at most.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
 
 class Filter:
-    """A Bloom filter of fixed size with one hash: ``may_hold`` is true of every key that was put in.
+    """A Bloom filter with one hash: ``may_hold`` is true of every key that was put in.
 
-    It keeps most rows that a join would drop out of the join's shuffle. With more keys it lets more
-    rows through, up to all, and the join after it stays exact; its size never grows.
+    It keeps most rows that a join would drop out of the join's shuffle. Its size grows with the number of
+    keys up to MOST_BITS; beyond that it lets more rows through, and the join after it stays exact.
     """
 
     def __init__(self, keys: DataFrame, *columns: str):
         import numpy as np
 
-        at = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+        self.bits = bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * max(1, keys.count()) - 1).bit_length()))
+        at = F.pmod(F.xxhash64(*columns), F.lit(bits))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
-        words = keys.groupBy(F.floor(at / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()
-        table = np.zeros(FILTER_BITS // 64, np.int64)
+        words = keys.groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()
+        table = np.zeros(bits // 64, np.int64)
         table[words["w"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
         self.table = keys.sparkSession.sparkContext.broadcast(table)
 
@@ -126,20 +138,51 @@ class Filter:
 
         def held(at: pd.Series) -> pd.Series:
             at = at.to_numpy()
-            return pd.Series((table.value[at >> 6] >> (at & 63)) & 1 == 1)
+            return pd.Series((table.value[at >> 6] >> (at & 63)) & np.int64(1) == 1)
 
         held.__annotations__ = {"at": pd.Series, "return": pd.Series}
-        return F.pandas_udf(held, "boolean")(F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)))
+        return F.pandas_udf(held, "boolean")(F.pmod(F.xxhash64(*columns), F.lit(self.bits)))
+
+
+class Columns:
+    """A table whose columns have names of our own, whatever they are called: c0, c1 and so on.
+
+    Names may clash with each other, in upper and lower case too, and with names that an operator uses inside.
+    """
 
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*self.all)
 
-def without(docs: DataFrame, gone: DataFrame, column: str) -> DataFrame:
-    """``docs`` less the rows whose ``column`` is among the values of ``gone``'s only column."""
-    gone = gone.toDF("__gone").where("__gone is not null").distinct()
-    held = Filter(gone, "__gone")
-    marked = docs.withColumn("__may", held.may_hold(column))
-    stay = marked.where("not __may")
-    rest = marked.where("__may").join(gone, F.col(f"`{column}`") == F.col("__gone"), "left_anti")
-    return stay.unionByName(rest).drop("__may")
+    @property
+    def all(self) -> list[str]:
+        return [f"c{i}" for i in range(len(self.names))]
+
+    def of(self, name: str) -> str:
+        """Our name for the first column of that exact name."""
+        if name not in self.names:
+            raise ValueError(f"missing columns: {[name]}")
+        return f"c{self.names.index(name)}"
+
+    def back(self, df: DataFrame) -> DataFrame:
+        """The table's own columns under their own names."""
+        return df.select(*self.all).toDF(*self.names)
+
+
+def without(docs: DataFrame, gone: DataFrame, column: str, store: Stored) -> DataFrame:
+    """``docs`` less the rows whose ``column`` is among the values of ``gone``'s only column; nulls stay.
+
+    Only values are joined, and other columns nearly never: what the filter of ``gone`` holds by chance
+    is listed, and a second filter finds those rows.
+    """
+    gone = gone.toDF("gone").where("gone is not null").distinct()
+    held = Filter(gone, "gone")
+    key = docs.select(F.col(column).alias("key"))
+    spared = store.keep(key.where(held.may_hold("key")).distinct().join(gone, F.col("key") == F.col("gone"), "left_anti"), "spared")
+    free = Filter(spared, "key")
+    stay = docs.where(~held.may_hold(column))
+    rest = docs.where(held.may_hold(column)).where(free.may_hold(column)).join(gone, F.col(column) == F.col("gone"), "left_anti")
+    return stay.unionByName(rest)
 
 
 def lower_ascii(c: Column) -> Column:
@@ -152,8 +195,7 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    if len(set(df.columns)) == len(df.columns):
+    if len({n.lower() for n in df.columns}) == len(df.columns):
         return df.select(*(F.col(f"`{n}`") for n in names))
-    first = {n: df.columns.index(n) for n in names}
-    df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    return df.select(*(F.col(f"c{i}").alias(n) for n, i in first.items()))
+    own = Columns(df)
+    return own.df.select(*(F.col(own.of(n)).alias(n) for n in names))

@@ -12,9 +12,13 @@ compared apart from each other:
    sends its signatures for its own class and for the next. Empty segments send nothing: there are
    ``slack`` fragments more than needed, and a set with more empty segments than that is cut a
    second and third time by other hashes and at last meets all such sets of its class.
-2. *Bound.* A sketch of 512 parity bits differs in at most as many bits as the sets differ in
-   n-grams; pairs that differ in more than they may are dropped before any text is looked at.
-3. *Overlaps.* Texts of the pairs left (a filter of fixed size keeps most others out of the shuffle)
+   Signatures travel packed: a task sorts what it made and sends a few bytes for each to the slot of
+   its range, which keeps those that several sets sent. Of signatures that the very same sets sent,
+   one is kept. A signature that very many sets send is settled in passes of bounded memory.
+2. *Bound.* A sketch of parity bits, at least two for each n-gram, differs in at most as many bits as
+   the sets differ in n-grams; pairs that differ in more than they may are dropped before any text is
+   looked at.
+3. *Overlaps.* Texts of the pairs left (a filter keeps most others out of the shuffle)
    are brought together, and overlaps are counted fragment by fragment and summed for each pair.
 
 Equal sets form one class with one representative, whatever their number. Among sets that meet,
@@ -23,6 +27,9 @@ sets of a bucket that are still in different components are compared, all of the
 between components is lost, and a large group of near copies gives as many pairs as it has members,
 not the square of that.
 
+Words are hashed from the bytes of an Arrow batch, about a megabyte at a time, so that a long text costs a
+task a few times its length and not an object for each word.
+
 Nulls and texts without words have an empty set and link with nothing. Texts with fewer words than a
 shingle are one shingle. Rows that share a doc_id are one component, though each text is compared
 as itself, and each row reports its own set size; a null doc_id has a null component. An empty table gives an empty
@@ -39,17 +46,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Filter, Stored, only, release, ship, without
+from .common import Columns, Filter, Stored, only, release, ship, without
 from .components import components
 
-#: Words of documents handled at once in a task.
-GROUP_WORDS = 200_000
+#: Bytes of documents handled at once in a task (a longer one is handled alone), and of words hashed at once.
+GROUP_BYTES, HASHED_BYTES = 1 << 21, 1 << 20
 #: Sets that a task remembers, to send the signatures of equal sets once.
 REMEMBERED = 50_000
-SKETCH_LONGS = 8
+#: Signatures that a task sorts and sends at a time, and that the task of a slot holds before it settles them.
+FLUSH_KEYS, HELD_KEYS = 2_000_000, 8_000_000
+#: Slots of signatures in a task that settles them.
+SLOTS = 4
+#: Bits of a sketch: the power of two from twice the set's size on, between these.
+LEAST_SKETCH, MOST_SKETCH = 128, 1 << 16
 #: Fragments in which the overlap of a pair is counted.
 COUNT_FRAGMENTS = 4
 #: Pairs with one hub that a task compares before the hub's text is sent to another one too.
@@ -69,25 +82,87 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of all texts, one after the other, and where each text's begin."""
-    from xxhash import xxh3_64_intdigest
+def _by_byte(blank: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte: is it in a word, and its number in a hash (0 of blanks; A-Z count as a-z)."""
+    inside = np.ones(256, bool)
+    inside[list(blank)] = False
+    value = np.arange(1, 257, dtype=np.uint64)
+    value[65:91] += np.uint64(32)
+    value[~inside] = 0
+    return inside, value
+
+
+_INSIDE, _VALUE = _by_byte(b" \t\n\x0b\f\r")
+_AT = mix(np.arange(4096, dtype=np.uint64), 3) | np.uint64(1)
+
 
-    split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    counts = np.fromiter(map(len, split), np.int64, len(split))
-    words = np.fromiter((h for ws in split for h in map(xxh3_64_intdigest, ws)), np.uint64, int(counts.sum()))
+def _at(first: int, last: int) -> np.ndarray:
+    """The factors of a word's bytes from the place ``first`` to ``last``."""
+    return _AT[first:last] if last <= len(_AT) else mix(np.arange(first, last, dtype=np.uint64), 3) | np.uint64(1)
+
+
+def _long_word(data: np.ndarray) -> np.uint64:
+    total = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(data), HASHED_BYTES):
+            piece = data[a : a + HASHED_BYTES]
+            total += (_VALUE[piece] * _at(a, a + len(piece))).sum(dtype=np.uint64)
+    return total
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of all texts, one text after the other, and how many each has."""
+    if texts.null_count:
+        texts = texts.fill_null("")
+    n = len(texts)
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, places, raw = texts.buffers()
+    if not n or raw is None:
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+    places = np.frombuffer(places, wide)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(raw, np.uint8)[places[0] : places[-1]]
+    places = places - places[0]
+    begins = _INSIDE[data]
+    heads = places[:-1][places[:-1] < len(data)]
+    at_head = begins[heads]
+    begins[1:] &= ~begins[:-1].copy()
+    begins[heads] = at_head
+    begins = np.flatnonzero(begins)
+    counts = np.diff(np.searchsorted(begins, places))
+    sums = np.zeros(len(begins), np.uint64)
+    edges = np.append(begins, len(data))
+    a = 0
+    with np.errstate(over="ignore"):
+        while a < len(begins):
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + HASHED_BYTES, "right")) - 1)
+            own = data[edges[a] : edges[b]]
+            if len(own) > HASHED_BYTES:
+                sums[a] = _long_word(own)
+            else:
+                gaps = np.diff(edges[a : b + 1])
+                place = np.arange(len(own)) - np.repeat(edges[a:b] - edges[a], gaps)
+                sums[a:b] = np.add.reduceat(_VALUE[own] * _at(0, int(gaps.max()))[place], edges[a:b] - edges[a])
+            a = b
+    return mix(sums, 2), counts
+
+
+def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts, one after the other, and where each text's begin."""
+    words, counts = words_of(texts)
     ends = np.cumsum(counts)
     total = len(words)
     h = mix(words, 1)
     with np.errstate(over="ignore"):
         for j in range(1, min(k, total)):
             h[: total - j] = mix(h[: total - j] * _M[1] + words[j:], j + 1)
-    parts, sizes = [], np.zeros(len(split) + 1, np.int64)
+    parts, sizes = [], np.zeros(len(counts) + 1, np.int64)
     for i, (m, e) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):
         if m >= k:
             own = h[e - m : e - k + 1]
             own.sort()
-            own = own[np.concatenate(([True], own[1:] != own[:-1]))]
+            new = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            own = own[new]
         elif m:
             one = mix(words[e - m : e - m + 1], 1)
             with np.errstate(over="ignore"):
@@ -113,11 +188,10 @@ class Sizes:
             self.low.append(self.high[-1] + 1)
             self.high.append(self.low[-1] * self.q // self.p)
 
-    def of(self, n: int) -> int:
-        self._reach(n)
-        from bisect import bisect_left
-
-        return bisect_left(self.high, n)
+    def of(self, n: np.ndarray) -> np.ndarray:
+        """The class of each size."""
+        self._reach(int(n.max(initial=1)))
+        return np.searchsorted(np.array(self.high), n)
 
     def most(self, n: int) -> int:
         """In how many n-grams a set can differ from one as large as it or larger, and still link."""
@@ -157,7 +231,7 @@ def signatures(h: np.ndarray, begins: np.ndarray, p: int, q: int) -> tuple[np.nd
     """(whose, key) of all texts' segments in the groups of their own class and of the next."""
     sizes = sizes_of(p, q)
     n = np.diff(begins)
-    classes = np.array([sizes.of(int(x)) if x else -2 for x in n], np.int64)
+    classes = np.where(n > 0, sizes.of(n), -2)
     whose, keys = [], []
     doc = np.repeat(np.arange(len(n)), n)
     for step in (0, 1):
@@ -190,38 +264,89 @@ def signatures(h: np.ndarray, begins: np.ndarray, p: int, q: int) -> tuple[np.nd
     return np.concatenate(whose), np.concatenate(keys)
 
 
-def sketches(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Parity bits of each set, as SKETCH_LONGS 64-bit numbers."""
-    n = len(begins) - 1
-    bits = 64 * SKETCH_LONGS
-    doc = np.repeat(np.arange(n), np.diff(begins))
-    odd = np.bincount(doc * bits + (h & np.uint64(bits - 1)).astype(np.int64), minlength=n * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
+def sketches(h: np.ndarray, begins: np.ndarray) -> list[bytes]:
+    """Parity bits of each set; a sketch of twice the bits folds into one of this size by exclusive or."""
+    n = np.diff(begins)
+    bits = np.array([min(MOST_SKETCH, max(LEAST_SKETCH, 1 << (2 * x - 1).bit_length() if x else 0)) for x in n.tolist()], np.int64)
+    ends = np.cumsum(bits)
+    doc = np.repeat(np.arange(len(n)), n)
+    at = (h & (bits[doc] - 1).astype(np.uint64)).astype(np.int64) + (ends - bits)[doc]
+    odd = np.packbits((np.bincount(at, minlength=int(ends[-1]) if len(n) else 0) & 1).astype(np.uint8)).tobytes()
+    return [odd[(e - b) // 8 : e // 8] for e, b in zip(ends.tolist(), bits.tolist(), strict=True)]
+
+
+def differing_bits(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many bits the sketches of each pair differ, the longer one folded to the shorter one's size."""
+    sizes = np.array([list(map(len, a)), list(map(len, b))], np.int64).reshape(2, -1)
+    out = np.zeros(len(a), np.int64)
+    for x, y in np.unique(sizes, axis=1).T.tolist():
+        rows = np.flatnonzero((sizes[0] == x) & (sizes[1] == y)).tolist()
+        both = []
+        for side, size in ((a, x), (b, y)):
+            m = np.frombuffer(b"".join(side[i] for i in rows), np.uint64).reshape(len(rows), size // 8)
+            while m.shape[1] > min(x, y) // 8:
+                half = m.shape[1] // 2
+                m = m[:, :half] ^ m[:, half:]
+            both.append(m)
+        out[rows] = np.bitwise_count(both[0] ^ both[1]).sum(axis=1)
+    return out
+
+
+def _packed(keys: np.ndarray, sets: np.ndarray, slots: int) -> pa.RecordBatch:
+    """Rows (slot, blob): of each signature its place in the slot (32 bits, sorted) and 40 bits of its set's
+    hash, byte by byte apart, so that they compress."""
+    order = np.argsort(keys)
+    with np.errstate(over="ignore"):
+        at = (keys[order] >> np.uint64(20)) * np.uint64(slots)
+    slot = (at >> np.uint64(44)).astype(np.int32)
+    place, whose = (at >> np.uint64(12)).astype(np.uint32), sets[order].view(np.uint8).reshape(-1, 8)[:, :5]
+    cuts = np.flatnonzero(np.diff(slot, prepend=-1, append=slots))
+    blobs = [place[a:b].view(np.uint8).reshape(-1, 4).T.tobytes() + whose[a:b].T.tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return _send(pa.array(slot[cuts[:-1]]), pa.array(blobs, pa.binary()), {}, len(blobs))
 
 
-_DESCRIBED = "doc_id long, t long, n long, s1 long, s2 long, sketch array<long>, keys array<long>"
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(blob, np.uint8).reshape(9, -1)
+    whose = np.zeros((rows.shape[1], 8), np.uint8)
+    whose[:, :5] = rows[4:].T
+    return np.ascontiguousarray(rows[:4].T).view(np.uint32).ravel(), whose.view(np.uint64).ravel()
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
-    for b in batches:
-        ids, texts, marks, held = [], [], [], 0
-        for i, t, m in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-            ids.append(i)
-            texts.append(t)
-            marks.append(m)
-            held += len(t or "") // 6
-            if held >= GROUP_WORDS:
-                yield ids, texts, marks
-                ids, texts, marks, held = [], [], [], 0
-        if ids:
-            yield ids, texts, marks
-
-
-def _describe(k: int, p: int, q: int):
+#: What describes a row's set; and what a signature that several sets sent leaves for each of them.
+_SET = {"doc_id": pa.int64(), "t": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "sketch": pa.binary()}
+_MET = {"mark": pa.int64(), "part": pa.int64(), "hub": pa.int64()}
+_SENT = "slot int, blob binary, doc_id long, t long, n long, s1 long, sketch binary"
+_DESCRIBED = "doc_id long, t long, n long, s1 long, sketch binary, mark long, part long, hub long"
+
+
+def _send(slot: pa.Array, blob: pa.Array, own: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+    columns = {"slot": slot, "blob": blob, **{c: own.get(c, pa.nulls(n, t)) for c, t in _SET.items()}}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _part(s1: np.ndarray) -> np.ndarray:
+    """The part of a set's hash that travels with its signatures; sets that share it meet together."""
+    return s1 & np.uint64((1 << 40) - 1)
+
+
+def _groups(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about GROUP_BYTES of text together, or a single one."""
+    held = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < b.num_rows:
+        e = max(a + 1, int(np.searchsorted(held, (held[a - 1] if a else 0) + GROUP_BYTES, "right")))
+        yield b.slice(a, e - a)
+        a = e
+
+
+def _describe(k: int, p: int, q: int, slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[tuple[int, int], None] = OrderedDict()
-        for ids, texts, named in _groups(batches):
-            h, begins = shingle_sets(texts, k)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        held = turn = 0
+        for rows in (g for b in batches for g in _groups(b)):
+            ids = rows.column(0).to_pylist()
+            h, begins = shingle_sets(rows.column(1), k)
             n = np.diff(begins)
             s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
             some = np.flatnonzero(n)
@@ -240,37 +365,101 @@ def _describe(k: int, p: int, q: int):
                     first[i] = True
                     if len(seen) > REMEMBERED:
                         seen.popitem(last=False)
-            take = np.repeat(first, n)
-            whose, keys = signatures(h[take], np.concatenate(([0], np.cumsum(n * first))), p, q)
-            order = np.argsort(whose, kind="stable")
-            ends = np.concatenate(([0], np.cumsum(np.bincount(whose, minlength=len(n))))).astype(np.int32)
-            marks = sketches(h, begins)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(named, pa.int64()), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH_LONGS), pa.array(marks.ravel())),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64)))],
-                names=["doc_id", "t", "n", "s1", "s2", "sketch", "keys"],
-            )
+            own = {"doc_id": rows.column(0), "t": rows.column(2), "n": pa.array(n), "s1": pa.array(s1.view(np.int64)), "sketch": pa.array(sketches(h, begins), pa.binary())}
+            yield _send(pa.array(((turn + np.arange(len(n))) % slots).astype(np.int32)), pa.nulls(len(n), pa.binary()), own, len(n))
+            turn += len(n)
+            whose, keys = signatures(h[np.repeat(first, n)], np.concatenate(([0], np.cumsum(n * first))), p, q)
+            waiting.append((keys, _part(s1)[whose]))
+            held += len(keys)
+            if held >= FLUSH_KEYS:
+                yield _packed(*map(np.concatenate, zip(*waiting, strict=True)), slots)
+                waiting, held = [], 0
+        if held:
+            yield _packed(*map(np.concatenate, zip(*waiting, strict=True)), slots)
 
     return run
 
 
+def settle(place: np.ndarray, part: np.ndarray, salt: int | None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of signatures by place and the sets that sent them: for those of several sets a row (mark, part, hub) for
+    each set, and one (place, part) of every signature.
+
+    The mark stands for the sets that meet, so that signatures of the same sets have one. Where a
+    signature's sets come in several passes it stands for the signature instead (``salt`` is the slot).
+    """
+    order = np.argsort(place, kind="stable")
+    place, part = place[order], part[order]
+    twin = np.zeros(len(place) + 1, bool)
+    np.equal(place[1:], place[:-1], out=twin[1:-1])
+    first = ~twin[:-1]
+    several = twin[:-1] | twin[1:]
+    x, y = place[several], part[several]
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    x, y = x[new], y[new]
+    begins = np.flatnonzero(np.diff(x.astype(np.int64), prepend=-1))
+    if not len(begins):
+        return [np.zeros(0, np.uint64)] * 3, place[first], part[first]
+    sizes = np.diff(begins, append=len(x))
+    with np.errstate(over="ignore"):
+        mark = np.add.reduceat(mix(y, 31), begins) if salt is None else mix(x[begins].astype(np.uint64) + np.uint64(salt << 32), 32)
+    keep = np.repeat(sizes > 1, sizes)
+    return [np.repeat(mark, sizes)[keep], y[keep], np.repeat(y[begins], sizes)[keep]], place[first], part[first]
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by slot: sets pass through, and signatures that several sets sent leave their sets."""
+    now, passes, held = None, 0, 0
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def rows(own: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+        columns = {c: own.get(c, pa.nulls(n, t)) for c, t in (_SET | _MET).items()}
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def close(more: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal waiting, passes, held
+        if waiting:
+            passes += more
+            met, place, part = settle(*map(np.concatenate, zip(*waiting, strict=True)), now if passes else None)
+            waiting = [(place, part)] if more else []
+            for a in range(0, len(met[0]), 100_000):
+                own = {c: pa.array(x[a : a + 100_000].view(np.int64)) for c, x in zip(_MET, met, strict=True)}
+                yield rows(own, len(own["mark"]))
+        held = 0
+        passes = passes if more else 0
+
+    for b in batches:
+        sets = b.filter(b.column("blob").is_null())
+        if sets.num_rows:
+            yield rows({c: sets.column(c) for c in _SET}, sets.num_rows)
+        keys = b.filter(b.column("blob").is_valid())
+        for slot, blob in zip(keys.column("slot").to_pylist(), keys.column("blob").to_pylist(), strict=True):
+            if slot != now:
+                yield from close(False)
+                now = slot
+            waiting.append(_unpacked(blob))
+            held += len(blob) // 9
+            if held >= HELD_KEYS:
+                yield from close(True)
+    yield from close(False)
+
+
 def _overlaps(k: int):
     """Rows come sorted by hub and salt, the hub's own text first; counts go out fragment by fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, np.zeros(0, np.uint64)
         cuts = (np.arange(1, COUNT_FRAGMENTS, dtype=np.uint64)) * np.uint64(2**64 // COUNT_FRAGMENTS)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            hubs, nodes, texts = (b.column(i).to_pylist() for i in range(3))
-            h, begins = shingle_sets(texts, k)
+        for b in (g for b in batches for g in _groups(b)):
+            hubs, nodes = b.column(0).to_pylist(), b.column(2).to_pylist()
+            h, begins = shingle_sets(b.column(1), k)
             out: list[tuple] = []
             for i, (a, node) in enumerate(zip(hubs, nodes, strict=True)):
                 mine = h[begins[i] : begins[i + 1]]
                 if node is None:
-                    hub, own = a, mine
+                    hub, own = a, mine.copy()
                     continue
                 assert a == hub, "a pair without its hub"
                 at = np.minimum(np.searchsorted(own, mine), max(0, len(own) - 1))
@@ -296,11 +485,28 @@ class Join:
         self.docs, self.k, self.p, self.q = only(docs, "doc_id", "text").withColumn("t", _text_key("doc_id", "text")), k, p, q
         self.store = Stored(docs.sparkSession, "jaccard")
 
-    def _may_link(self, a: str, b: str) -> Column:
-        """Sizes fit, and the sketches differ in no more bits than the sets may differ in."""
-        na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-        differ = sum((F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(1, SKETCH_LONGS)), F.bit_count(F.col(f"{a}sketch")[0].bitwiseXOR(F.col(f"{b}sketch")[0])))
-        return (self.q * F.least(na, nb) >= self.p * F.greatest(na, nb)) & (differ * (self.q + self.p) <= (self.q - self.p) * (na + nb))
+    def _fits(self, a: str, b: str) -> Column:
+        """Sizes with which two sets can link."""
+        return self.q * F.least(a, b) >= self.p * F.greatest(a, b)
+
+    def _may_link(self, pairs: DataFrame, nodes: DataFrame, hub: str, node: str) -> DataFrame:
+        """``pairs``, whose columns hub and node are these of ``nodes``, with the sets' hashes and texts in their
+        place; only those whose sizes fit and whose sketches differ in no more bits than the sets may differ in."""
+        import pandas as pd
+
+        def differ(x: pd.Series, y: pd.Series) -> pd.Series:
+            return pd.Series(differing_bits(x.tolist(), y.tolist()))
+
+        differ.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
+
+        def side(c: str, by: str) -> DataFrame:
+            return nodes.select(F.col(by).alias(c), F.col("s1").alias(f"{c}_s1"), F.col("t").alias(f"{c}_t"), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
+
+        both = pairs.join(side("hub", hub), "hub").join(side("node", node), "node").where((F.col("hub_s1") != F.col("node_s1")) & self._fits("hub_n", "node_n"))
+        both = both.withColumn("bits", F.pandas_udf(differ, "long")("hub_sketch", "node_sketch"))
+        both = both.where(F.col("bits") * (self.q + self.p) <= (self.q - self.p) * (F.col("hub_n") + F.col("node_n")))
+        rest = [c for c in pairs.columns if c not in ("hub", "node")]
+        return both.select(F.col("hub_s1").alias("hub"), F.col("node_s1").alias("node"), "hub_t", "node_t", *rest)
 
     def _verify(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
         """Of pairs of sets, as _PAIR, those that link, as (u, v), the sets' ids in the graph."""
@@ -315,7 +521,7 @@ class Join:
         sent = texts.join(wanted, "t").select("hub", "node", "text", "salt")
         n = max(8, int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         laid = sent.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("node").asc_nulls_first())
-        counted = laid.select("hub", "node", "text").mapInArrow(_overlaps(self.k), "a long, b long, fragment int, shared long")
+        counted = laid.select("hub", "text", "node").mapInArrow(_overlaps(self.k), "a long, b long, fragment int, shared long")
         shared = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
         size = lambda c: nodes.select(F.col("s1").alias(c), F.col("n").alias(f"{c}n"), F.col("id").alias(f"{c}_id"))
         full = shared.join(size("a"), "a").join(size("b"), "b")
@@ -341,57 +547,50 @@ class Join:
         A set's id is its smallest doc_id, with the set's own hash beside it where doc_ids repeat.
         """
         store, spark = self.store, self.docs.sparkSession
-        all_rows = store.keep(self.docs.mapInArrow(_describe(self.k, self.p, self.q), _DESCRIBED), "described")
-        rows = store.keep(all_rows.select("doc_id", "t", "n", "s1"), "rows")
+        n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        slots = min(SLOTS * n, 1 << 20)
+        sent = self.docs.mapInArrow(_describe(self.k, self.p, self.q, slots), _SENT)
+        described = store.keep(sent.repartitionById(n, F.col("slot")).sortWithinPartitions("slot").mapInArrow(_settled, _DESCRIBED), "described")
+        release(spark)
+        rows = described.where("mark is null").select("doc_id", "t", "n", "s1")
         counted = rows.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
         self.unique = counted[0] == counted[1]
         # One node for each set: its smallest doc_id, combined before the shuffle.
-        nodes = store.keep(
-            all_rows.where("n > 0 and doc_id is not null").groupBy("s1").agg(F.min(F.struct("doc_id", "t", "n", *(F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH_LONGS)))).alias("x"))
-            .select("s1", F.col("x.doc_id") if self.unique else F.struct("x.doc_id", "s1"), "x.t", "x.n", F.array(*(F.col(f"x.k{i}") for i in range(SKETCH_LONGS))).alias("sketch")).toDF("s1", "id", "t", "n", "sketch"), "nodes",
-        )
-        sent = all_rows.where("doc_id is not null").select(F.explode("keys").alias("key"), "s1")
-        bucket = Window.partitionBy("key")
-        met = sent.withColumn("low", F.min("s1").over(bucket)).withColumn("high", F.max("s1").over(bucket)).where("low < high")
-        buckets = store.keep(met.select("key", "s1", F.col("low").alias("hub")).distinct(), "buckets")
-        store.drop("described")
-        del all_rows, sent, met
-        release(spark)
+        least = described.where("mark is null and n > 0 and doc_id is not null").groupBy("s1").agg(F.min(F.struct("doc_id", "t", "n", "sketch")).alias("x"))
+        node_id = F.col("x.doc_id") if self.unique else F.struct("x.doc_id", "s1")
+        nodes = store.keep(least.select("s1", F.col("s1").bitwiseAND(F.lit((1 << 40) - 1)).alias("part"), node_id.alias("id"), "x.t", "x.n", "x.sketch"), "nodes")
+        buckets = store.keep(described.where("mark is not null").groupBy("mark", "part", "hub").agg(F.count(F.lit(1)).alias("agree")), "buckets")
 
-        side = lambda c: nodes.select(F.col("s1").alias(c), F.col("t").alias(f"{c}_t"), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
         # First each set with the two hubs that it shares the most segments with.
-        common = buckets.where("s1 <> hub").groupBy("hub", F.col("s1").alias("node")).agg(F.count(F.lit(1)).alias("agree"))
-        near = common.join(side("hub"), "hub").join(side("node"), "node").where(self._may_link("hub_", "node_"))
+        common = buckets.where("part <> hub").groupBy("hub", F.col("part").alias("node")).agg(F.sum("agree").alias("agree"))
         best = Window.partitionBy("node").orderBy(F.desc("agree"), "hub")
+        near = self._may_link(common, nodes, "part", "part")
         chosen = near.withColumn("r", F.row_number().over(best)).where("r <= 2").select("hub", "node", "hub_t", "node_t")
         first = store.keep(chosen, "pairs-1")
         links = self._verify(first, nodes, "links-1")
         parts = components(links, store, "parts-1")
         release(spark)
 
-        # Then all that met and are in different components still.
-        placed = nodes.select("s1", "id").join(parts.withColumnRenamed("node", "id"), "id", "left")
-        own = buckets.select("key", "s1").join(placed.select("s1", F.coalesce("component", "id").alias("component")), "s1")
-        split = Window.partitionBy("key")
-        unsettled = own.withColumn("c0", F.min("component").over(split)).withColumn("c1", F.max("component").over(split)).where("c0 < c1").drop("c1")
-        # Sizes and sketches only join what is left.
-        open_ = store.keep(unsettled.join(nodes.select("s1", "t", "n", "sketch"), "s1"), "open")
-        l = open_.where("component <> c0").select("key", *(F.col(c).alias(f"l_{c}") for c in ("s1", "t", "n", "sketch", "component")))  # noqa: E741
-        r = open_.select("key", *(F.col(c).alias(f"r_{c}") for c in ("s1", "t", "n", "sketch", "component")))
+        # Then all that met and are in different components still. Sketches only join what is left.
+        placed = nodes.join(parts.withColumnRenamed("node", "id"), "id", "left").select("part", "s1", "n", F.coalesce("component", "id").alias("component"))
+        own = store.keep(buckets.select("mark", "part").distinct().join(placed, "part").drop("part"), "met")
+        split = own.groupBy("mark").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("mark", "c0")
+        open_ = store.keep(own.join(split, "mark"), "open")
+        l = open_.where("component <> c0").select("mark", *(F.col(c).alias(f"l_{c}") for c in ("s1", "n", "component")))  # noqa: E741
+        r = open_.select("mark", *(F.col(c).alias(f"r_{c}") for c in ("s1", "n", "component")))
         # Both sides outside the least component would come twice.
         once = F.col("r_component") < F.col("l_component")
-        more = l.join(r, (l["key"] == r["key"]) & once & self._may_link("l_", "r_"))
-        low, high = (f(F.struct(F.col("l_s1").alias("s1"), F.col("l_t").alias("t")), F.struct(F.col("r_s1").alias("s1"), F.col("r_t").alias("t"))) for f in (F.least, F.greatest))
-        more = more.select(low["s1"].alias("hub"), high["s1"].alias("node"), low["t"].alias("hub_t"), high["t"].alias("node_t")).distinct()
+        more = l.join(r, (l["mark"] == r["mark"]) & once & self._fits("l_n", "r_n"))
+        more = more.select(F.least("l_s1", "r_s1").alias("hub"), F.greatest("l_s1", "r_s1").alias("node")).distinct()
         done = first.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
-        second = store.keep(more.join(done, ["hub", "node"], "left_anti"), "pairs-2")
+        second = store.keep(self._may_link(more.join(done, ["hub", "node"], "left_anti"), nodes, "s1", "s1"), "pairs-2")
         links2 = self._verify(second, nodes, "links-2")
         self.links = links.unionByName(links2)
         if links2.head(1):
             # The components so far are stars, to which the new links are added.
             stars = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
             parts = components(stars.unionByName(links2), store, "parts-2")
-        store.drop("open", "buckets", "pairs-1", "pairs-2")
+        store.drop("open", "met", "buckets", "pairs-1", "pairs-2")
 
         return rows, nodes.select("s1", F.col("id").alias("node")).join(parts, "node", "left").select("s1", F.coalesce("component", "node").alias("component"))
 
@@ -414,14 +613,17 @@ def one_of_each(docs: DataFrame, k: int = 5, p: int = 8, q: int = 10) -> DataFra
     Rows with a null doc_id stay. Texts that share nothing but their doc_id all stay; of rows with one
     doc_id and one set of shingles (or none) one stays.
     """
-    join = Join(docs, k, p, q)
+    own = Columns(docs)
+    docs, key, text = own.df, own.of("doc_id"), own.of("text")
+    join = Join(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), k, p, q)
     rows, named = join.sets()
     placed = rows.where("doc_id is not null").join(named, "s1", "left")
     if join.unique:
-        return without(docs, placed.where("n > 0 and doc_id <> component").select("doc_id"), "doc_id")
+        gone = join.store.keep(placed.where("n > 0 and doc_id <> component").select("doc_id"), "gone")
+        return own.back(without(docs, gone, key, join.store))
     stays = (F.col("n") == 0) | ((F.col("component.doc_id") == F.col("doc_id")) & (F.col("component.s1") == F.col("s1")))
     one = placed.where(stays).groupBy("doc_id", "s1").agg(F.min("t").alias("t"))
-    gone = join.store.keep(placed.select("t").join(one.select("t"), "t", "left_anti"), "gone")
-    left = without(docs.withColumn("__t", _text_key("doc_id", "text")), gone.select("t"), "__t")
-    ranked = left.where("doc_id is not null").withColumn("__r", F.row_number().over(Window.partitionBy("__t").orderBy("text"))).where("__r = 1").drop("__r")
-    return ranked.unionByName(left.where("doc_id is null")).drop("__t")
+    gone = join.store.keep(placed.select("t").join(one.select("t"), "t", "left_anti").distinct(), "gone")
+    left = without(docs.withColumn("t", _text_key(key, text)), gone, "t", join.store)
+    ranked = left.where(f"{key} is not null").withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy(text))).where("r = 1").drop("r")
+    return own.back(ranked.unionByName(left.where(f"{key} is null")))
