@@ -3,9 +3,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from tidemark.llm import packing_best_fit, packing_cutting_stock
+from tidemark.llm import packing_best_fit, packing_cutting_stock, wordcache
 from tidemark.llm.wordcache import WordCache
 
 from .conftest import ODD
@@ -112,3 +114,22 @@ def test_best_fit_matches_a_plain_search():
             rooms.append(100 - s)
     assert sorted(100 - sum(sizes[i] for i in b) for b in bins) == sorted(rooms)
     assert sorted(i for b in bins for i in b) == list(range(500))
+
+
+def test_texts_are_cut_anywhere_alike(cache, monkeypatch):
+    """Slices of a few bytes: they end at blanks and texts' ends, and where there is neither go on."""
+    texts = [t for _, t in ODD] + ["<|ENDOFTEXT|> <|endoftext|>x", "it's IT'S 'tis x''s ''s don't'", "ÉÈ×é÷ÿŸ É.É1É", "a" * 300 + "é" * 90 + " b", "…x 漢字 12½3 tab\there\r\n", "", None, "end", "Ünder", "x y z w"]
+    array = pa.array(["left out", *texts], pa.string()).slice(1)
+    want = [ids_of(cache, t) for t in texts]
+    for size in (7, 64, 1000, 1 << 21):
+        monkeypatch.setattr(wordcache, "SLICE_BYTES", size)
+        ids, ends = cache.encode_ended(array, 1)
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == want
+
+
+def test_a_full_cache_starts_anew(cache, sf_small, monkeypatch):
+    texts = pq.read_table(f"{sf_small}/documents.parquet", columns=["text"]).column(0).combine_chunks()[:100]
+    want = cache.encode(texts)[0].tolist()
+    monkeypatch.setattr(wordcache, "CACHE_PIECES", 50)
+    monkeypatch.setattr(wordcache, "SLICE_BYTES", 4096)
+    assert cache.encode(texts)[0].tolist() == want == [i for t in texts.to_pylist() for i in ids_of(cache, t)[:-1]]

@@ -52,9 +52,10 @@ from pyspark.sql import functions as F
 
 from .common import Columns, Filter, Stored, only, release, ship, without
 from .components import components
+from .textbytes import flat, hashes, mix
 
-#: Bytes of documents handled at once in a task (a longer one is handled alone), and of words hashed at once.
-GROUP_BYTES, HASHED_BYTES = 1 << 21, 1 << 20
+#: Bytes of documents handled at once in a task; a longer one is handled alone.
+GROUP_BYTES = 1 << 21
 #: Sets that a task remembers, to send the signatures of equal sets once.
 REMEMBERED = 50_000
 #: Signatures that a task sorts and sends at a time, and that the task of a slot holds before it settles them.
@@ -70,16 +71,7 @@ PAIRS_A_HUB = 128
 #: Times that a set is cut anew when too many of its segments are empty.
 CUTS = 3
 
-_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-
-
-def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A fixed scrambling of 64-bit numbers."""
-    with np.errstate(over="ignore"):
-        x = x + np.uint64(salt) * _M[0] + _M[0]
-        x = (x ^ (x >> np.uint64(30))) * _M[1]
-        x = (x ^ (x >> np.uint64(27))) * _M[2]
-        return x ^ (x >> np.uint64(31))
+_NEXT = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _by_byte(blank: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -93,35 +85,9 @@ def _by_byte(blank: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 _INSIDE, _VALUE = _by_byte(b" \t\n\x0b\f\r")
-_AT = mix(np.arange(4096, dtype=np.uint64), 3) | np.uint64(1)
-
-
-def _at(first: int, last: int) -> np.ndarray:
-    """The factors of a word's bytes from the place ``first`` to ``last``."""
-    return _AT[first:last] if last <= len(_AT) else mix(np.arange(first, last, dtype=np.uint64), 3) | np.uint64(1)
-
-
-def _long_word(data: np.ndarray) -> np.uint64:
-    total = np.uint64(0)
-    with np.errstate(over="ignore"):
-        for a in range(0, len(data), HASHED_BYTES):
-            piece = data[a : a + HASHED_BYTES]
-            total += (_VALUE[piece] * _at(a, a + len(piece))).sum(dtype=np.uint64)
-    return total
-
-
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash of every word of all texts, one text after the other, and how many each has."""
-    if texts.null_count:
-        texts = texts.fill_null("")
-    n = len(texts)
-    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
-    _, places, raw = texts.buffers()
-    if not n or raw is None:
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    places = np.frombuffer(places, wide)[texts.offset : texts.offset + n + 1].astype(np.int64)
-    data = np.frombuffer(raw, np.uint8)[places[0] : places[-1]]
-    places = places - places[0]
+    data, places = flat(texts)
     begins = _INSIDE[data]
     heads = places[:-1][places[:-1] < len(data)]
     at_head = begins[heads]
@@ -129,21 +95,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begins[heads] = at_head
     begins = np.flatnonzero(begins)
     counts = np.diff(np.searchsorted(begins, places))
-    sums = np.zeros(len(begins), np.uint64)
-    edges = np.append(begins, len(data))
-    a = 0
-    with np.errstate(over="ignore"):
-        while a < len(begins):
-            b = max(a + 1, int(np.searchsorted(edges, edges[a] + HASHED_BYTES, "right")) - 1)
-            own = data[edges[a] : edges[b]]
-            if len(own) > HASHED_BYTES:
-                sums[a] = _long_word(own)
-            else:
-                gaps = np.diff(edges[a : b + 1])
-                place = np.arange(len(own)) - np.repeat(edges[a:b] - edges[a], gaps)
-                sums[a:b] = np.add.reduceat(_VALUE[own] * _at(0, int(gaps.max()))[place], edges[a:b] - edges[a])
-            a = b
-    return mix(sums, 2), counts
+    return hashes(data, begins, _VALUE), counts
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +106,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(words, 1)
     with np.errstate(over="ignore"):
         for j in range(1, min(k, total)):
-            h[: total - j] = mix(h[: total - j] * _M[1] + words[j:], j + 1)
+            h[: total - j] = mix(h[: total - j] * _NEXT + words[j:], j + 1)
     parts, sizes = [], np.zeros(len(counts) + 1, np.int64)
     for i, (m, e) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):
         if m >= k:
@@ -167,7 +119,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
             one = mix(words[e - m : e - m + 1], 1)
             with np.errstate(over="ignore"):
                 for j in range(1, m):
-                    one = mix(one * _M[1] + words[e - m + j], j + 1)
+                    one = mix(one * _NEXT + words[e - m + j], j + 1)
             own = mix(one, 1000 + m)
         else:
             continue

@@ -11,8 +11,9 @@ sequence length), ``used`` (ids before the padding), ``cu_seqlens`` (cumulative
 0), ``position_ids`` (counting from 0 again in every segment, 0 in padding), and ``doc_ids`` and
 ``starts``, which say where each segment comes from, so texts' ids can be put together again.
 
-Nulls and empty texts are documents of the end id alone; an empty table gives no rows; repeated rows
-are packed once each; extra columns are ignored.
+Of pieces of one length the earlier one goes first, and of sequences with the same room the last that came
+to it is filled. Nulls and empty texts are documents of the end id alone; an empty table gives no rows;
+repeated rows are packed once each; extra columns are ignored. A very long text is many pieces of one window.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import only, ship
-from .wordcache import word_cache
+from .wordcache import spread, word_cache
 
 END_ID = 1
 PAD_ID = 0
@@ -84,61 +85,58 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+def _lists(values: np.ndarray | pa.Array, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
 def _packer(path: str, size: int):
-    def rows(part: int, first: int, bins: list[list[int]], pieces: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    def rows(part: int, first: int, bins: list[list[int]], docs: np.ndarray, starts: np.ndarray, begins: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         n = len(bins)
-        ids, position = np.full((n, size), PAD_ID, np.int32), np.zeros((n, size), np.int32)
-        used, cuts, docs, starts, many = np.zeros(n, np.int32), [], [], [], [0]
-        for r, own in enumerate(bins):
-            at = 0
-            cuts.append(0)
-            for i in own:
-                doc, start, raw = pieces[i]
-                length = len(raw) // 4
-                ids[r, at : at + length] = np.frombuffer(raw, "<u4")
-                position[r, at : at + length] = np.arange(length)
-                at += length
-                cuts.append(at)
-                docs.append(doc)
-                starts.append(start)
-            used[r] = at
-            many.append(len(docs))
-        ends, full = np.array(many, np.int32), np.arange(n + 1, dtype=np.int32) * size
-        whose = pa.ListArray.from_arrays(pa.array(ends), pa.array(docs, pa.int64()))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(first, first + n)), pa.array(used), _lists(ids.ravel(), full),
-             _lists(np.array(cuts, np.int32), ends + np.arange(n + 1, dtype=np.int32)), _lists(position.ravel(), full), whose, _lists(np.array(starts, np.int64), ends)],
-            names=["shard", "row", "used", "ids", "cu_seqlens", "position_ids", "doc_ids", "starts"],
-        )
+        order = np.array([i for own in bins for i in own], np.int64)
+        many = np.fromiter(map(len, bins), np.int64, n)
+        ends = np.append(0, np.cumsum(many))
+        # Where segments end, in a run of all rows' ids and within their row; each row's cuts begin with 0.
+        whole = np.append(0, np.cumsum(sizes[order]))
+        used = np.diff(whole[ends])
+        cuts = np.insert(whole[1:] - np.repeat(whole[ends[:-1]], many), ends[:-1], 0)
+        position = spread(np.zeros(len(order), np.int64), sizes[order])
+        at = spread(np.arange(n) * size, used)
+        matrix, places = np.full(n * size, PAD_ID, np.int32), np.zeros(n * size, np.int32)
+        matrix[at], places[at] = ids[spread(begins[order], sizes[order])], position
+        full = np.arange(n + 1) * size
+        columns = [
+            pa.array(np.full(n, part, np.int32)), pa.array(np.arange(first, first + n)), pa.array(used.astype(np.int32)), _lists(matrix, full), _lists(cuts.astype(np.int32), ends + np.arange(n + 1)),
+            _lists(places, full), _lists(docs.take(pa.array(order)), ends), _lists(starts[order], ends),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "row", "used", "ids", "cu_seqlens", "position_ids", "doc_ids", "starts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, cache = TaskContext.get().partitionId(), word_cache(path)
-        end = np.array([END_ID], "<u4").tobytes()
-        pieces: list[tuple[int, int, bytes]] = []
+        waiting: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
         held = done = 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal pieces, held, done
-            bins = best_fit([len(p[2]) // 4 for p in pieces], size)
+            nonlocal waiting, held, done
+            docs, (starts, sizes, ids) = pa.concat_arrays([w[0] for w in waiting]), (np.concatenate(x) for x in list(zip(*waiting, strict=True))[1:])
+            bins, begins = best_fit(sizes.tolist(), size), np.cumsum(sizes) - sizes
             for at in range(0, len(bins), FLUSH_ROWS):
-                yield rows(part, done, bins[at : at + FLUSH_ROWS], pieces)
+                yield rows(part, done, bins[at : at + FLUSH_ROWS], docs, starts, begins, sizes, ids)
                 done += len(bins[at : at + FLUSH_ROWS])
-            pieces, held = [], 0
+            waiting, held = [], 0
 
         for b in batches:
-            for doc, raw in zip(b.column(0).to_pylist(), cache.encode_all(b.column(1).to_pylist()), strict=True):
-                raw += end
-                pieces += [(doc, at // 4, raw[at : at + 4 * size]) for at in range(0, len(raw), 4 * size)]
-                held += len(raw) // 4
-                if held >= WINDOW_TOKENS:
-                    yield from close()
-        if pieces:
+            ids, ends = cache.encode_ended(b.column(1), END_ID)
+            total = np.diff(ends)
+            many = -(-total // size)
+            doc = np.repeat(np.arange(len(total)), many)
+            starts = size * spread(np.zeros(len(many), np.int64), many)
+            waiting.append((b.column(0).take(pa.array(doc)), starts, np.minimum(size, total[doc] - starts), ids))
+            held += len(ids)
+            if held >= WINDOW_TOKENS:
+                yield from close()
+        if held:
             yield from close()
 
     return run

@@ -14,7 +14,8 @@ third of all rests is ranked in parallel.
 
 Nulls and empty texts are documents of the end id alone. An empty table gives an empty table.
 Repeated rows are packed once each. Extra columns are ignored. Very long texts give many whole
-sequences and one rest.
+sequences and one rest. Rests of one class are ranked by task and then in the order that the task read them,
+so ties are settled by place; within a sequence the longest piece comes first, then the smaller doc_id.
 """
 
 from __future__ import annotations
@@ -45,23 +46,28 @@ def _pieces(path: str, size: int, width: int):
         from pyspark import TaskContext
 
         part, cache = TaskContext.get().partitionId(), word_cache(path)
-        rank: dict[int, int] = {}
-        end = np.array([END_ID], "<u4").tobytes()
+        rank = np.zeros(CLASSES + 2, np.int64)
         for b in batches:
-            rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), cache.encode_all(b.column(1).to_pylist()), strict=True):
-                ids += end
-                total = len(ids) // 4
-                for start in range(0, total, size):
-                    n = min(size, total - start)
-                    kind = CLASSES + 1 if n == size else -(-n // width)
-                    place = rank.get(kind, 0)
-                    rank[kind] = place + 1
-                    rows.append((doc, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), total, kind, part, place))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "part", "place")
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+            ids, ends = cache.encode_ended(b.column(1), END_ID)
+            total = np.diff(ends)
+            many = -(-total // size)
+            if not len(many):
+                continue
+            doc = np.repeat(np.arange(len(total)), many)
+            start = size * (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many))
+            n = np.minimum(size, total[doc] - start)
+            kind = np.where(n == size, CLASSES + 1, -(-n // width))
+            # The rank of each piece among those of its kind.
+            order = np.argsort(kind, kind="stable")
+            counts = np.bincount(kind, minlength=len(rank))
+            place = np.zeros(len(kind), np.int64)
+            place[order] = np.arange(len(kind)) - np.repeat(np.cumsum(counts) - counts, counts)
+            place += rank[kind]
+            rank += counts
+            raw, at = memoryview(ids.astype("<u4").view(np.uint8)), 4 * (ends[doc] + start)
+            crc = np.fromiter((zlib.crc32(raw[x:y]) for x, y in zip(at.tolist(), (at + 4 * n).tolist(), strict=True)), np.int64, len(doc))
+            own = [b.column(0).take(pa.array(doc)), *map(pa.array, (start, n, crc, total[doc], kind.astype(np.int32), np.full(len(doc), part, np.int32), place))]
+            yield pa.RecordBatch.from_arrays(own, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "part", "place"])
 
     return run
 
