@@ -142,11 +142,14 @@ def test_signatures_of_a_slot_settle_alike_in_several_passes():
 
 def test_sketches_of_two_sizes_bound_the_difference():
     r = np.random.default_rng(3)
-    base = r.integers(0, 2**63, 130).astype(np.uint64)
-    a, b = np.sort(base[:128]), np.sort(base)
-    (x,), (y,) = jaccard_join.sketches(a, np.array([0, 128])), jaccard_join.sketches(b, np.array([0, 130]))
-    assert len(y) == 2 * len(x)
-    assert jaccard_join.differing_bits([x, y, x], [y, x, x]).tolist() == [2, 2, 0]
+    base = r.integers(0, 2**63, 1030).astype(np.uint64)
+    a, b = np.sort(base[:1024]), np.sort(base)
+    (x,), (y,) = jaccard_join.wide_sketches(a, np.array([0, 1024])), jaccard_join.wide_sketches(b, np.array([0, 1030]))
+    assert len(y) == 2 * len(x) == 512
+    assert jaccard_join.differing_bits([x, y, x], [y, x, x]).tolist() == [6, 6, 0]
+    assert jaccard_join.wide_sketches(a[:100], np.array([0, 100])) == [None]
+    u, v = jaccard_join.sketches(a, np.array([0, 1024])), jaccard_join.sketches(b, np.array([0, 1030]))
+    assert u.shape == (1, 16) and 0 < np.bitwise_count(u ^ v).sum() <= 6
 
 
 def test_a_filter_never_loses_a_key(spark):

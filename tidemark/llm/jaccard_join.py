@@ -15,9 +15,9 @@ compared apart from each other:
    Signatures travel packed: a task sorts what it made and sends a few bytes for each to the slot of
    its range, which keeps those that several sets sent. Of signatures that the very same sets sent,
    one is kept. A signature that very many sets send is settled in passes of bounded memory.
-2. *Bound.* A sketch of parity bits, at least two for each n-gram, differs in at most as many bits as
-   the sets differ in n-grams; pairs that differ in more than they may are dropped before any text is
-   looked at.
+2. *Bound.* A sketch of parity bits differs in at most as many bits as the sets differ in n-grams; pairs
+   that differ in more than they may are dropped where sets meet, before they are rows of their own. Sets too
+   large for it have a wide sketch too, of two bits for each n-gram, by which pairs left are tested again.
 3. *Overlaps.* Texts of the pairs left (a filter keeps most others out of the shuffle)
    are brought together, and overlaps are counted fragment by fragment and summed for each pair.
 
@@ -40,9 +40,10 @@ sets two or three pairs would be taken for equal by chance.
 from __future__ import annotations
 
 import math
+import operator
 from collections import OrderedDict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +63,9 @@ REMEMBERED = 50_000
 FLUSH_KEYS, HELD_KEYS = 2_000_000, 8_000_000
 #: Slots of signatures in a task that settles them.
 SLOTS = 4
-#: Bits of a sketch: the power of two from twice the set's size on, between these.
-LEAST_SKETCH, MOST_SKETCH = 128, 1 << 16
+#: 64-bit numbers of the sketch that every set has, and the most bits of the wide one of larger sets: the power
+#: of two from twice the set's size on.
+SKETCH_LONGS, MOST_BITS = 16, 1 << 16
 #: Fragments in which the overlap of a pair is counted.
 COUNT_FRAGMENTS = 4
 #: Pairs with one hub that a task compares before the hub's text is sent to another one too.
@@ -216,19 +218,27 @@ def signatures(h: np.ndarray, begins: np.ndarray, p: int, q: int) -> tuple[np.nd
     return np.concatenate(whose), np.concatenate(keys)
 
 
-def sketches(h: np.ndarray, begins: np.ndarray) -> list[bytes]:
-    """Parity bits of each set; a sketch of twice the bits folds into one of this size by exclusive or."""
-    n = np.diff(begins)
-    bits = np.array([min(MOST_SKETCH, max(LEAST_SKETCH, 1 << (2 * x - 1).bit_length() if x else 0)) for x in n.tolist()], np.int64)
-    ends = np.cumsum(bits)
-    doc = np.repeat(np.arange(len(n)), n)
-    at = (h & (bits[doc] - 1).astype(np.uint64)).astype(np.int64) + (ends - bits)[doc]
-    odd = np.packbits((np.bincount(at, minlength=int(ends[-1]) if len(n) else 0) & 1).astype(np.uint8)).tobytes()
-    return [odd[(e - b) // 8 : e // 8] for e, b in zip(ends.tolist(), bits.tolist(), strict=True)]
+def sketches(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Parity bits of each set, as SKETCH_LONGS 64-bit numbers."""
+    n = len(begins) - 1
+    bits = 64 * SKETCH_LONGS
+    doc = np.repeat(np.arange(n), np.diff(begins))
+    odd = np.bincount(doc * bits + (h & np.uint64(bits - 1)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
+
+
+def wide_sketches(h: np.ndarray, begins: np.ndarray) -> list[bytes | None]:
+    """Parity bits in proportion to the set where a sketch has fewer than two for each n-gram, else None."""
+    out: list[bytes | None] = []
+    for a, n in zip(begins[:-1].tolist(), np.diff(begins).tolist(), strict=True):
+        bits = min(MOST_BITS, 1 << max(0, 2 * n - 1).bit_length())
+        odd = np.bincount((h[a : a + n] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 if bits > 64 * SKETCH_LONGS else None
+        out.append(None if odd is None else np.packbits(odd.astype(np.uint8)).tobytes())
+    return out
 
 
 def differing_bits(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """In how many bits the sketches of each pair differ, the longer one folded to the shorter one's size."""
+    """In how many bits the wide sketches of each pair differ, the longer one folded to the shorter one's size."""
     sizes = np.array([list(map(len, a)), list(map(len, b))], np.int64).reshape(2, -1)
     out = np.zeros(len(a), np.int64)
     for x, y in np.unique(sizes, axis=1).T.tolist():
@@ -265,10 +275,10 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: What describes a row's set; and what a signature that several sets sent leaves for each of them.
-_SET = {"doc_id": pa.int64(), "t": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "sketch": pa.binary()}
+_SET = {"doc_id": pa.int64(), "t": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "sketch": pa.list_(pa.int64()), "wide": pa.binary()}
 _MET = {"mark": pa.int64(), "part": pa.int64(), "hub": pa.int64()}
-_SENT = "slot int, blob binary, doc_id long, t long, n long, s1 long, sketch binary"
-_DESCRIBED = "doc_id long, t long, n long, s1 long, sketch binary, mark long, part long, hub long"
+_SENT = "slot int, blob binary, doc_id long, t long, n long, s1 long, sketch array<long>, wide binary"
+_DESCRIBED = "doc_id long, t long, n long, s1 long, sketch array<long>, wide binary, mark long, part long, hub long"
 
 
 def _send(slot: pa.Array, blob: pa.Array, own: dict[str, pa.Array], n: int) -> pa.RecordBatch:
@@ -317,7 +327,8 @@ def _describe(k: int, p: int, q: int, slots: int):
                     first[i] = True
                     if len(seen) > REMEMBERED:
                         seen.popitem(last=False)
-            own = {"doc_id": rows.column(0), "t": rows.column(2), "n": pa.array(n), "s1": pa.array(s1.view(np.int64)), "sketch": pa.array(sketches(h, begins), pa.binary())}
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH_LONGS), pa.array(sketches(h, begins).ravel()))
+            own = {"doc_id": rows.column(0), "t": rows.column(2), "n": pa.array(n), "s1": pa.array(s1.view(np.int64)), "sketch": sketch, "wide": pa.array(wide_sketches(h, begins), pa.binary())}
             yield _send(pa.array(((turn + np.arange(len(n))) % slots).astype(np.int32)), pa.nulls(len(n), pa.binary()), own, len(n))
             turn += len(n)
             whose, keys = signatures(h[np.repeat(first, n)], np.concatenate(([0], np.cumsum(n * first))), p, q)
@@ -437,28 +448,25 @@ class Join:
         self.docs, self.k, self.p, self.q = only(docs, "doc_id", "text").withColumn("t", _text_key("doc_id", "text")), k, p, q
         self.store = Stored(docs.sparkSession, "jaccard")
 
-    def _fits(self, a: str, b: str) -> Column:
-        """Sizes with which two sets can link."""
-        return self.q * F.least(a, b) >= self.p * F.greatest(a, b)
+    def _may_link(self, a: str, b: str) -> Column:
+        """Sizes fit, and the sketches differ in no more bits than the sets may differ in."""
+        na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+        differ = reduce(operator.add, (F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH_LONGS)))
+        return (self.q * F.least(na, nb) >= self.p * F.greatest(na, nb)) & (differ * (self.q + self.p) <= (self.q - self.p) * (na + nb))
 
-    def _may_link(self, pairs: DataFrame, nodes: DataFrame, hub: str, node: str) -> DataFrame:
-        """``pairs``, whose columns hub and node are these of ``nodes``, with the sets' hashes and texts in their
-        place; only those whose sizes fit and whose sketches differ in no more bits than the sets may differ in."""
+    def _still_may(self, pairs: DataFrame) -> DataFrame:
+        """The same by the wide sketches of larger sets: (hub, node, hub_t, node_t) and other columns."""
         import pandas as pd
 
-        def differ(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series(differing_bits(x.tolist(), y.tolist()))
-
-        differ.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
-
-        def side(c: str, by: str) -> DataFrame:
-            return nodes.select(F.col(by).alias(c), F.col("s1").alias(f"{c}_s1"), F.col("t").alias(f"{c}_t"), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
+        def differ(a: pd.Series, b: pd.Series) -> pd.Series:
+            both = (a.notna() & b.notna()).to_numpy()
+            out = np.zeros(len(a), np.int64)
+            out[both] = differing_bits(a[both].tolist(), b[both].tolist())
+            return pd.Series(out)
 
-        both = pairs.join(side("hub", hub), "hub").join(side("node", node), "node").where((F.col("hub_s1") != F.col("node_s1")) & self._fits("hub_n", "node_n"))
-        both = both.withColumn("bits", F.pandas_udf(differ, "long")("hub_sketch", "node_sketch"))
-        both = both.where(F.col("bits") * (self.q + self.p) <= (self.q - self.p) * (F.col("hub_n") + F.col("node_n")))
-        rest = [c for c in pairs.columns if c not in ("hub", "node")]
-        return both.select(F.col("hub_s1").alias("hub"), F.col("node_s1").alias("node"), "hub_t", "node_t", *rest)
+        differ.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+        bits = F.pandas_udf(differ, "long")("hub_wide", "node_wide")
+        return pairs.where(bits * (self.q + self.p) <= (self.q - self.p) * (F.col("hub_n") + F.col("node_n")))
 
     def _verify(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
         """Of pairs of sets, as _PAIR, those that link, as (u, v), the sets' ids in the graph."""
@@ -508,34 +516,37 @@ class Join:
         counted = rows.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
         self.unique = counted[0] == counted[1]
         # One node for each set: its smallest doc_id, combined before the shuffle.
-        least = described.where("mark is null and n > 0 and doc_id is not null").groupBy("s1").agg(F.min(F.struct("doc_id", "t", "n", "sketch")).alias("x"))
+        least = described.where("mark is null and n > 0 and doc_id is not null").groupBy("s1").agg(F.min(F.struct("doc_id", "t", "n", "sketch", "wide")).alias("x"))
         node_id = F.col("x.doc_id") if self.unique else F.struct("x.doc_id", "s1")
-        nodes = store.keep(least.select("s1", F.col("s1").bitwiseAND(F.lit((1 << 40) - 1)).alias("part"), node_id.alias("id"), "x.t", "x.n", "x.sketch"), "nodes")
+        nodes = store.keep(least.select("s1", F.col("s1").bitwiseAND(F.lit((1 << 40) - 1)).alias("part"), node_id.alias("id"), "x.t", "x.n", "x.sketch", "x.wide"), "nodes")
         buckets = store.keep(described.where("mark is not null").groupBy("mark", "part", "hub").agg(F.count(F.lit(1)).alias("agree")), "buckets")
 
+        side = lambda c: nodes.select(F.col("part").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("s1", "t", "n", "sketch", "wide")))
         # First each set with the two hubs that it shares the most segments with.
         common = buckets.where("part <> hub").groupBy("hub", F.col("part").alias("node")).agg(F.sum("agree").alias("agree"))
-        best = Window.partitionBy("node").orderBy(F.desc("agree"), "hub")
-        near = self._may_link(common, nodes, "part", "part")
-        chosen = near.withColumn("r", F.row_number().over(best)).where("r <= 2").select("hub", "node", "hub_t", "node_t")
+        near = common.join(side("hub"), "hub").join(side("node"), "node").where((F.col("hub_s1") != F.col("node_s1")) & self._may_link("hub_", "node_"))
+        best = Window.partitionBy("node_s1").orderBy(F.desc("agree"), "hub_s1")
+        chosen = self._still_may(near).withColumn("r", F.row_number().over(best)).where("r <= 2").select(F.col("hub_s1").alias("hub"), F.col("node_s1").alias("node"), "hub_t", "node_t")
         first = store.keep(chosen, "pairs-1")
         links = self._verify(first, nodes, "links-1")
         parts = components(links, store, "parts-1")
         release(spark)
 
         # Then all that met and are in different components still. Sketches only join what is left.
-        placed = nodes.join(parts.withColumnRenamed("node", "id"), "id", "left").select("part", "s1", "n", F.coalesce("component", "id").alias("component"))
+        placed = nodes.join(parts.withColumnRenamed("node", "id"), "id", "left").select("part", "s1", F.coalesce("component", "id").alias("component"))
         own = store.keep(buckets.select("mark", "part").distinct().join(placed, "part").drop("part"), "met")
         split = own.groupBy("mark").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("mark", "c0")
-        open_ = store.keep(own.join(split, "mark"), "open")
-        l = open_.where("component <> c0").select("mark", *(F.col(c).alias(f"l_{c}") for c in ("s1", "n", "component")))  # noqa: E741
-        r = open_.select("mark", *(F.col(c).alias(f"r_{c}") for c in ("s1", "n", "component")))
+        open_ = store.keep(own.join(split, "mark").join(nodes.select("s1", "n", "sketch"), "s1"), "open")
+        l = open_.where("component <> c0").select("mark", *(F.col(c).alias(f"l_{c}") for c in ("s1", "n", "sketch", "component")))  # noqa: E741
+        r = open_.select("mark", *(F.col(c).alias(f"r_{c}") for c in ("s1", "n", "sketch", "component")))
         # Both sides outside the least component would come twice.
         once = F.col("r_component") < F.col("l_component")
-        more = l.join(r, (l["mark"] == r["mark"]) & once & self._fits("l_n", "r_n"))
+        more = l.join(r, (l["mark"] == r["mark"]) & once & self._may_link("l_", "r_"))
         more = more.select(F.least("l_s1", "r_s1").alias("hub"), F.greatest("l_s1", "r_s1").alias("node")).distinct()
         done = first.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
-        second = store.keep(self._may_link(more.join(done, ["hub", "node"], "left_anti"), nodes, "s1", "s1"), "pairs-2")
+        named = lambda c: nodes.select(F.col("s1").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("t", "n", "wide")))
+        more = more.join(done, ["hub", "node"], "left_anti").join(named("hub"), "hub").join(named("node"), "node")
+        second = store.keep(self._still_may(more).select("hub", "node", "hub_t", "node_t"), "pairs-2")
         links2 = self._verify(second, nodes, "links-2")
         self.links = links.unionByName(links2)
         if links2.head(1):
