@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter, defaultdict
 
 from tidemark.llm import pii_bootstrap as pii
 from tidemark.llm.queries import queries
@@ -98,3 +101,87 @@ def test_behind_a_pattern_no_digits_are_needed(spark):
         if r.doc_id == 103:
             ((kind, a, b),) = [(s.kind, s.start, s.finish) for s in r.spans]
             assert kind == "email" and unseen[103][0][a:b] == "jane.doe@intranet"
+
+
+def patterns(left):
+    words = [w.lower()[-pii.WORD :] for w in re.split(r"[ \t\n\x0b\f\r]+", left) if w]
+    return ([" ".join(words[-2:])] if len(words) > 1 else []) + (words[-1:] if words and words[-1][-1] in ":=#" else [])
+
+
+def graph(texts):
+    """Accepted patterns by plain Python: scores of patterns and instances in turn, over all occurrences."""
+    known, unknown, total = Counter(), Counter(), Counter()
+    for t in texts:
+        words = [w.lower()[-pii.WORD :] for w in re.split(r"[ \t\n\x0b\f\r]+", t.strip(" ").lower())]
+        for i in range(1, len(words)):
+            total.update([f"{words[i - 2]} {words[i - 1]}"] if i > 1 else [])
+            total.update([words[i - 1]] if words[i - 1][-1:] in (":", "=", "#") else [])
+        seeds = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute(t).split(",") if x)]
+        for k, a, b in seeds:
+            known.update((p, f"{k}:{t[a:b].lower()}", k) for p in patterns(t[:a]))
+        for m in re.finditer(r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z._@+-]*[0-9])[A-Za-z0-9._@+-]+", t):
+            if len(re.sub("[^0-9]", "", m[0])) >= 4 and not any(a < m.end() and m.start() < b for _, a, b in seeds):
+                unknown.update((p, m[0].lower()) for p in patterns(t[: m.start()]))
+    support = Counter((p, k) for p, _, k in known)
+    backed = {x for x, n in support.items() if n >= pii.SUPPORT}
+    own = Counter()
+    for (p, *_), n in [*known.items(), *unknown.items()]:
+        own[p] += n
+    fixed = Counter()
+    for (p, _, k), n in known.items():
+        if p in {q for q, _ in backed}:
+            fixed[p, k] += n
+    weight = dict(fixed)
+    for _ in range(pii.ROUNDS):
+        score = {(p, k): min(0.99, w / (max(own[p], total[p]) + 1)) for (p, k), w in weight.items()}
+        miss = defaultdict(float)
+        for p, x in unknown:
+            for (q, k), v in score.items():
+                if p == q:
+                    miss[x, k] += math.log1p(-v)
+        weight = defaultdict(float, fixed)
+        for (p, x), n in unknown.items():
+            for (y, k), v in miss.items():
+                if x == y and p in {q for q, _ in backed}:
+                    weight[p, k] += n * (1 - math.exp(v))
+    return {(p, k): round(v, 9) for (p, k), v in score.items() if v >= pii.ACCEPT and (p, k) in backed}
+
+
+def test_graph_equals_plain_python(spark):
+    r = random.Random(8)
+    words = ["call", "me:", "Phone=", "mail", "id#", "the", "x" * 70 + ":", "at"]
+    accepted = 0
+    for corpus in range(3):
+        texts = []
+        for i in range(120):
+            t = ""
+            for _ in range(r.randrange(1, 9)):
+                lead = r.choice(words[:4]) + r.choice([" ", "  \n", " " * 300]) + r.choice(words)
+                value = r.choice([f"+1 555 010 {r.randrange(1000, 1040)}", f"u{r.randrange(30)}@ex.org", f"AB-{r.randrange(2000, 2012)}", "soon", f"10.0.0.{r.randrange(30)}"])
+                t += lead + r.choice([" ", "\t", ""]) + value + " "
+            texts.append(t)
+        got = {(x.pattern, x.kind): round(x.score, 9) for x in pii.Extraction(frame(spark, list(enumerate(texts)))).accepted.collect()}
+        assert got == graph(texts)
+        accepted += len(got)
+    assert accepted > 3
+
+
+def test_long_tokens_and_words_are_read_whole(spark):
+    seeds = [(i, f"some words then Call me:  +1 555 010 {1000 + i} and more") for i in range(9)]
+    seeds += [(20 + i, f"{'w' * 300}{i % 2} {'v' * 90}: user{i}@example.com") for i in range(9)]
+    token = "b" * 60 + "-0199-77"
+    unseen = [(50, f"call me: {token} x"), (51, f"{'u' * 77}{'v' * 41}: jane(at)home x")]
+    rows = {x.doc_id: [(s.kind, s.start, s.finish) for s in x.spans] for x in pii.find(frame(spark, seeds + unseen)).collect()}
+    assert rows[50] == [("phone", 9, 9 + len(token))]
+    at = unseen[1][1].index("jane")
+    assert rows[51] == [("email", at, at + len("jane(at)home"))]
+
+
+def test_many_spans_in_one_text_take_no_square_of_time(spark):
+    line = " ".join(f"10.{i % 250}.{i // 250 % 250}.7" for i in range(20_000))
+    docs = frame(spark, [(1, "begin " + line), (2, "call 1234")])
+    pii.redact(frame(spark, [(1, "warm 10.0.0.1 up")])).collect()
+    began = time.perf_counter()
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean == {1: "begin " + " ".join(["<IP>"] * 20_000), 2: "call 1234"}
+    assert time.perf_counter() - began < 40  # four passes over the text, two of them for spans

@@ -7,7 +7,8 @@
    the scores of patterns: ordinary words would lift every pattern that they stand behind, again each
    round (one with a seed share of 0.3 to 0.64 in three rounds).
 3. *Graph.* What stands left of a span is its lexical pattern: the two words before it, and the one
-   word before it if that ends like a label (``:``, ``=``, ``#``). Patterns and the instances (values) that
+   word before it if that ends like a label (``:``, ``=``, ``#``). Of a word the last ``WORD`` code points
+   count, everywhere alike; blanks between words may be many. Patterns and the instances (values) that
    they stand before are the two sides of a graph; its edges are counted, combined before the shuffle.
 4. *Scores.* Seeds have score 1. A pattern's score for a kind is the share of all its occurrences in the
    corpus, whatever follows, that are instances of the kind, weighted by their scores; a candidate's is
@@ -24,17 +25,20 @@ of a fixed 128 KB, keeps words that belong to no pattern out of the shuffle.
 Null texts count as empty and have no spans, as have empty ones. Repeated rows are read once each, and
 each adds to the counts. Extra columns are ignored and an empty table gives an empty result. Offsets are
 code points, the end exclusive. Very long texts and tokens are read whole: the patterns are possessive,
-so no input makes them try again and again.
+so no input makes them try again and again, and spans are placed, compared and replaced in chunks of about the
+square root of their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, only
+from .arrays import chunks, indexed, let, next_start, overlaps, scan
+from .common import Columns, Stored, only
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -49,8 +53,8 @@ FORMS = {
 }
 #: What a text needs to hold any seed or candidate.
 ANY = "[0-9@]"
-#: A token with a digit among its first characters.
-TOKEN = r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z._@+-]{0,40}[0-9])[A-Za-z0-9._@+-]++"
+#: A token with a digit.
+TOKEN = r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z._@+-]*+[0-9])[A-Za-z0-9._@+-]++"
 VOUCHING_DIGITS = 4
 #: Where a word begins, and where a token begins inside of one.
 WORD_BEGINS = r"(?<=\s)(?=\S)"
@@ -60,31 +64,78 @@ LEAD = r"""^(?:["'<{\u00AB\u201C\u2018]|[(\[](?![+(\[]*[0-9]))*+"""
 SPAN = r"^(?:[+(\[]*+[0-9](?:(?:\.|[\x20()\[\]-]++)?+[0-9])*+)?+\S*+"
 TRAIL = r"""[.,;:!?"'()\[\]{}<>\u00BB\u201D\u2019]++$"""
 BLANKS = " \t\n\x0b\f\r"
-#: Code points to the left of a span in which its pattern is looked for.
-LEFT = 80
+#: Code points of a word, from its end, that count in a pattern.
+WORD = 40
+#: Code points to the left of a span that are looked at first, and whether two whole words are among them.
+NEAR, ENOUGH = 200, r"\s\S++\s++\S++\s*+$"
+#: Spans before one that may be part of its pattern: each has five code points at least, a pattern two words.
+BEFORE = 17
 ROUNDS = 3
 ACCEPT = 0.6
 SUPPORT = 3
 BITMAP_BITS = 1 << 20
 
-_SPAN = "array<struct<start:long,finish:long,value:string>>"
-_EMPTY = f"cast(array() as {_SPAN})"
+_FOUND = "struct<start:bigint,finish:bigint,value:string>"
+_SPAN = "struct<start:bigint,finish:bigint,value:string,patterns:array<string>>"
+_EMPTY = f"cast(array() as array<{_SPAN}>)"
 _NONE = "cast(array() as array<struct<start:long,order:int,finish:long,kind:string>>)"
 
 
-def spans_of(text: Column, form: str) -> Column:
-    """All matches with their places: lengths of matches and of the gaps between them, added up."""
-    matches = F.regexp_extract_all(text, F.lit(form), F.lit(0))
-    gaps = F.split(text, form, -1)
-    steps = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("value")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(_EMPTY).alias("out"))
+def spans_of(text: Column, form: str, sound: Callable[[Column], Column]) -> Column:
+    """All matches whose value is sound, with their places and patterns. Places are the lengths of matches and of
+    the gaps between them, added up; patterns are read from these gaps."""
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), (begin + x["size"]).alias("finish"), x["value"].alias("value"))
-        return F.struct((begin + x["size"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def of(matches: Column, gaps: Column) -> Column:
+        steps = F.zip_with(matches, gaps, lambda m, g: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("value")))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+        def step(at: Column, x: Column) -> Column:
+            begin = at + x["gap"]
+            return F.struct((begin + x["size"]).alias("state"), F.struct(begin.alias("start"), (begin + x["size"]).alias("finish"), x["value"].alias("value")).alias("out"))
+
+        placed = scan(steps, F.lit(0).cast("long"), step, _FOUND)
+        kept = F.filter(F.transform(placed, lambda s, i: F.struct(s["start"], s["finish"], s["value"], i.alias("i"))), lambda s: sound(s["value"]))
+
+        def named(spans: Column) -> Column:
+            parts = F.flatten(F.zip_with(F.transform(gaps, _tail), matches, lambda g, m: F.array(g, m)))
+            own = let(parts, lambda p: F.transform(spans, lambda s: F.struct(s["start"], s["finish"], s["value"], _patterns(_left(p, s["i"])).alias("patterns"))))
+            return F.when(F.size(spans) > 0, own).otherwise(F.expr(_EMPTY))
+
+        return let(kept, named)
+
+    found = let(F.regexp_extract_all(text, F.lit(form), F.lit(0)), lambda m: let(F.slice(F.split(text, form, -1), F.lit(1), F.size(m)), lambda g: of(m, g)))
+    return F.when(text.rlike(form), found).otherwise(F.expr(_EMPTY))
+
+
+def _short(left: Column) -> Column:
+    """Blanks as one each, and more of the end of each long word than a pattern may have."""
+    return F.regexp_replace(F.regexp_replace(left, r"\s+", " "), rf"(?<!\S)\S+?(?=\S{{{WORD + 20}}}(?!\S))", "")
+
+
+def _tail(gap: Column) -> Column:
+    """The end of a gap between matches: all that the pattern of a span behind it can hold of it."""
+    return let(F.right(gap, F.lit(NEAR)), lambda r: F.when((F.length(gap) <= NEAR) | r.rlike(ENOUGH), r).otherwise(F.right(_short(gap), F.lit(NEAR))))
+
+
+def _left(parts: Column, i: Column) -> Column:
+    """What stands left of match ``i``: the tail before it, or that with matches and tails before where it is short."""
+    own, first = F.get(parts, 2 * i), F.greatest(2 * i - 2 * BEFORE, F.lit(0))
+    return F.when((i == 0) | own.rlike(ENOUGH), own).otherwise(_short(F.array_join(F.slice(parts, first + 1, 2 * i - first + 1), "")))
+
+
+def _word(word: Column) -> Column:
+    """What counts of a word in a pattern."""
+    return let(F.lower(word), lambda w: F.when(F.length(w) > WORD, F.right(w, F.lit(WORD))).otherwise(w))
+
+
+def _patterns(left: Column) -> Column:
+    one, two = F.regexp_extract(left, r"(?<!\S)(\S++)\s*+$", 1), F.regexp_extract(left, r"(?<!\S)(\S++)\s++\S++\s*+$", 1)
+    return let(F.struct(_word(one).alias("last"), _word(two).alias("first")), lambda w: _of_words(w["first"], w["last"]))
+
+
+def _of_words(first: Column, last: Column) -> Column:
+    """The patterns of two words before a span (empty: none): both, a label, or both of these."""
+    both = F.when((first != "") & (last != ""), F.concat(first, F.lit(" "), last))
+    return F.array_compact(F.array(both, F.when(last.rlike("[:=#]$"), last)))
 
 
 def _digits(value: Column) -> Column:
@@ -119,52 +170,36 @@ def _sound(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _checked(kind: str):
-    return lambda s: _sound(kind, s["value"])
-
-
 def _tagged(order: int, kind: str):
     def tag(s: Column) -> Column:
         instance = F.sha2(F.concat(F.lit(f"{kind}:"), F.lower(s["value"])), 256)
-        return F.struct(
-            s["start"].alias("start"), F.lit(order).alias("order"), s["finish"].alias("finish"), F.lit(kind).alias("kind"), instance.alias("instance"),
-            _context(F.col("text"), s["start"]).alias("patterns"),
-        )
+        return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["finish"].alias("finish"), F.lit(kind).alias("kind"), instance.alias("instance"), s["patterns"].alias("patterns"))
 
     return tag
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The patterns that a span at ``start`` has: none, two words, a label, or both."""
-    return _patterns(F.substring(text, F.greatest(start - LEFT, F.lit(0)).cast("int") + 1, F.least(start, F.lit(LEFT)).cast("int")))
-
+def _forms(text: Column) -> dict[str, Column]:
+    """The spans of each kind in ``text``."""
+    may = text.rlike(ANY)
+    gates = {"email": text.contains("@"), "ip": text.contains("."), "card": F.lit(True), "phone": text.contains("+")}
+    return {k: F.when(may & gates[k], spans_of(text, FORMS[k], lambda v, k=k: _sound(k, v))).otherwise(F.expr(_EMPTY)) for k in KINDS}
 
-def _patterns(left: Column) -> Column:
-    left = F.lower(left)
-    two = F.regexp_extract(left, r"(\S+\s+\S+)\s*+$", 1)
-    one = F.regexp_extract(left, r"(\S+)\s*+$", 1)
-    label = F.when(one.rlike("[:=#]$"), one)
-    return F.array_compact(F.array(F.when(two != "", F.regexp_replace(two, r"\s+", " ")), label))
 
-
-def _with_forms(df: DataFrame) -> DataFrame:
-    """A column for each kind with its spans in ``text``."""
-    may = F.col("text").rlike(ANY)
-    gates = {"email": F.col("text").contains("@"), "ip": F.col("text").contains("."), "card": F.lit(True), "phone": F.col("text").contains("+")}
-    found = {k: F.when(may & gates[k], spans_of(F.col("text"), FORMS[k])).otherwise(F.expr(_EMPTY)) for k in KINDS}
-    return df.withColumns({f"__{k}": F.filter(found[k], _checked(k)) for k in KINDS})
+def _with_seeds(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text (null as empty) and its seeds: (start, order, finish, kind, instance, patterns), sorted."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    df = only(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    found = _forms(F.col("text"))
+    return df.withColumn("seeds", F.array_sort(F.concat(*(F.transform(found[kind], _tagged(i, kind)) for i, kind in enumerate(KINDS)))))
 
 
 def annotate(docs: DataFrame) -> DataFrame:
-    """doc_id with ``seeds`` (kind, start, finish, value, patterns) and ``candidates`` (the same, no kind)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = only(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row"))
-    df = _with_forms(df)
-    df = df.withColumn("seeds", F.array_sort(F.concat(*(F.transform(f"__{kind}", _tagged(i, kind)) for i, kind in enumerate(KINDS)))))
+    """row, doc_id, ``seeds`` and ``candidates`` (start, finish, instance, patterns)."""
+    df = _with_seeds(docs)
     may = F.col("text").rlike(ANY)
-    tokens = F.when(may, F.filter(spans_of(F.col("text"), TOKEN), lambda s: F.length(_digits(s["value"])) >= VOUCHING_DIGITS)).otherwise(F.expr(_EMPTY))
-    clear = F.filter(tokens, lambda s: ~F.exists("seeds", lambda b: (b["start"] < s["finish"]) & (s["start"] < b["finish"])))
-    named = F.transform(clear, lambda s: F.struct(s["start"].alias("start"), s["finish"].alias("finish"), F.sha2(F.lower(s["value"]), 256).alias("instance"), _context(F.col("text"), s["start"]).alias("patterns")))
+    tokens = F.when(may, spans_of(F.col("text"), TOKEN, lambda v: F.length(_digits(v)) >= VOUCHING_DIGITS)).otherwise(F.expr(_EMPTY))
+    clear = let(indexed(F.col("seeds")), lambda index: F.filter(tokens, lambda s: ~overlaps(index, s["start"], s["finish"])))
+    named = F.transform(clear, lambda s: F.struct(s["start"].alias("start"), s["finish"].alias("finish"), F.sha2(F.lower(s["value"]), 256).alias("instance"), s["patterns"].alias("patterns")))
     return df.select("row", "doc_id", "seeds", named.alias("candidates"))
 
 
@@ -198,7 +233,8 @@ def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
         return patterns.select("pattern", F.lit(0).cast("long").alias("total"))
     list_ = F.split(F.lower(F.trim(F.coalesce(F.col("text"), F.lit("")))), r"\s+")
     # A pattern is two words, or a label, with a word after it.
-    of_words = only(docs, "text").select(list_.alias("w")).where("size(w) > 1")
+    short = F.transform(list_, lambda a: F.when(F.length(a) > WORD, F.right(a, F.lit(WORD))).otherwise(a))
+    of_words = only(docs, "text").select(short.alias("w")).where("size(w) > 1")
     n = F.size("w")
     two = F.when(n > 2, F.zip_with(F.slice("w", F.lit(1), n - 2), F.slice("w", F.lit(2), n - 2), lambda a, b: _pattern_hash(F.concat(a, F.lit(" "), b)))).otherwise(F.array().cast("array<long>"))
     label = F.transform(F.filter(F.slice("w", F.lit(1), n - 1), lambda a: a.rlike("[:=#]$")), _pattern_hash)
@@ -207,71 +243,70 @@ def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("h", _pattern_hash(F.col("pattern"))).join(counts, "h", "left").select("pattern", F.coalesce("total", F.lit(0)).alias("total"))
 
 
-def _end(left: Column) -> Column:
-    return F.substring(left, -LEFT, LEFT)
-
-
 def annotate_behind(docs: DataFrame, accepted: DataFrame) -> DataFrame:
     """As annotate(), but with candidates for all that stands behind an accepted pattern (or, by chance of
     the bitmap, another), whatever it is made of."""
     last = _bitmap(accepted.select(_pattern_hash(F.substring_index("pattern", " ", -1)).alias("h")))
     whole = _bitmap(accepted.select(_pattern_hash(F.col("pattern")).alias("h")))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = only(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row"))
-    df = _with_forms(df)
-    df = df.withColumn("seeds", F.array_sort(F.concat(*(F.transform(f"__{kind}", _tagged(i, kind)) for i, kind in enumerate(KINDS)))))
-    df = df.withColumn("__raw", F.split("text", WORD_BEGINS, -1))
+    df = _with_seeds(docs)
     none = F.expr("cast(array() as array<struct<i:int,inside:int,patterns:array<string>>>)")
 
-    def before(i: Column, k: int) -> Column:
-        return F.when(i >= k, F.get("__raw", i - k)).otherwise(F.lit(""))
+    def word(raw: Column, i: Column, k: int) -> Column:
+        """The word ``k`` before word ``i``, as patterns have it."""
+        return F.when(i >= k, _word(F.rtrim(F.get(raw, i - k), F.lit(BLANKS)))).otherwise(F.lit(""))
 
-    def begin(i: Column, prefix: Column, inside: Column) -> Column:
-        """An array with the place, if its last word ends an accepted pattern."""
-        left = _end(F.concat(before(i, 2), before(i, 1), prefix))
-        found = F.filter(_patterns(left), lambda p: _inside(whole, _pattern_hash(p)))
-        return F.array(F.struct(i.alias("i"), inside.cast("int").alias("inside"), found.alias("patterns")))
+    def fits(w: Column) -> Column:
+        return _inside(last, _pattern_hash(w))
 
-    def fits(word: Column) -> Column:
-        return _inside(last, _pattern_hash(F.lower(F.rtrim(_end(word), F.lit(BLANKS)))))
+    def begin(i: Column, inside: Column, patterns: Column) -> Column:
+        found = F.filter(patterns, lambda p: _inside(whole, _pattern_hash(p)))
+        return F.array(F.struct(i.alias("i"), inside.cast("int").alias("inside"), found.alias("patterns")))
 
-    def of_word(x: Column, i: Column) -> Column:
-        own = F.when((i > 0) & fits(before(i, 1)), begin(i, F.lit(""), F.lit(0))).otherwise(none)
+    def of_word(raw: Column, x: Column, i: Column) -> Column:
+        own = let(word(raw, i, 1), lambda w: F.when((i > 0) & fits(w), begin(i, F.lit(0), _of_words(word(raw, i, 2), w))).otherwise(none))
 
         def of_pieces(pieces: Column) -> Column:
             def of_piece(j: Column) -> Column:
-                # Each piece has a character at least, so that so many make up the left side.
-                near = F.array_join(F.slice(pieces, F.greatest(j - LEFT, F.lit(0)) + 1, F.least(j, F.lit(LEFT))), "")
-                return F.when(fits(near), begin(i, near, F.length(F.array_join(F.slice(pieces, F.lit(1), j), "")))).otherwise(none)
-
-            return F.flatten(F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), of_piece))
+                # Each piece has a character at least, so that so many hold all of a word that counts.
+                near = _word(F.array_join(F.slice(pieces, F.greatest(j - 2 * WORD, F.lit(0)) + 1, F.least(j, F.lit(2 * WORD))), ""))
+                at = F.length(F.array_join(F.slice(pieces, F.lit(1), j), ""))
+                return let(near, lambda w: F.when(fits(w), begin(i, at, _of_words(word(raw, i, 1), w))).otherwise(none))
 
-        def several(pieces: Column) -> Column:
-            return F.when(F.size(pieces) > 1, of_pieces(pieces)).otherwise(none)
+            return F.when(F.size(pieces) > 1, F.flatten(F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), of_piece))).otherwise(none)
 
-        inner = F.when(x.rlike(TOKEN_BEGINS), F.flatten(F.transform(F.array(F.split(x, TOKEN_BEGINS, -1)), several))).otherwise(none)
+        inner = F.when(x.rlike(TOKEN_BEGINS), let(F.split(x, TOKEN_BEGINS, -1), of_pieces)).otherwise(none)
         return F.concat(own, inner)
 
-    df = df.withColumn("__begins", F.filter(F.flatten(F.transform("__raw", of_word)), lambda b: F.size(b["patterns"]) > 0))
+    def of_text(raw: Column, index: Column) -> Column:
+        begins = F.filter(F.flatten(F.transform(raw, lambda x, i: of_word(raw, x, i))), lambda b: F.size(b["patterns"]) > 0)
+
+        def step(state: Column, b: Column) -> Column:
+            """Where the word of a place begins: that of the place before, and the words between."""
+            at = state["at"] + F.length(F.array_join(F.slice(raw, state["i"] + 1, b["i"] - state["i"]), ""))
+            return let(at, lambda at: F.struct(F.struct(b["i"].alias("i"), at.alias("at")).alias("state"), F.struct((at + b["inside"]).alias("at"), b["i"].alias("i"), b["inside"].alias("inside"), b["patterns"].alias("patterns")).alias("out")))
 
-    def span(b: Column) -> Column:
-        start = (F.length(F.array_join(F.slice("__raw", F.lit(1), b["i"]), "")) + b["inside"]).cast("long")
-        within = F.exists("seeds", lambda s: (s["start"] <= start) & (start < s["finish"]))
-        next_ = F.array_min(F.transform(F.filter("seeds", lambda s: s["start"] > start), lambda s: s["start"]))
-        size = F.coalesce(next_ - start, F.length("text").cast("long"))
-        rest = F.when(~within, F.substring(F.col("text"), (start + 1).cast("int"), size.cast("int"))).otherwise(F.lit(""))
-        return F.struct(start.alias("at"), rest.alias("rest"), b["patterns"].alias("patterns"))
+        zero = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("at"))
+        placed = scan(begins, zero, step, "struct<at:bigint,i:int,inside:int,patterns:array<string>>")
+        free = F.filter(placed, lambda b: ~overlaps(index, b["at"], b["at"] + 1))
 
-    def trimmed(b: Column) -> Column:
-        lead = F.length(F.regexp_extract(b["rest"], LEAD, 0))
-        value = F.regexp_replace(F.regexp_extract(F.substring(b["rest"], lead + 1, F.length(b["rest"])), SPAN, 0), TRAIL, "")
-        return F.struct(b["at"].alias("at"), lead.alias("lead"), value.alias("value"), b["patterns"].alias("patterns"))
+        def rest(b: Column) -> Column:
+            """The rest of the word, and of the text where digits may go on behind it; up to the next seed."""
+            more = F.coalesce(F.get(raw, b["i"] + 1), F.lit("")).rlike(r"^[()\[\]+-]*+(?:[0-9]|\s|$)")
+            words = F.when(more, F.array_join(F.slice(raw, b["i"] + 1, F.size(raw)), "")).otherwise(F.get(raw, b["i"]))
+            size = F.coalesce(next_start(index, b["at"]) - b["at"], F.length("text").cast("long"))
+            return F.struct(b["at"].alias("at"), F.substring(words, b["inside"] + 1, size.cast("int")).alias("rest"), b["patterns"].alias("patterns"))
+
+        def trimmed(b: Column) -> Column:
+            lead = F.length(F.regexp_extract(b["rest"], LEAD, 0))
+            return let(lead, lambda n: F.struct(b["at"].alias("at"), n.alias("lead"), F.regexp_replace(F.regexp_extract(F.substring(b["rest"], n + 1, F.length(b["rest"])), SPAN, 0), TRAIL, "").alias("value"), b["patterns"].alias("patterns")))
+
+        return F.filter(F.transform(F.transform(free, rest), trimmed), lambda b: b["value"].rlike(r"[\p{L}\p{N}]"))
 
     def placed(b: Column) -> Column:
         start = b["at"] + b["lead"]
         return F.struct(start.alias("start"), (start + F.length(b["value"])).alias("finish"), F.sha2(F.lower(b["value"]), 256).alias("instance"), b["patterns"].alias("patterns"))
 
-    found = F.filter(F.transform(F.transform("__begins", span), trimmed), lambda b: b["value"].rlike(r"[\p{L}\p{N}]"))
+    found = let(F.split("text", WORD_BEGINS, -1), lambda raw: let(indexed(F.col("seeds")), lambda index: of_text(raw, index)))
     return df.select("row", "doc_id", "seeds", F.transform(found, placed).alias("candidates"))
 
 
@@ -345,32 +380,49 @@ def redact(docs: DataFrame) -> DataFrame:
     bitmap of fixed size keeps most documents without any out of that join. Rows that repeat a text
     have the same spans, so texts are joined by their hash.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("__key", F.xxhash64(text, F.sha2(text, 256)))
-    work = Extraction(keyed.select(F.col("__key").alias("doc_id"), "text"))
-    more = work.rows.join(work.discovered(), "row").groupBy(F.col("doc_id").alias("__key")).agg(F.min(F.array_sort("more")).alias("__more"))
+    own = Columns(docs)
+    text = F.coalesce(F.col(own.of("text")), F.lit(""))
+    keyed = own.df.withColumn("key", F.xxhash64(text, F.sha2(text, 256)))
+    work = Extraction(keyed.select(F.col("key").alias("doc_id"), F.col(own.of("text")).alias("text")))
+    more = work.rows.join(work.discovered(), "row").groupBy(F.col("doc_id").alias("key")).agg(F.min(F.array_sort("more")).alias("more"))
     more = work.store.keep(more, "discovered")
-    bitmap = _bitmap(more.select(F.col("__key").alias("h")))
+    bitmap = _bitmap(more.select(F.col("key").alias("h")))
     if bitmap is None:
-        both = keyed.withColumn("__more", F.expr(_NONE))
+        both = keyed.withColumn("more", F.expr(_NONE))
     else:
-        held = keyed.where(_inside(bitmap, F.col("__key"))).join(more, "__key", "left").select(*keyed.columns, "__more")
-        both = keyed.where(~_inside(bitmap, F.col("__key"))).withColumn("__more", F.expr(_NONE)).unionByName(held)
-    forms = _with_forms(both)
-    spans = F.array_sort(F.concat(*(F.transform(f"__{kind}", _placed(i, kind)) for i, kind in enumerate(KINDS)), F.coalesce("__more", F.expr(_NONE))))
-    ready = forms.withColumn("__spans", spans)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        put = F.concat(acc["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        # A span within or across the one before only moves the end.
-        over = s["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], s["finish"]).alias("at"), F.when(over, acc["out"]).otherwise(put).alias("out"))
-
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    some = F.size("__spans") > 0
-    out = ready.withColumn("text", F.when(some, clean).otherwise(F.col("text")))
+        held = keyed.where(_inside(bitmap, F.col("key"))).join(more, "key", "left").select(*keyed.columns, "more")
+        both = keyed.where(~_inside(bitmap, F.col("key"))).withColumn("more", F.expr(_NONE)).unionByName(held)
+    found = _forms(text)
+    spans = F.array_sort(F.concat(*(F.transform(found[kind], _placed(i, kind)) for i, kind in enumerate(KINDS)), F.coalesce("more", F.expr(_NONE))))
+    both = both.withColumn("clean", let(spans, lambda s: F.when(F.size(s) > 0, _replaced(text, s))))
+    out = both.withColumn(own.of("text"), F.coalesce("clean", own.of("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+        n_chars = own.of("n_chars")
+        out = out.withColumn(n_chars, F.when(F.col("clean").isNotNull(), F.length("clean").cast(own.df.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return own.back(out)
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """``text`` with the kind of each span (start, order, finish, kind; sorted) in its place. Gaps are cut out of
+    the text of a chunk of spans, and pieces put together at the end."""
+
+    def over_chunk(acc: Column, chunk: Column) -> Column:
+        base = acc["at"]
+        end = F.greatest(base, F.array_max(F.transform(chunk, lambda s: s["finish"])))
+
+        def pieces(part: Column) -> Column:
+            begin = F.struct(base.alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+
+            def step(a: Column, s: Column) -> Column:
+                gap = F.substring(part, (a["at"] - base + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
+                # A span within or across the one before only moves the end.
+                put = F.when(s["start"] < a["at"], F.lit("")).otherwise(F.concat(gap, F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+                return F.struct(F.greatest(a["at"], s["finish"]).alias("at"), F.concat(a["out"], F.array(put)).alias("out"))
+
+            return F.aggregate(chunk, begin, step)
+
+        part = F.substring(text, (base + 1).cast("int"), (end - base).cast("int"))
+        return let(let(part, pieces), lambda v: F.struct(v["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(v["out"], ""))).alias("out")))
+
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    return F.aggregate(chunks(spans), begin, over_chunk, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
