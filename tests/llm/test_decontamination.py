@@ -1,6 +1,10 @@
 import hashlib
+import pickle
 import random
 import re
+import tracemalloc
+
+import numpy as np
 
 from tidemark.llm import decontamination
 
@@ -101,3 +105,14 @@ def test_items_without_id_are_searched(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "blocks", lambda b: iter([[(i if i is None else str(i), t)] for i, t in items]))
     assert read() == want
     assert [r.doc_id for r in decontamination.remove(docs, bench).collect()] == [3]
+
+
+def test_a_block_is_some_forty_bytes_a_word():
+    r = np.random.default_rng(1)
+    items = [(str(i), " ".join(f"w{x}" for x in r.integers(0, 50_000, 1000))) for i in range(400)]
+    tracemalloc.start()
+    block = decontamination.Windows(items, 13)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    (g,) = block.groups
+    assert len(g.at) == 400 * 988 and held < 100 * 400_000 and len(pickle.dumps(block)) < 60 * 400_000

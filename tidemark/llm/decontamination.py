@@ -1,120 +1,168 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Words of documents and benchmark items are numbered by the benchmark's vocabulary; a word that no item
-has can be part of no match and gets 0. Each task cuts its documents into shards and builds, for every
-shard, an array of its suffixes sorted by their first ``window`` words. Suffixes whose first few words
-begin no window are left out beforehand, since they can match none; the array so holds every suffix
-that a search can return. Then each benchmark suffix is looked up by binary search: its lower and
-upper bound in the array delimit all places where its window occurs. Places that follow each other
-in document and item join to maximal verbatim matches, which give the longest match and location.
+Words of documents and benchmark items are 64-bit hashes, numbered by the benchmark's vocabulary; a word that
+no item has can be part of no match and gets 0. Each task cuts its documents into shards and builds, for
+every shard, an array of its suffixes sorted by their first ``window`` words. Suffixes whose first few
+words begin no window are left out beforehand, since they can match none; the array so holds every suffix
+that a search can return. Then the benchmark suffixes that begin like any of these are looked up by binary
+search: their lower and upper bound in the array delimit all places where their window occurs. Places that
+follow each other in document and item join to maximal verbatim matches, which give the longest match and
+location.
 
 A benchmark item of fewer words than a window, but not none, is one window of its own length. A word
 of a document is hit if it lies in an occurrence of any window; a document is contaminated if at
 least a twentieth of its words, and one word, are hit.
 
-The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, so what is sent has a
-bound; with more blocks, the documents are read once for each and the hits of all blocks are joined.
+The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words (or one longer item), as arrays of
+some forty bytes a word. The driver makes one block after the other, and a task that has several holds one at a
+time and looks it up in a whole shard; documents are read once, however many blocks there are.
 
 Null texts have no words, as have empty ones: nothing hit, not contaminated. Items with null, empty
 or word-less text have no windows; of items with the same text each counts. Items with a null item_id are
 searched like others; in n_items all that a document holds count as one, items_sha256 leaves them out, and
 their matches have a null item_id. Repeated documents are
-judged alike. Very long documents make a shard of their own. Extra columns are ignored.
+judged alike. Very long documents make a shard of their own. Extra columns are ignored. Two words of one hash
+would be taken for the same; of a billion different words one pair in forty is expected to share one.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, only, ship
+from .common import Columns, only, ship
+from .textbytes import byte_values, mix, words
 
 WINDOW = 13
-#: Words of documents in one suffix array.
-SHARD_WORDS = 1_000_000
+#: Bytes of documents in one suffix array (or one longer document).
+SHARD_BYTES = 8 << 20
 #: Words of benchmark items sent to tasks at once.
 BLOCK_WORDS = 2_000_000
 #: Words at the front of a suffix that are looked at before it enters the array.
 FRONT = 4
 
-#: Digits, small letters and all non-ASCII bytes belong to words; A-Z are lowered first.
-_WORD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+#: Digits, letters and all non-ASCII bytes belong to words.
+_VALUE = byte_values(bytes(c for c in range(256) if 0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80))
 
 MATCHES = "array<struct<item_id:string,start:long,item_start:long,words:long>>"
-SCHEMA = f"doc_id long, row long, n_words long, n_hit long, hits binary, items array<string>, matches {MATCHES}"
+_FIELDS = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "matches": pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("item_start", pa.int64()), ("words", pa.int64())]))}
+SCHEMA = f"doc_id long, n_words long, n_hit long, items array<string>, matches {MATCHES}"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_WORD).split() if text else []
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of all texts, one text after the other, and how many each has."""
+    return words(texts, _VALUE)
+
+
+def _front(columns: list[np.ndarray]) -> np.ndarray:
+    """One number for the first few words of each suffix; equal words give equal numbers."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = mix(out ^ c.astype(np.uint64), 7)
+    return out
+
+
+def _ranges(low: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers low, low + 1, ... of each range, one after the other."""
+    ends = np.cumsum(many)
+    return np.repeat(low - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _rows(text: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
+    """``w`` words from each place on, as byte strings that sort and compare like the rows of numbers."""
+    return np.ascontiguousarray(text[at[:, None] + np.arange(w)].astype(">u4")).view(f"S{4 * w}").ravel()
+
+
+@dataclass(frozen=True)
+class Group:
+    """The different windows of one length, sorted by front: where each is in the block's text, and (from
+    ``first`` to the next one's) the items and places that it comes from."""
+
+    length: int
+    fronts: np.ndarray
+    at: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
 
 
 class Windows:
     """The windows of a block of items, by length, with the items and places they come from."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.vocab: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], list[tuple[str, int]]]] = {}
-        for name, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            w = min(window, len(ids))
-            for at in range(len(ids) - w + 1 if w else 0):
-                by_length.setdefault(w, {}).setdefault(tuple(ids[at : at + w]), []).append((name, at))
-        self.groups = []
-        for w, windows in by_length.items():
-            keys = np.array(list(windows), np.int64)
-            fronts = np.unique(self.front(keys[:, : min(w, FRONT)].T))
-            self.groups.append((w, keys, fronts, list(windows.values())))
-
-    @staticmethod
-    def front(columns: np.ndarray) -> np.ndarray:
-        """One number for the first few words of each suffix; equal words give equal numbers."""
-        out = np.zeros(len(columns[0]), np.uint64)
-        with np.errstate(over="ignore"):
-            for c in columns:
-                out = (out ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                out ^= out >> np.uint64(29)
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
+        h, counts = words_of(pa.array([t for _, t in items], pa.string()))
+        self.names = [n for n, _ in items]
+        self.vocabulary = np.unique(h)
+        self.marked = np.zeros(1 << 20, bool)
+        self.marked[(self.vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.text = (np.searchsorted(self.vocabulary, h) + 1).astype(np.uint32)
+        begins = np.cumsum(counts) - counts
+        lengths = np.minimum(window, counts)
+        self.groups = [self._group(int(w), np.flatnonzero(lengths == w), begins, counts) for w in np.unique(lengths[lengths > 0])]
+
+    def _group(self, w: int, items: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> Group:
+        many = counts[items] - w + 1
+        item = np.repeat(items, many).astype(np.int32)
+        at = _ranges(begins[items], many)
+        rows = _rows(self.text, at, w)
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        del rows
+        at, item = at[order], item[order]
+        place = (at - begins[item]).astype(np.int64)
+        fronts = _front([self.text[at[first] + k] for k in range(min(w, FRONT))])
+        by_front = np.argsort(fronts, kind="stable")
+        # Sources stay in the order of windows; a window says where its own are.
+        ends = np.append(first[1:], len(at))
+        sizes = (ends - first)[by_front]
+        moved = _ranges(first[by_front], sizes)
+        return Group(w, fronts[by_front], at[first[by_front]], np.append(0, np.cumsum(sizes)), item[moved], place[moved])
+
+    def number(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of words by hash; 0 where no item has the word."""
+        out = np.zeros(len(h), np.uint32)
+        may = np.flatnonzero(self.marked[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]) if len(self.vocabulary) else np.zeros(0, np.int64)
+        near = np.searchsorted(self.vocabulary, h[may])
+        near = np.minimum(near, len(self.vocabulary) - 1)
+        out[may] = np.where(self.vocabulary[near] == h[may], near + 1, 0) if len(may) else 0
         return out
 
 
-def _rows_as_bytes(rows: np.ndarray) -> np.ndarray:
-    """Rows of word numbers as byte strings that sort and compare like the rows."""
-    return np.ascontiguousarray(rows.astype(">u4") + np.uint32(0x01010101)).view(f"S{4 * rows.shape[1]}").ravel()
-
-
-def search(text: np.ndarray, windows: Windows) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[list[tuple[str, int]]]]]:
+def search(text: np.ndarray, windows: Windows) -> Iterator[tuple[Group, np.ndarray, np.ndarray]]:
     """For each window length: places in ``text`` and the number of the window that occurs there.
 
     ``text`` has a 0 between documents, so no match crosses from one to the next.
     """
-    for w, keys, fronts, sources in windows.groups:
+    for g in windows.groups:
+        w, q = g.length, min(g.length, FRONT)
         if len(text) < w:
             continue
-        q = min(w, FRONT)
         n = len(text) - w + 1
         may = text[:n] > 0
         for k in range(1, q):
             may &= text[k : n + k] > 0
         at = np.flatnonzero(may)
-        if len(at):
-            own = Windows.front(np.stack([text[at + k] for k in range(q)]))
-            near = np.minimum(np.searchsorted(fronts, own), len(fronts) - 1)
-            at = at[fronts[near] == own]
+        own = _front([text[at + k] for k in range(q)])
+        low = np.searchsorted(g.fronts, own)
+        found = np.flatnonzero(g.fronts[np.minimum(low, len(g.fronts) - 1)] == own)
+        at, own = at[found], np.unique(own[found])
         if not len(at):
             continue
-        suffixes = _rows_as_bytes(text[at[:, None] + np.arange(w)])
+        suffixes = _rows(text, at, w)
         order = np.argsort(suffixes, kind="stable")
         array = suffixes[order]
-        wanted = _rows_as_bytes(keys)
+        low = np.searchsorted(g.fronts, own)
+        asked = _ranges(low, np.searchsorted(g.fronts, own, "right") - low)
+        wanted = _rows(windows.text, g.at[asked], w)
         low, high = np.searchsorted(array, wanted, "left"), np.searchsorted(array, wanted, "right")
         many = high - low
-        which = np.repeat(np.arange(len(keys)), many)
-        place = at[order[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]]
-        yield w, place, which, sources
+        yield g, at[order[_ranges(low, many)]], np.repeat(asked, many)
 
 
 def _by_name(name: str | None) -> tuple[bool, str]:
@@ -135,60 +183,55 @@ def _maximal(places: list[tuple[str | None, int, int, int]]) -> list[dict]:
     return sorted(out, key=lambda m: (m["start"], _by_name(m["item_id"]), m["item_start"]))
 
 
-def _scan(items: list[tuple[str, str | None]], window: int, several: bool):
-    """``several``: other blocks of items follow, so the hit words themselves are returned."""
-
-    def judge(docs: list[tuple[int, int, list[int]]], windows: Windows) -> Iterator[tuple]:
-        text = np.zeros(sum(len(ids) + 1 for _, _, ids in docs), np.int64)
-        begins, at = np.zeros(len(docs) + 1, np.int64), 0
-        for k, (_, _, ids) in enumerate(docs):
-            text[at : at + len(ids)] = ids
-            at += len(ids) + 1
-            begins[k + 1] = at
+def _judged(shard: list[pa.Array], blocks: list, window: int, matches: bool) -> dict[str, list | np.ndarray]:
+    """Of each text of a shard, whose arrays follow each other: n_words, n_hit, items and maximal matches."""
+    parts = [words_of(t) for t in shard]
+    counts = np.concatenate([n for _, n in parts])
+    # A word that is none stands between texts.
+    begins = np.cumsum(counts + 1) - counts - 1
+    h = np.concatenate([x for x, _ in parts])
+    at = _ranges(begins, counts)
+    hit = np.zeros(int((counts + 1).sum()), bool)
+    text = np.zeros(len(hit), np.uint32)
+    names: dict[int, set[str | None]] = {}
+    places: dict[int, list[tuple[str | None, int, int, int]]] = {}
+    for block in blocks:
+        windows = block.value
+        text[at] = windows.number(h)
         marks = np.zeros(len(text) + 1, np.int32)
-        found: dict[int, list[tuple[str, int, int, int]]] = {}
-        for w, place, which, sources in search(text, windows):
+        for g, place, which in search(text, windows):
             np.add.at(marks, place, 1)
-            np.add.at(marks, place + w, -1)
+            np.add.at(marks, place + g.length, -1)
             whose = np.searchsorted(begins, place, "right") - 1
-            for k, p, i in zip(whose.tolist(), (place - begins[whose]).tolist(), which.tolist(), strict=True):
-                found.setdefault(k, []).extend((name, p, s, w) for name, s in sources[i])
-        hit = np.cumsum(marks[:-1]) > 0
-        for k, (doc, row, ids) in enumerate(docs):
-            own = found.get(k, [])
-            mine = hit[begins[k] : begins[k] + len(ids)]
-            bits = np.packbits(mine).tobytes() if own and several else None
-            yield doc, row, len(ids), int(mine.sum()), bits, sorted({n for n, *_ in own}, key=_by_name), _maximal(own)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(items, window)
-        get = windows.vocab.get
-        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("item_start", pa.int64()), ("words", pa.int64())])))])
-
-        def out(docs: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*judge(docs, windows), strict=True), schema, strict=True)], schema=schema)
-
-        docs, held = [], 0
-        for b in batches:
-            for doc, text, row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                words = words_of(text)
-                docs.append((doc, row, [get(w, 0) for w in words]))
-                held += len(words)
-                if held >= SHARD_WORDS:
-                    yield out(docs)
-                    docs, held = [], 0
-        if docs:
-            yield out(docs)
-
-    return run
-
-
-def _join_bits(parts: list[bytes]) -> int:
-    """Words hit by any block; all parts of a document are as long."""
-    total = 0
-    for p in parts:
-        total |= int.from_bytes(p, "big")
-    return total.bit_count()
+            sizes = np.diff(g.first)[which]
+            sources = _ranges(g.first[which], sizes)
+            of, item = np.repeat(whose, sizes), g.item[sources]
+            for k, i in np.unique(np.stack((of, item)), axis=1).T.tolist():
+                names.setdefault(k, set()).add(windows.names[i])
+            if matches:
+                for k, i, p, s in zip(of.tolist(), item.tolist(), np.repeat(place - begins[whose], sizes).tolist(), g.place[sources].tolist(), strict=True):
+                    places.setdefault(k, []).append((windows.names[i], p, s, g.length))
+        hit |= np.cumsum(marks[:-1]) > 0
+        if len(blocks) > 1:
+            # One block at a time: what a broadcast has read stays in the worker otherwise.
+            block.__dict__.pop("_value", None)
+    total = np.append(0, np.cumsum(hit))
+    return {
+        "n_words": counts, "n_hit": total[begins + counts] - total[begins],
+        "items": [sorted(names.get(k, ()), key=_by_name) for k in range(len(counts))], "matches": [_maximal(places.get(k, [])) for k in range(len(counts))],
+    }
+
+
+def _shards(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[list[pa.RecordBatch]]:
+    shard, held = [], 0
+    for b in batches:
+        shard.append(b)
+        held += b.column(at).nbytes
+        if held >= SHARD_BYTES:
+            yield shard
+            shard, held = [], 0
+    if shard:
+        yield shard
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, str | None]]]:
@@ -196,7 +239,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple
     block: list[tuple[str | None, str | None]] = []
     held = 0
     for r in only(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
-        n = len(words_of(r["text"]))
+        n = len(r["text"] or "") // 2  # a word and what ends it are two characters at least
         if block and held + n > most:
             yield block
             block, held = [], 0
@@ -205,60 +248,43 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple
     yield block
 
 
+def _sent(spark: SparkSession, benchmark: DataFrame, window: int) -> list:
+    """Broadcast blocks; the driver has one at a time, besides what Spark keeps of them on disk or in memory."""
+    ship(spark)
+    return [spark.sparkContext.broadcast(Windows(b, window)) for b in blocks(benchmark)]
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and
     matches (all maximal verbatim matches: item, place in either, words)."""
-    # The same row has the same number in each pass over the documents.
-    source = only(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    return _judged(source, list(blocks(benchmark)), window).drop("row")
-
-
-def _judged(source: DataFrame, cut: list[list[tuple[str | None, str | None]]], window: int) -> DataFrame:
-    """Of each row of ``source`` (doc_id, text, row) what scan() returns, with its row."""
-    ship(source.sparkSession)
-    parts = [source.mapInArrow(_scan(b, window, len(cut) > 1), SCHEMA) for b in cut]
-    sha = F.sha2(F.concat_ws(",", "items"), 256)
-    if len(parts) == 1:
-        found = parts[0].select("row", "doc_id", "n_words", "n_hit", "items", "matches")
-    else:
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.unionByName(p)
-        joined = both.groupBy("row").agg(
-            F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hits").alias("parts"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"),
-        )
-        union = F.udf(lambda ps: _join_bits(list(ps)), "long")
-        found = joined.select("row", "doc_id", "n_words", union("parts").alias("n_hit"), "items", "matches")
+    sent = _sent(docs.sparkSession, benchmark, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, 1):
+            found = _judged([b.column(1) for b in shard], sent, window, True)
+            ids = pa.concat_arrays([b.column(0) for b in shard])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(found[c], t) for c, t in _FIELDS.items())], names=["doc_id", *_FIELDS])
+
+    found = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
     n_hit, n_words = F.col("n_hit"), F.col("n_words")
     return found.select(
-        "row", "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"),
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"), "matches",
     )
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    cut = list(blocks(benchmark))
-    if len(cut) > 1:
-        # Rows are numbered and written first, so that each keeps its number in all passes.
-        named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("row", F.monotonically_increasing_id())
-        numbered = Stored(docs.sparkSession, "decontamination").keep(named, "numbered")
-        place = {c: F.col(f"c{docs.columns.index(c)}").alias(c) for c in ("doc_id", "text")}
-        bad = _judged(numbered.select(*place.values(), "row"), cut, window).where("contaminated").select("row")
-        return numbered.join(bad, "row", "left_anti").drop("row").toDF(*docs.columns)
-    # With one block a task knows all that decides about its documents, and nothing is shuffled.
-    ship(docs.sparkSession)
-    judge, at = _scan(cut[0], window, False), docs.columns.index("text")
+    """The documents that are not contaminated, with all their columns. A task knows all that decides about its
+    documents, so nothing is shuffled."""
+    own = Columns(docs)
+    sent, at = _sent(docs.sparkSession, benchmark, window), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            number = pa.array(np.arange(b.num_rows))
-            both = pa.RecordBatch.from_arrays([number, b.column(at), number], names=["doc_id", "text", "row"])
-            clean = np.ones(b.num_rows, bool)
-            for found in judge(iter([both])):
-                n, hit = found.column("n_words").to_numpy(), found.column("n_hit").to_numpy()
-                clean[found.column("doc_id").to_numpy()] = ~((hit > 0) & (20 * hit >= n))
-            yield b.filter(pa.array(clean))
-
-    return docs.mapInArrow(run, docs.schema)
+        for shard in _shards(batches, at):
+            found = _judged([b.column(at) for b in shard], sent, window, False)
+            clean, first = ~((found["n_hit"] > 0) & (20 * found["n_hit"] >= found["n_words"])), 0
+            for b in shard:
+                yield b.filter(pa.array(clean[first : first + b.num_rows]))
+                first += b.num_rows
+
+    return own.back(own.df.mapInArrow(run, own.df.schema))

@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from .common import Columns, Filter, Stored, only, release, ship, without
 from .components import components
-from .textbytes import flat, hashes, mix
+from .textbytes import byte_values, mix, words
 
 #: Bytes of documents handled at once in a task; a longer one is handled alone.
 GROUP_BYTES = 1 << 21
@@ -76,39 +76,24 @@ CUTS = 3
 _NEXT = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _by_byte(blank: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte: is it in a word, and its number in a hash (0 of blanks; A-Z count as a-z)."""
-    inside = np.ones(256, bool)
-    inside[list(blank)] = False
-    value = np.arange(1, 257, dtype=np.uint64)
-    value[65:91] += np.uint64(32)
-    value[~inside] = 0
-    return inside, value
+#: Blanks are no part of words; A-Z count as a-z.
+_VALUE = byte_values(bytes(c for c in range(256) if c not in b" \t\n\x0b\f\r"))
 
 
-_INSIDE, _VALUE = _by_byte(b" \t\n\x0b\f\r")
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash of every word of all texts, one text after the other, and how many each has."""
-    data, places = flat(texts)
-    begins = _INSIDE[data]
-    heads = places[:-1][places[:-1] < len(data)]
-    at_head = begins[heads]
-    begins[1:] &= ~begins[:-1].copy()
-    begins[heads] = at_head
-    begins = np.flatnonzero(begins)
-    counts = np.diff(np.searchsorted(begins, places))
-    return hashes(data, begins, _VALUE), counts
+    return words(texts, _VALUE)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one after the other, and where each text's begin."""
-    words, counts = words_of(texts)
+    own_words, counts = words_of(texts)
     ends = np.cumsum(counts)
-    total = len(words)
-    h = mix(words, 1)
+    total = len(own_words)
+    h = mix(own_words, 1)
     with np.errstate(over="ignore"):
         for j in range(1, min(k, total)):
-            h[: total - j] = mix(h[: total - j] * _NEXT + words[j:], j + 1)
+            h[: total - j] = mix(h[: total - j] * _NEXT + own_words[j:], j + 1)
     parts, sizes = [], np.zeros(len(counts) + 1, np.int64)
     for i, (m, e) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):
         if m >= k:
@@ -118,10 +103,10 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
             np.not_equal(own[1:], own[:-1], out=new[1:])
             own = own[new]
         elif m:
-            one = mix(words[e - m : e - m + 1], 1)
+            one = mix(own_words[e - m : e - m + 1], 1)
             with np.errstate(over="ignore"):
                 for j in range(1, m):
-                    one = mix(one * _NEXT + words[e - m + j], j + 1)
+                    one = mix(one * _NEXT + own_words[e - m + j], j + 1)
             own = mix(one, 1000 + m)
         else:
             continue
