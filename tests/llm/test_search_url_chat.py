@@ -103,3 +103,30 @@ def test_preference_pairs(spark):
     assert {k: tuple(v.values()) for k, v in got.items()} == pairs_by_hand(turns)
     assert chat_preference.format_pairs(df.limit(0), chat_preference.neighbours(df.limit(0))).collect() == []
     assert chat_preference.unpaired(chat_preference.neighbours(df)).count() > 0
+
+
+def test_neighbours_of_large_numbers(spark):
+    ids = [0, 1, 2**53 + 2, 2**53 + 3, 2**62, 2**62 + 1, -2, -1]
+    df = spark.createDataFrame([(i, 0, "user", "x") for i in ids], "conv_id long, turn long, role string, text string")
+    got = {(r.chosen_id, r.rejected_id) for r in chat_preference.neighbours(df).collect()}
+    assert got == {(0, 1), (2**53 + 2, 2**53 + 3), (2**62, 2**62 + 1), (-2, -1)}
+
+
+def test_swapped_answers_share_a_prompt(spark, sf_small):
+    turns = spark.createDataFrame(
+        [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (0, 2, "user", "thanks"), (1, 0, "system", "s"), (1, 1, "user", "p"), (1, 2, "assistant", "a1"), (2, 0, "user", "no answer"), (4, 5, "assistant", None), (5, 0, "assistant", "")],
+        "conv_id long, turn long, role string, text string",
+    )
+    pairs, rejected = chat_preference.answers_swapped(turns)
+    rows = chat_preference.format_pairs(turns, pairs, rejected).collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.pair_id, r.pos)):
+        by.setdefault((r.pair_id, r.part), []).append((r.role, r.rendered.split("\n")[1], r.train))
+    assert by == {
+        (0, "prompt"): [("user", "q", False)], (0, "chosen"): [("assistant", "a0", True), ("user", "thanks", False)], (0, "rejected"): [("assistant", "a1", True)],
+        (1, "prompt"): [("system", "s", False), ("user", "p", False)], (1, "chosen"): [("assistant", "a1", True)], (1, "rejected"): [("assistant", "a0", True)],
+        (4, "chosen"): [("assistant", "", True)], (4, "rejected"): [("assistant", "", True)], (5, "chosen"): [("assistant", "", True)], (5, "rejected"): [("assistant", "", True)],
+    }
+    whole = spark.read.parquet(f"{sf_small}/conversations.parquet")
+    pairs, rejected = chat_preference.answers_swapped(whole)
+    assert chat_preference.format_pairs(whole, pairs, rejected).where("part = 'prompt'").count() > 20

@@ -48,8 +48,10 @@ def url_filter() -> str:
 
 PREFERENCES = """WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 n AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
-pairs AS (SELECT conv_id // 2 AS pair_id, max(conv_id) FILTER (conv_id % 2 = 0) AS chosen_id, max(conv_id) FILTER (conv_id % 2 = 1) AS rejected_id FROM t GROUP BY 1 HAVING chosen_id IS NOT NULL AND rejected_id IS NOT NULL),
-own AS (SELECT pairs.*, 'chosen' AS part, pos, role, text FROM pairs JOIN n ON conv_id = chosen_id UNION ALL SELECT pairs.*, 'rejected', pos, role, text FROM pairs JOIN n ON conv_id = rejected_id),
+answers AS (SELECT conv_id, max(pos) AS last FROM n WHERE role = 'assistant' GROUP BY conv_id),
+given AS (SELECT conv_id, last, text FROM n JOIN answers USING (conv_id) WHERE pos = last),
+sides AS (SELECT 'chosen' AS part, conv_id, pos, role, text FROM n JOIN answers USING (conv_id) UNION ALL SELECT 'rejected', conv_id, pos, role, text FROM n JOIN answers USING (conv_id) WHERE pos < last UNION ALL SELECT 'rejected', g.conv_id, g.last, 'assistant', coalesce(o.text, '') FROM given g LEFT JOIN given o ON o.conv_id = xor(g.conv_id, CAST(1 AS BIGINT))),
+own AS (SELECT conv_id AS pair_id, conv_id AS chosen_id, conv_id AS rejected_id, part, pos, role, text FROM sides),
 places AS (SELECT pair_id, pos, count(*) AS n, count(DISTINCT (role, text)) AS kinds FROM own GROUP BY ALL),
 pre AS (SELECT pair_id, coalesce(min(pos) FILTER (n <> 2 OR kinds <> 1), max(pos)) - 1 AS shared FROM places GROUP BY pair_id),
 kept AS (SELECT own.*, pos <= shared AS inside, CASE WHEN pos <= shared THEN 'prompt' ELSE part END AS piece, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS rendered FROM own JOIN pre USING (pair_id) WHERE NOT (pos <= shared AND part = 'rejected')),

@@ -64,7 +64,8 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    return chat_preference.format_pairs(turns, chat_preference.neighbours(turns))
+    pairs, rejected = chat_preference.answers_swapped(turns)
+    return chat_preference.format_pairs(turns, pairs, rejected)
 
 
 def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
