@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import quality_qda, toxicity_fm
 from tidemark.llm.features import NAMES, text_statistics
@@ -57,18 +58,17 @@ def test_statistics_have_their_names():
     assert {len(text_statistics(t)) for _, t in ODD} == {len(NAMES)} and np.isfinite([text_statistics(t) for _, t in ODD]).all()
 
 
-def test_machine_learns_a_pair_that_no_term_tells():
+def test_machine_learns_a_pair_that_no_term_tells(spark):
     """Two terms that are harmful together and harmless alone."""
     r = np.random.default_rng(2)
     a, b = r.random(3000) < 0.5, r.random(3000) < 0.5
     y = (a ^ b).astype(float)
     y = np.where(r.random(3000) < 0.02, 1 - y, y)
-    x = [np.array(sorted({5 * bool(p) + 100 * (1 - bool(p)), 7 * bool(q) + 200 * (1 - bool(q))})) for p, q in zip(a, b, strict=True)]
-    m = toxicity_fm.fit(x, y)
-    if len(m.columns) == 4:  # each term alone says nothing, so it may not be kept at all
-        row = np.repeat(np.arange(3000), 2)
-        odds = m.odds(np.searchsorted(m.columns, np.concatenate(x)), row, 3000)
-        assert ((odds > 0) == (y > 0.5)).mean() > 0.9
+    words = [f"{'insult' if p else 'praise'} {'group' if q else 'person'} w{i % 97} v{i % 53}" for i, (p, q) in enumerate(zip(a, b, strict=True))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(words)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(y)], "doc_id long, toxic int")
+    scored = toxicity_fm.score(docs, labels, "toxic", F.col("doc_id") % 5 != 0).where("doc_id % 5 = 0").collect()
+    assert np.mean([(r.score > 0.5) == (a[r.doc_id] ^ b[r.doc_id]) for r in scored]) > 0.9
     plain = 0.3 * np.arange(4)
     v = r.normal(size=(4, 8))
     machine = toxicity_fm.Machine(np.arange(4), 0.1, plain, v)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, only, ship
+from .common import Columns, Stored, only, ship
 from .features import NAMES, text_statistics
 
 D = len(NAMES)
@@ -132,16 +132,17 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float, label: str =
     nor decisions joined to texts by a shuffle.
     """
     ship(docs.sparkSession)
+
     @F.pandas_udf("array<double>")
     def statistics(text: pd.Series) -> pd.Series:
         return text.map(text_statistics)
 
-    store = Stored(docs.sparkSession, "quality")
-    both = store.keep(docs.withColumn("__x", statistics(F.coalesce("text", F.lit("")))), "documents")
-    model = fit(_gram(both.select("doc_id", F.col("__x").alias("x")), labels, label, F.lit(True) if train is None else train))
+    own, store = Columns(docs), Stored(docs.sparkSession, "quality")
+    both = store.keep(own.df.withColumn("x", statistics(F.coalesce(own.of("text"), F.lit("")))), "documents")
+    model = fit(_gram(both.select(F.col(own.of("doc_id")).alias("doc_id"), "x"), labels, label, F.lit(True) if train is None else train))
 
     @F.pandas_udf("double")
     def scored(x: pd.Series) -> pd.Series:
         return pd.Series(model.scores(np.array(x.tolist()).reshape(-1, D)), dtype=float)
 
-    return both.where(scored("__x") >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return own.back(both.where(scored("x") >= threshold))

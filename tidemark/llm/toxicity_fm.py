@@ -3,8 +3,10 @@
 A text's terms are its distinct words and the first 3 to 7 letters of each, which stand for a stem in
 all its forms; they are hashed into ``2**BITS`` buckets. From the labelled training rows
 a bounded sample (at most ``SAMPLE`` rows, those with the smallest hash of doc_id; every row below the
-bound is used) is taken to fit the model: buckets are ranked by how much their presence says about the
-label, the best ``KEPT`` are kept, and the machine
+bound is used) is taken to fit the model. Spark counts in how many of its rows, and of those with label 1, each
+bucket is. Two kinds of buckets are kept: ``KEPT`` whose presence alone says most about the label, and
+``COMMON`` others of the rest whose presence differs most between rows, whatever they say alone, as a pair of
+them may say what neither does. Only kept buckets of the sample reach the driver. There the machine
 ``w0 + sum(w_i x_i) + sum(<v_i, v_j> x_i x_j)`` over their presence is trained by Adam on the
 logistic loss. Pairs, such as an insult with a group, so weigh more or less than their terms alone.
 Every document is then scored over its whole text.
@@ -30,8 +32,10 @@ from .common import only, ship
 BITS = 20
 #: Most labelled rows that the model is fitted on.
 SAMPLE = 16_000
-#: Buckets with a weight and a vector.
-KEPT = 4096
+#: Buckets with a weight and a vector: those that tell the label best alone, and the most variable others.
+KEPT, COMMON = 4096, 512
+#: How strongly the vectors of the latter are held back.
+COMMON_DECAY = 1e-3
 FACTORS = 8
 EPOCHS = 30
 BATCH = 512
@@ -55,11 +59,33 @@ def buckets(word: bytes) -> list[int]:
     return found + [zlib.crc32(text[:n].encode("utf-8", "surrogatepass"), 1) & ((1 << BITS) - 1) for n in STEMS if n <= len(text)]
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket of a task's rows: in how many it is, and in how many with label 1."""
+    seen, toxic = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
     for b in batches:
-        x = [np.array(sorted({k for w in terms(t) for k in buckets(w)}), np.int32) for t in b.column(0).to_pylist()]
-        ends = np.cumsum([0, *map(len, x)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*x, np.zeros(0, np.int32)]).astype(np.int32))), b.column(1)], names=["x", "y"])
+        for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            own = list({k for w in terms(t) for k in buckets(w)})
+            seen[own] += 1
+            toxic[own] += y
+    some = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some].astype(np.int64)), pa.array(toxic[some].astype(np.int64))], names=["k", "seen", "toxic"])
+
+
+def _kept(columns: np.ndarray):
+    """Which of the kept buckets each row has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {int(c): i for i, c in enumerate(columns)}
+        for b in batches:
+            x = [np.array(sorted({place[k] for w in terms(t) for k in buckets(w) if k in place}), np.int32) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([_lists(x), b.column(1)], names=["x", "y"])
+
+    return run
 
 
 @dataclass
@@ -87,36 +113,40 @@ def _flatten(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows) if rows else np.zeros(0, int), np.repeat(np.arange(len(rows)), sizes)
 
 
-def fit(x: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
-    """Trains on rows of distinct buckets."""
+def choose(seen: np.ndarray, toxic: np.ndarray, n: int, n1: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the buckets to keep: those whose presence says most, then those whose presence varies most.
+
+    ``n`` rows, ``n1`` of them with label 1; buckets in fewer than 4 rows say too little.
+    """
+    n0 = n - n1
+    # Log-likelihood ratio of presence and label.
+    p1, p0, p = (toxic + 0.5) / (n1 + 1), (seen - toxic + 0.5) / (n0 + 1), (seen + 0.5) / (n + 1)
+    kl = lambda a, b: a * np.log(a / b) + (1 - a) * np.log(np.maximum(1 - a, 1e-12) / np.maximum(1 - b, 1e-12))
+    gain = np.where(seen >= 4, n1 * kl(p1, p) + n0 * kl(p0, p), 0)
+    telling = np.argsort(-gain, kind="stable")[:KEPT]
+    telling = telling[gain[telling] > 3]
+    varied = np.where(seen >= 4, seen * (n - seen), 0).astype(float)
+    varied[telling] = 0
+    common = np.argsort(-varied, kind="stable")[:COMMON]
+    return np.sort(telling), np.sort(common[varied[common] > 0])
+
+
+def fit(columns: np.ndarray, common: np.ndarray, rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
+    """Trains on rows of distinct places in ``columns``, the kept buckets. Those marked in ``common`` say nothing alone:
+    they have no weight of their own, and their vectors have to earn more."""
     share = float(y.mean()) if len(y) else 0.5
     if not len(y) or not 0 < share < 1:
         bias = 0.0 if not len(y) else float(np.log(max(share, 1e-4) / max(1 - share, 1e-4)))
         return Machine(np.zeros(0, int), bias, np.zeros(0), np.zeros((0, FACTORS)))
-    n1, n0 = y.sum(), len(y) - y.sum()
-    # Row by row: a row's buckets are distinct, and no copy of all rows is made.
-    seen, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for r, t in zip(x, y, strict=True):
-        seen[r] += 1
-        toxic[r] += t
-    # Log-likelihood ratio of presence and label; terms in fewer than 4 rows say too little.
-    p1, p0 = (toxic + 0.5) / (n1 + 1), (seen - toxic + 0.5) / (n0 + 1)
-    p = (seen + 0.5) / (len(y) + 1)
-    kl = lambda a, b: a * np.log(a / b) + (1 - a) * np.log(np.maximum(1 - a, 1e-12) / np.maximum(1 - b, 1e-12))
-    gain = np.where(seen >= 4, n1 * kl(p1, p) + n0 * kl(p0, p), 0)
-    columns = np.sort(np.argsort(-gain, kind="stable")[:KEPT])
-    columns = columns[gain[columns] > 3]
-    place = np.full(1 << BITS, -1, np.int32)
-    place[columns] = np.arange(len(columns))
-    rows = [p[p >= 0] for p in (place[r] for r in x)]
     own, ends = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
 
     random = np.random.default_rng(seed)
     m = Machine(columns, float(np.log(share / (1 - share))), np.zeros(len(columns)), random.normal(0, 0.02, (len(columns), FACTORS)))
     state = [np.zeros_like(m.weight), np.zeros_like(m.weight), np.zeros_like(m.factor), np.zeros_like(m.factor), 0.0, 0.0]
     step, rate, decay = 0, 0.03, 1e-4
+    pairs_decay = np.where(common, COMMON_DECAY, decay)[:, None]
     for epoch in range(EPOCHS):
-        order = random.permutation(len(x))
+        order = random.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
             cols = np.concatenate([own[ends[i] : ends[i + 1]] for i in batch])
@@ -125,8 +155,8 @@ def fit(x: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
             odds = m.odds(cols, whose, len(batch))
             error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y[batch]) / len(batch)
             e = error[whose]
-            gw = np.bincount(cols, e, len(columns)) + decay * m.weight
-            gv = np.stack([np.bincount(cols, e * (sums[whose, f] - m.factor[cols, f]), len(columns)) for f in range(FACTORS)], axis=1) + decay * m.factor
+            gw = np.where(common, 0, np.bincount(cols, e, len(columns)) + decay * m.weight)
+            gv = np.stack([np.bincount(cols, e * (sums[whose, f] - m.factor[cols, f]), len(columns)) for f in range(FACTORS)], axis=1) + pairs_decay * m.factor
             gb = float(error.sum())
             step += 1
             for k, g in ((0, gw), (2, gv), (4, gb)):
@@ -172,13 +202,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column
         known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     # The sample is bounded by its rows, so it may be sent to the tasks that read the texts.
     own = only(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
-    found = own.mapInArrow(_buckets, "x array<int>, y int").toArrow()
+    # At most a row for each bucket, however many texts there are.
+    counts = own.mapInArrow(_counts, "k int, seen long, toxic long").groupBy("k").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).where("seen >= 4").toPandas().sort_values("k")
+    by_label = dict(own.groupBy("y").count().collect())
+    n, n1 = sum(by_label.values()), by_label.get(1, 0)
+    if 0 < n1 < n:
+        telling, others = (counts["k"].to_numpy()[c] for c in choose(counts["seen"].to_numpy(), counts["toxic"].to_numpy(), n, n1))
+    else:
+        telling = others = np.zeros(0, int)
+    columns = np.sort(np.concatenate((telling, others)))
+    found = own.mapInArrow(_kept(columns), "x array<int>, y int").toArrow()
     lists = found.column("x").combine_chunks()
     flat, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(int)
     y = found.column("y").to_numpy().astype(float)
     # The same order whichever task was first.
     order = sorted(range(len(y)), key=lambda i: (zlib.crc32(flat[ends[i] : ends[i + 1]].tobytes()), ends[i + 1] - ends[i], y[i]))
-    return fit([flat[ends[i] : ends[i + 1]] for i in order], y[order] if order else y)
+    return fit(columns, np.isin(columns, others), [flat[ends[i] : ends[i + 1]] for i in order], y[order] if order else y)
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column | None = None) -> DataFrame:
