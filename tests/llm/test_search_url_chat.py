@@ -31,6 +31,22 @@ def test_nearest_neighbours_and_odd_vectors(spark):
     assert hits / (20 * len(got)) > 0.95
 
 
+def test_recall_of_hard_vectors_in_a_whole_shard(spark):
+    """Independent normal components have no clusters: a fixed beam finds two thirds of the nearest."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(ann_hnsw.SHARD_ROWS, 64))
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(len(x))], "vec_id long, embedding array<double>")
+    got = {}
+    for q in ann_hnsw.nearest(df, F.col("vec_id") % 20 == 0, 20).select("query_id", "vec_id").collect():
+        got.setdefault(q.query_id, set()).add(q.vec_id)
+    hits = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+    assert hits / (20 * len(got)) >= 0.9
+
+
 def test_few_and_repeated_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann_hnsw.nearest(df, F.col("vec_id") % 20 == 0).collect()]

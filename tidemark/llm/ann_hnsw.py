@@ -4,7 +4,12 @@ Rows are dealt into shards of about ``SHARD_ROWS`` rows by a hash of their id. A
 of a shard: every vector gets a random top level (from its id), is linked on each level to diverse
 near vectors found by beam search, and links are kept as flat arrays of row numbers. The graphs are
 written to the shared folder as one row a shard, so a lost executor costs the shards it was building.
-Queries, in blocks, meet every shard; each shard gives its best ``k``, and the best of all shards win.
+Queries, in blocks, meet every shard; each shard gives its best ``k``, and the best of all shards win. A task
+reads a shard's index once for ``TASK_BLOCKS`` blocks, which follow it one by one, so what is moved is in
+proportion to queries times shards, as it must be, and hardly more.
+
+How wide a beam has to be depends on the vectors. So ``SAMPLE`` queries are compared with exact search, and the
+beam is widened until ``RECALL`` of their neighbours are found; a beam as wide as a shard finds all.
 
 Nearness is the inner product. Vectors get one more component, ``sqrt(M^2 - |x|^2)`` with M the largest
 norm of the table, which makes the largest inner product the smallest distance, whatever the norms.
@@ -33,9 +38,14 @@ from .common import Stored, only, ship
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 1024
+#: Blocks of queries for which a task reads an index, and the most tasks of a search.
+TASK_BLOCKS, MOST_TASKS = 16, 100_000
+#: Queries by which the beam is set, and the share of their nearest rows that has to be found.
+SAMPLE, RECALL = 64, 0.96
 #: Links of a vertex on the upper levels; twice as many on the lowest.
 LINKS = 12
 BUILD_BEAM = 80
+#: The first beam that is tried; each next one is twice as wide.
 SEARCH_BEAM = 96
 
 
@@ -189,17 +199,19 @@ def _load(row: dict, dim: int, largest: float) -> tuple[Graph, np.ndarray, np.nd
     return Graph(points, levels, near, row["top"]), vectors, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
 
 
-def _search(dim: int, largest: float, k: int):
+def _search(dim: int, largest: float, k: int, width: int):
+    """Rows come sorted by task: a shard's index and then blocks of queries for it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded, held = None, None
+        held = None
         for b in batches:
             for row in b.to_pylist():
-                if loaded != row["shard"]:
-                    held, loaded = _load(row, dim, largest), row["shard"]
+                if row["q_ids"] is None:
+                    held = _load(row, dim, largest)
+                    continue
                 g, vectors, ids, ends = held
                 queries = np.array(row["q_vectors"], np.float64).reshape(-1, dim)
                 out_q, out_v, out_s = [], [], []
-                width = max(SEARCH_BEAM, 3 * k)
                 for own, q in zip(row["q_ids"], queries, strict=True):
                     rows = g.search(np.append(q, 0).astype(np.float32), width)
                     # Component by component, so that a pair has the same score in every block.
@@ -217,6 +229,52 @@ def _search(dim: int, largest: float, k: int):
     return run
 
 
+def _exact(ids: np.ndarray, queries: np.ndarray, k: int):
+    """The nearest rows of a task for each query, by looking at all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, whose = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = b.column(0).to_numpy()
+            x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
+            score = np.where(ids[:, None] == own, -np.inf, queries @ x.T)
+            both, rows = np.hstack((best, score)), np.hstack((whose, np.broadcast_to(own, score.shape)))
+            at = np.argpartition(-both, k - 1, axis=1)[:, :k]
+            best, whose = np.take_along_axis(both, at, 1), np.take_along_axis(rows, at, 1)
+        found = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[found]), pa.array(whose[found]), pa.array(best[found])], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+_FOUND = "query_id long, vec_id long, score double"
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def _blocks(asked: DataFrame, blocks: int) -> DataFrame:
+    """Queries in blocks by a hash of their id, a row each: block, q_ids, q_vectors."""
+    block = asked.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
+    return block.select("block", F.col("q.vec_id").alias("q_ids"), F.flatten("q.v").alias("q_vectors"))
+
+
+def _found(index: DataFrame, shards: int, block: DataFrame, blocks: int, search) -> DataFrame:
+    """What all shards find for all blocks of queries."""
+    chunks = -(-blocks // TASK_BLOCKS)
+    task = F.col("shard").cast("long") * chunks + F.col("chunk")
+    sent = block.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.floor(F.col("block") / TASK_BLOCKS).cast("int").alias("chunk"), "*")
+    read = index.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "*")
+    laid = read.unionByName(sent, allowMissingColumns=True).withColumn("task", task)
+    tasks = min(shards * chunks, MOST_TASKS)
+    laid = laid.repartitionById(tasks, F.pmod("task", F.lit(tasks)).cast("int")).sortWithinPartitions("task", F.col("block").asc_nulls_first())
+    return laid.select("size", "width", "top", "vectors", "levels", "links", "ids", "ends", "q_ids", "q_vectors").mapInArrow(search, _FOUND)
+
+
 def sound(vectors: DataFrame) -> tuple[DataFrame, int, float, int]:
     """Vectors that take part, their number of components, the largest norm and how many they are."""
     v = F.col("embedding").cast("array<double>")
@@ -246,14 +304,26 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, shard_rows: int =
     dealt = good.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     # Range partitions by shard number: one shard a task, where a hash would double some up.
     index = store.keep(dealt.repartitionByRange(shards, "shard").groupBy("shard").applyInArrow(_index(dim, largest), _INDEX), "index")
-    # Queries lie in blocks by hash; a block is sent to each shard once, as one row.
     asked = good.where(queries)
     many = asked.count()
+    width = beam_width(good, asked, index, shards, dim, largest, k, shard_rows)
     blocks = max(1, -(-many // QUERY_BLOCK))
-    block = asked.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    block = store.keep(block.select("block", F.col("q.vec_id").alias("q_ids"), F.flatten("q.v").alias("q_vectors")), "queries")
-    sent = block.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    met = sent.join(index, "shard").select("shard", "size", "width", "top", "vectors", "levels", "links", "ids", "ends", "q_ids", "q_vectors")
-    found = met.repartition(min(shards * blocks, 4096), "shard", F.xxhash64("q_ids")).mapInArrow(_search(dim, largest, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    block = store.keep(_blocks(asked, blocks), "queries")
+    return _best(_found(index, shards, block, blocks, _search(dim, largest, k, width)), k)
+
+
+def beam_width(good: DataFrame, asked: DataFrame, index: DataFrame, shards: int, dim: int, largest: float, k: int, shard_rows: int) -> int:
+    """The first width at which a sample of the queries gets ``RECALL`` of its nearest rows."""
+    sample = asked.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(SAMPLE).collect()
+    width = max(SEARCH_BEAM, 3 * k)
+    if not sample:
+        return width
+    ids, vectors = np.array([r["vec_id"] for r in sample], np.int64), np.array([r["v"] for r in sample], np.float64)
+    true = {(r["query_id"], r["vec_id"]) for r in _best(good.mapInArrow(_exact(ids, vectors, k), _FOUND), k).collect()}
+    block = _blocks(good.sparkSession.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, v array<double>"), 1)
+    while width < 2 * shard_rows:
+        got = {(r["query_id"], r["vec_id"]) for r in _best(_found(index, shards, block, 1, _search(dim, largest, k, width)), k).collect()}
+        if len(got & true) >= RECALL * len(true):
+            break
+        width *= 2
+    return width
