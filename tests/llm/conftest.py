@@ -2,12 +2,12 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, key string, spans string, s1 long, row string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, key string, spans string, s1 long, row string, TEXT string, __x int, __key string, __may boolean, c1 string, more string"
 
 
 def frame(spark, pairs):
-    """Documents with extra columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, "en", "src0", len(t or ""), 1, "k", "s", 2, "r") for i, t in pairs], SCHEMA)
+    """Documents with extra columns whose names clash with the operators' own, in upper and lower case too."""
+    return spark.createDataFrame([(i, t, "en", "src0", len(t or ""), 1, "k", "s", 2, "r", "T", 3, "y", False, "c", "m") for i, t in pairs], SCHEMA)
 
 
 ODD = [

@@ -7,6 +7,7 @@ import pytest
 from tidemark.llm import pii_bootstrap, quality_qda
 from tidemark.llm.wordcache import WordCache
 
+from .conftest import ODD, frame
 from .test_decontamination import brute as contaminated
 from .test_jaccard import brute as components
 from .test_packing import check_pieces
@@ -49,3 +50,15 @@ def test_stages_return_the_columns_of_documents(spark, sf_small):
 def test_import_needs_nothing_else():
     assert importlib.import_module("corpus_pipeline").ORACLE_SQL is None
     assert np.isfinite(corpus_pipeline.LEAST_QUALITY) and pii_bootstrap.KINDS
+
+
+def test_run_on_odd_rows(spark, monkeypatch):
+    """Nulls, empty and long texts, repeated rows and clashing names go through all stages; an empty table too."""
+    pairs = [*ODD, (None, None), (None, "a text without an id, as there may be"), (None, "a text without an id, as there may be"), (20, "é" * 200_000), (21, "word " * 100_000)]
+    tables = {"documents": frame(spark, pairs), "labels": spark.createDataFrame([], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(None, None), ("x", "")], "item_id string, text string")}
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, name: tables[name])
+    rows = corpus_pipeline.run(spark, "nowhere").collect()
+    kept = {r.doc_id for r in rows}
+    assert {1, 2, 3, 4, 5, 6, 8, 9, 20, 21, None} <= kept and 7 not in kept  # 7 has the text of 6
+    tables["documents"] = frame(spark, [])
+    assert corpus_pipeline.run(spark, "nowhere").collect() == []
