@@ -4,6 +4,11 @@ Each stage works on all that the one before kept. All but the last return the co
 ``documents``: the quality classifier drops what it rejects, of each group of near duplicates one
 document stays, contaminated documents go, personal data is replaced by its kind, and what is left
 is cut and packed into sequences.
+
+Rows with null columns, repeated rows, empty and very long texts and further columns, whatever their names, go
+through all stages as each stage's operator says: null and empty texts are scored as empty, are never near
+duplicates, contaminated or personal, and are packed as an end id if the classifier keeps them; of equal rows
+one stays. Ties are settled by the smaller doc_id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontamination, jaccard_join, packing_cutting_stock, pii_bootstrap, quality_qda
-from tidemark.llm.common import Stored, table
+from tidemark.llm.common import Columns, Stored, table
 
 #: Documents with a lower score are rejected; clean documents score far above it.
 LEAST_QUALITY = 0.5
@@ -62,5 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = store.keep(docs, name)
+            own = Columns(docs)
+            docs = own.back(store.keep(own.df, name))
     return docs
