@@ -23,6 +23,26 @@ _SHIPPED: set[str] = set()
 _OWN: dict[str, str] = {}
 
 
+def tidy(run):
+    """A task's function of batches which gives freed memory back at the end: a worker outlives its tasks, and
+    what the allocators keep would add up over idle workers."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def _plain(size: str) -> int:
     """A setting's number; bytes may have a unit."""
     digits = size.rstrip("bBkKmMgG")

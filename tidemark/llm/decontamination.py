@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Columns, only, ship
+from .common import Columns, only, ship, tidy
 from .textbytes import byte_values, mix, words
 
 WINDOW = 13
 #: Bytes of documents in one suffix array (or one longer document).
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Words of benchmark items sent to tasks at once.
 BLOCK_WORDS = 2_000_000
 #: Words at the front of a suffix that are looked at before it enters the array.
@@ -265,7 +265,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
             ids = pa.concat_arrays([b.column(0) for b in shard])
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(found[c], t) for c, t in _FIELDS.items())], names=["doc_id", *_FIELDS])
 
-    found = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    found = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SCHEMA)
     n_hit, n_words = F.col("n_hit"), F.col("n_words")
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
@@ -287,4 +287,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
                 yield b.filter(pa.array(clean[first : first + b.num_rows]))
                 first += b.num_rows
 
-    return own.back(own.df.mapInArrow(run, own.df.schema))
+    return own.back(own.df.mapInArrow(tidy(run), own.df.schema))

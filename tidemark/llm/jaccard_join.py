@@ -51,16 +51,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Columns, Filter, Stored, only, release, ship, without
+from .common import Columns, Filter, Stored, only, release, ship, tidy, without
 from .components import components
 from .textbytes import byte_values, mix, words
 
 #: Bytes of documents handled at once in a task; a longer one is handled alone.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
 #: Sets that a task remembers, to send the signatures of equal sets once.
 REMEMBERED = 50_000
 #: Signatures that a task sorts and sends at a time, and that the task of a slot holds before it settles them.
-FLUSH_KEYS, HELD_KEYS = 2_000_000, 8_000_000
+FLUSH_KEYS, HELD_KEYS = 600_000, 4_000_000
 #: Slots of signatures in a task that settles them.
 SLOTS = 4
 #: 64-bit numbers of the sketch that every set has, and the most bits of the wide one of larger sets: the power
@@ -466,7 +466,7 @@ class Join:
         sent = texts.join(wanted, "t").select("hub", "node", "text", "salt")
         n = max(8, int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         laid = sent.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("node").asc_nulls_first())
-        counted = laid.select("hub", "text", "node").mapInArrow(_overlaps(self.k), "a long, b long, fragment int, shared long")
+        counted = laid.select("hub", "text", "node").mapInArrow(tidy(_overlaps(self.k)), "a long, b long, fragment int, shared long")
         shared = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
         size = lambda c: nodes.select(F.col("s1").alias(c), F.col("n").alias(f"{c}n"), F.col("id").alias(f"{c}_id"))
         full = shared.join(size("a"), "a").join(size("b"), "b")
@@ -494,8 +494,8 @@ class Join:
         store, spark = self.store, self.docs.sparkSession
         n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         slots = min(SLOTS * n, 1 << 20)
-        sent = self.docs.mapInArrow(_describe(self.k, self.p, self.q, slots), _SENT)
-        described = store.keep(sent.repartitionById(n, F.col("slot")).sortWithinPartitions("slot").mapInArrow(_settled, _DESCRIBED), "described")
+        sent = self.docs.mapInArrow(tidy(_describe(self.k, self.p, self.q, slots)), _SENT)
+        described = store.keep(sent.repartitionById(n, F.col("slot")).sortWithinPartitions("slot").mapInArrow(tidy(_settled), _DESCRIBED), "described")
         release(spark)
         rows = described.where("mark is null").select("doc_id", "t", "n", "s1")
         counted = rows.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import only, ship
+from .common import only, ship, tidy
 from .wordcache import spread, word_cache
 
 END_ID = 1
@@ -145,7 +145,7 @@ def _packer(path: str, size: int):
 def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = 2048) -> DataFrame:
     """Packed id matrices of all documents; see the module for the columns."""
     ship(docs.sparkSession)
-    return only(docs, "doc_id", "text").mapInArrow(_packer(tokenizer_path, sequence_length), SCHEMA)
+    return only(docs, "doc_id", "text").mapInArrow(tidy(_packer(tokenizer_path, sequence_length)), SCHEMA)
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, only, ship
+from .common import Stored, only, ship, tidy
 from .wordcache import word_cache
 
 #: Length classes of rests; a class is as wide as sequence_length / CLASSES tokens.
@@ -173,7 +173,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = 2048) -> D
     width = -(-sequence_length // CLASSES)
     capacity = sequence_length // width
     store = Stored(spark, "cutting-stock")
-    pieces = store.keep(only(docs, "doc_id", "text").mapInArrow(_pieces(tokenizer_path, sequence_length, width), PIECES), "pieces")
+    pieces = store.keep(only(docs, "doc_id", "text").mapInArrow(tidy(_pieces(tokenizer_path, sequence_length, width)), PIECES), "pieces")
 
     # Counts per task and class turn the rank within a task into the rank within the class.
     counts = pieces.groupBy("part", "kind").agg((F.max("place") + 1).alias("n"))

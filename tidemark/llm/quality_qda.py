@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Columns, Stored, only, ship
+from .common import Columns, Stored, only, ship, tidy
 from .features import NAMES, text_statistics
 
 D = len(NAMES)
@@ -42,7 +42,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vectors(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
-    return only(docs, "doc_id", "text").mapInArrow(_vectors, "doc_id long, x array<double>")
+    return only(docs, "doc_id", "text").mapInArrow(tidy(_vectors), "doc_id long, x array<double>")
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of words hashed at once.
-HASHED_BYTES = 1 << 20
+HASHED_BYTES = 1 << 18
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -64,7 +64,7 @@ def hashes(data: np.ndarray, begins: np.ndarray, value: np.ndarray) -> np.ndarra
                 sums[a] = _long_word(own, value)
             else:
                 gaps = np.diff(edges[a : b + 1])
-                place = np.arange(len(own)) - np.repeat(edges[a:b] - edges[a], gaps)
+                place = np.arange(len(own), dtype=np.int32) - np.repeat((edges[a:b] - edges[a]).astype(np.int32), gaps)
                 sums[a:b] = np.add.reduceat(value[own] * _at(0, int(gaps.max()))[place], edges[a:b] - edges[a])
             a = b
     return mix(sums, 2)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, ship
+from .common import only, ship, tidy
 
 BITS = 20
 #: Most labelled rows that the model is fitted on.
@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column
     # The sample is bounded by its rows, so it may be sent to the tasks that read the texts.
     own = only(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
     # At most a row for each bucket, however many texts there are.
-    counts = own.mapInArrow(_counts, "k int, seen long, toxic long").groupBy("k").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).where("seen >= 4").toPandas().sort_values("k")
+    counts = own.mapInArrow(tidy(_counts), "k int, seen long, toxic long").groupBy("k").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).where("seen >= 4").toPandas().sort_values("k")
     by_label = dict(own.groupBy("y").count().collect())
     n, n1 = sum(by_label.values()), by_label.get(1, 0)
     if 0 < n1 < n:
@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column
     else:
         telling = others = np.zeros(0, int)
     columns = np.sort(np.concatenate((telling, others)))
-    found = own.mapInArrow(_kept(columns), "x array<int>, y int").toArrow()
+    found = own.mapInArrow(tidy(_kept(columns)), "x array<int>, y int").toArrow()
     lists = found.column("x").combine_chunks()
     flat, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(int)
     y = found.column("y").to_numpy().astype(float)
@@ -224,4 +224,4 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column
     """doc_id and score of every document, by a machine of the labelled rows for which ``rows`` holds."""
     ship(docs.sparkSession)
     m = train(docs, labels, label, rows)
-    return only(docs, "doc_id", "text").mapInArrow(_score(m), "doc_id long, score double")
+    return only(docs, "doc_id", "text").mapInArrow(tidy(_score(m)), "doc_id long, score double")

@@ -25,7 +25,7 @@ from .textbytes import flat, hashes
 #: Pieces kept per Python worker; a full cache is emptied, so memory has a bound. Slots to find them by.
 CACHE_PIECES, SLOT_BITS = 600_000, 21
 #: Bytes of text that are cut and looked up together.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Words with more bytes than this go through the library.
 LONGEST = 48
 
@@ -265,7 +265,7 @@ class WordCache:
             begins = starts[at]
             ends = np.append(starts, len(x))[at + 1]
             # Blanks after a piece are not its own.
-            blanks = np.append(0, np.cumsum(_VALUE[x] == 0))
+            blanks = np.append(0, np.cumsum(_VALUE[x] == 0, dtype=np.int32))
             sizes = ends - begins - (blanks[ends] - blanks[begins])
             number = self._learn(x, begins, sizes, (kind[at] == _LETTER) & (sizes <= LONGEST))
             piece[missing] = number[which]
