@@ -23,7 +23,7 @@ def test_ids_and_duplicates(spark):
     b = one(spark, identity.document_id(F.lit(""), F.lit("x")), x=1)
     assert a.startswith("fed_") and len(a) == 28 and a != b
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (5, "b")], "i int, k string")
-    got = {r.i: (r.d, r.l) for r in df.select("i", identity.repeated("k").alias("d"), identity.later_copy(["k"], ["i"]).alias("l")).collect()}
+    got = {r.i: (r.d, r.l) for r in identity.flag_copies(df, ("k",), ("i",), "d", "l").collect()}
     assert got == {1: (True, False), 2: (True, True), 3: (True, False), 4: (True, True), 5: (False, False)}
 
 

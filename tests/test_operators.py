@@ -10,7 +10,7 @@ from tidemark import config
 from tidemark.plans import queries_models
 from tidemark.operators import aggregate, backends, cache, evaluate, events, ingest, markets, quality, topics, views
 from tidemark.sources import files, sinks
-from tidemark.stats import dist, ols, tests as rank_tests
+from tidemark.stats import dist, inference as rank_tests, ols
 from tidemark.streaming import counts
 
 DAY = dt.date(2020, 3, 2)  # a Monday

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Query keys that only track visitors, in lower case.
+# Query keys that only track visitors, in lower case; the prefix and length of document ids.
+ID_PREFIX, ID_HEX = "fed_", 24
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
 DEFAULT_PORTS = {"http": "80", "https": "443"}
-ID_PREFIX, ID_HEX = "fed_", 24
 
 _URL = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -57,11 +60,11 @@ def document_id(canonical: Column, sha: Column) -> Column:
     return F.concat(F.lit(ID_PREFIX), F.substring(F.sha2(basis, 256), 1, ID_HEX))
 
 
-def repeated(*keys: str | Column) -> Column:
-    """Whether other rows have the same keys; all of them are marked, and nulls are equal."""
-    return F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
-
-
-def later_copy(keys: list[str], order: list[str]) -> Column:
-    """Whether an earlier row has the same keys."""
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1
+def flag_copies(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], repeated: str, later: str) -> DataFrame:
+    """Whether other rows have the same keys (all of them are marked, and nulls are equal), and whether an earlier
+    one has. ``order`` tells rows with the same keys apart. Keys are counted before the shuffle and joined back, so
+    that those of a third of all rows need no task of their own."""
+    groups = df.groupBy(*(F.struct(F.col(k)).alias(f"__{k}") for k in keys)).agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct(*order)).alias("__first"))
+    same = reduce(and_, (F.struct(F.col(k)) == F.col(f"__{k}") for k in keys))
+    flagged = df.join(groups, same)
+    return flagged.select(*(df[c] for c in df.columns), (F.col("__n") > 1).alias(repeated), (F.struct(*order) > F.col("__first")).alias(later))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
 from .text import sentences_by_line, sentences_by_stop
 
 # Phrases of either stance, and the words that turn a phrase that follows them around.
@@ -45,13 +46,20 @@ def _matches(sentence: Column, patterns: tuple[str, ...], near: int) -> Column:
 
 def stance(text: Column, hawkish: tuple[str, ...] = HAWKISH, dovish: tuple[str, ...] = DOVISH, near: int = NEAR) -> Column:
     """struct(stance, hawkish_matches, dovish_matches, evidence): evidence are the sentences that matched."""
-    read = F.transform(
-        sentences_by_stop(F.coalesce(text, F.lit(""))),
-        lambda s: F.struct(s.alias("sentence"), _matches(s, hawkish, near).alias("up"), _matches(s, dovish, near).alias("down")),
-    )
-    up, down = F.flatten(F.transform(read, lambda r: r["up"])), F.flatten(F.transform(read, lambda r: r["down"]))
-    told = F.transform(F.filter(read, lambda r: (F.size(r["up"]) > 0) | (F.size(r["down"]) > 0)), lambda r: r["sentence"])
-    return F.struct(_decide(F.size(up) > 0, F.size(down) > 0).alias("stance"), up.alias("hawkish_matches"), down.alias("dovish_matches"), told.alias("evidence"))
+    text, any_ = F.coalesce(text, F.lit("")), F.lit("(?iU)(?:" + "|".join((*hawkish, *dovish)) + ")")
+    none = F.expr("cast(array() as array<struct<sentence:string,up:array<string>,down:array<string>>>)")
+
+    def read(s: Column) -> Column:
+        return F.struct(s.alias("sentence"), _matches(s, hawkish, near).alias("up"), _matches(s, dovish, near).alias("down"))
+
+    def told(found: Column) -> Column:
+        up, down = F.flatten(F.transform(found, lambda r: r["up"])), F.flatten(F.transform(found, lambda r: r["down"]))
+        quotes = F.transform(F.filter(found, lambda r: (F.size(r["up"]) > 0) | (F.size(r["down"]) > 0)), lambda r: r["sentence"])
+        return F.struct(_decide(F.size(up) > 0, F.size(down) > 0).alias("stance"), up.alias("hawkish_matches"), down.alias("dovish_matches"), quotes.alias("evidence"))
+
+    # Each sentence is read once, and only sentences and texts that hold any phrase are.
+    some = F.when(F.regexp_like(text, any_), F.transform(F.filter(sentences_by_stop(text), lambda s: F.regexp_like(s, any_)), read)).otherwise(none)
+    return let(some, told)
 
 
 def _decide(up: Column, down: Column) -> Column:
@@ -73,6 +81,7 @@ EVIDENCE_FIELDS = ("policy_stance", "inflation_outlook", "labor_market_outlook",
 CLAIM_TYPES = ("explicit", "inference")
 MIXED_NOTE = "Both hawkish and dovish language is present."
 NOTHING_NOTE = "No supported policy signals were identified."
+EXPLANATION = "The passage explicitly supports {}."
 
 EVIDENCE_TYPE = "array<struct<field:string,quote:string,claim_type:string,explanation:string>>"
 EXTRACTION_TYPE = (
@@ -85,17 +94,24 @@ OPTIONAL_TEXT = ("inflation_outlook", "labor_market_outlook", "economic_growth_o
 
 def extract(text: Column, terms: dict[str, tuple[str, ...]] = TERMS, most: int = 3) -> Column:
     """Offline structured extraction: sentences that hold certain terms, as fields with quoted evidence."""
-    sentences = sentences_by_line(F.coalesce(text, F.lit("")))
+    singles = (*OPTIONAL_TEXT, "hawkish", "dovish")
+
+    def quoted(sentences: Column) -> Column:
+        def holding(field: str) -> Column:
+            return F.filter(sentences, lambda s: F.exists(F.array(*map(F.lit, terms[field])), lambda t: F.contains(F.lower(s), t)))
+
+        several = (F.slice(holding(f), 1, most).alias(f) for f in ("key_risk", "policy_rationale"))
+        return F.struct(*(F.get(holding(f), 0).alias(f) for f in singles), *several)
+
+    found = let(sentences_by_line(F.coalesce(text, F.lit(""))), quoted)
+    return let(found, lambda q: _extraction({f: q[f] for f in singles}, q["key_risk"], q["policy_rationale"]))
 
-    def holding(field: str) -> Column:
-        return F.filter(sentences, lambda s: F.exists(F.array(*map(F.lit, terms[field])), lambda t: F.contains(F.lower(s), t)))
 
-    first = {f: F.get(holding(f), 0) for f in (*OPTIONAL_TEXT, "hawkish", "dovish")}
-    risks, reasons = F.slice(holding("key_risk"), 1, most), F.slice(holding("policy_rationale"), 1, most)
+def _extraction(first: dict[str, Column], risks: Column, reasons: Column) -> Column:
     up, down = first["hawkish"], first["dovish"]
 
     def told(field: str, quotes: Column) -> Column:
-        why = F.lit(f"The passage explicitly supports {field.replace('_', ' ')}.")
+        why = F.lit(EXPLANATION.format(field.replace("_", " ")))
         return F.transform(F.array_compact(quotes), lambda q: F.struct(F.lit(field).alias("field"), q.alias("quote"), F.lit("explicit").alias("claim_type"), why.alias("explanation")))
 
     evidence = F.array_distinct(F.concat(

@@ -8,6 +8,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+
+from .bind import let
 from pyspark.sql.types import StringType
 
 # Lines and preambles that are no part of a document, by the name that is logged. The
@@ -103,8 +105,12 @@ def token_windows(tokens: Column, max_length: int, stride: int, specials: int =
     if capacity < 1 or not 0 <= stride < capacity:
         raise ValueError("a window needs room for content and must advance")
     step = capacity - stride
-    starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - stride - 1, F.lit(0)), F.lit(step))
-    return F.when(F.size(tokens) > 0, F.transform(starts, lambda i: F.slice(tokens, i + 1, F.lit(capacity))))
+
+    def cut(own: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(own) - stride - 1, F.lit(0)), F.lit(step))
+        return F.when(F.size(own) > 0, F.transform(starts, lambda i: F.slice(own, i + 1, F.lit(capacity))))
+
+    return let(tokens, cut)
 
 
 def words(text: Column, stop_words: tuple[str, ...], longer_than: int = 2) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import dealt
+
 
 def confusion(pairs: DataFrame, truth: str, guess: str, labels: tuple[str, ...]) -> DataFrame:
     """Counts of every pair of labels, zeros included, in the order of ``labels``."""
@@ -46,10 +48,9 @@ def selective(rows: DataFrame, truth: str, guess: str, valid: str, abstained: st
 
 def stratified_sample(rows: DataFrame, label: str, key: str, n: int, labels: int, seed: int = 42) -> DataFrame:
     """n rows dealt evenly over the labels, the first labels getting the remainder; the same each time."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key)
     rank = rows.groupBy(label).agg(F.lit(0).alias("x")).withColumn("label_rank", F.row_number().over(Window.orderBy(label)))
     quota = rank.select(label, (F.lit(n // labels) + F.when(F.col("label_rank") <= n % labels, 1).otherwise(0)).alias("quota"))
-    return rows.withColumn("__r", F.row_number().over(order)).join(F.broadcast(quota), label).where(F.col("__r") <= F.col("quota")).drop("__r", "quota")
+    return dealt(rows, label, key, seed).join(F.broadcast(quota), label).where(F.col("__rank") <= F.col("quota")).drop("__rank", "quota")
 
 
 def even_sample(ranked: DataFrame, total: int, n: int, rank: str = "rank") -> DataFrame:
@@ -60,6 +61,6 @@ def even_sample(ranked: DataFrame, total: int, n: int, rank: str = "rank") -> Da
 
 def split(rows: DataFrame, label: str, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Marks ``share`` of each label's rows as validation, the same ones each time."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return rows.withColumn("split", F.when(F.row_number().over(order) <= F.round(n * share), "validation").otherwise("train"))
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed(label, "__l")
+    marked = dealt(rows, label, key, seed).join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("__l")))
+    return marked.withColumn("split", F.when(F.col("__rank") <= F.round(F.col("__n") * share), "validation").otherwise("train")).drop("__rank", "__n", "__l")

@@ -18,7 +18,7 @@ from .fixtures import DOCS_SQL, documents, rounded
 )
 def q_duplicate_flags(spark: SparkSession, sf: str) -> DataFrame:
     hashed = table(spark, sf, "documents").select("doc_id", identity.content_hash(F.col("text")).alias("content_sha256"))
-    return hashed.select("*", identity.repeated("content_sha256").alias("is_duplicate_content"), identity.later_copy(["content_sha256"], ["doc_id"]).alias("is_later_copy"))
+    return identity.flag_copies(hashed, ("content_sha256",), ("doc_id",), "is_duplicate_content", "is_later_copy")
 
 
 @register("q_identity_conflicts", "SELECT lang || ':' || n_chars AS document_key, count(DISTINCT sha256(text)) AS contents, count(*) AS rows FROM documents GROUP BY 1 HAVING count(DISTINCT sha256(text)) > 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events
 from ..session import table
-from ..stats import ols, tests
+from ..stats import inference, ols
 from .catalogue import register
 from .fixtures import MARKET_SQL, external, market, rounded
 
@@ -19,7 +19,7 @@ _LINES = "lineitem"
     "SELECT count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, round(stddev_samp(l_extendedprice), 4) AS sd, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3 FROM lineitem",
 )
 def q_descriptives(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(tests.describe(table(spark, sf, _LINES), "l_extendedprice"), "mean", "median", "sd", "q1", "q3", digits=4)
+    return rounded(inference.describe(table(spark, sf, _LINES), "l_extendedprice"), "mean", "median", "sd", "q1", "q3", digits=4)
 
 
 @register(
@@ -27,7 +27,7 @@ def q_descriptives(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 4) AS mean, round(median(l_quantity), 4) AS median, round(stddev_samp(l_quantity), 4) AS sd, round(quantile_cont(l_quantity, 0.25), 4) AS q1, round(quantile_cont(l_quantity, 0.75), 4) AS q3 FROM lineitem GROUP BY l_returnflag",
 )
 def q_group_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(tests.describe(table(spark, sf, _LINES), "l_quantity", "l_returnflag"), "mean", "median", "sd", "q1", "q3", digits=4)
+    return rounded(inference.describe(table(spark, sf, _LINES), "l_quantity", "l_returnflag"), "mean", "median", "sd", "q1", "q3", digits=4)
 
 
 _RANK_SQL = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
@@ -39,13 +39,13 @@ _RANK_SQL = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1)
 SELECT count(*) AS n, round(corr(y, x), 6) AS pearson_r, round(corr(ry, rx), 6) AS spearman_rho FROM r""",
 )
 def q_correlations(spark: SparkSession, sf: str) -> DataFrame:
-    c = tests.correlations(table(spark, sf, _LINES), "l_extendedprice", "l_quantity")
+    c = inference.correlations(table(spark, sf, _LINES), "l_extendedprice", "l_quantity")
     return rounded(spark.createDataFrame([(c["n"], c["pearson_r"], c["spearman_rho"])], "n long, pearson_r double, spearman_rho double"), "pearson_r", "spearman_rho")
 
 
 @register("q_trend", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
 def q_trend(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(tests.trend(table(spark, sf, _LINES), "l_extendedprice", "l_quantity"), "slope", "intercept", digits=4)
+    return rounded(inference.trend(table(spark, sf, _LINES), "l_extendedprice", "l_quantity"), "slope", "intercept", digits=4)
 
 
 _X = ("l_quantity", "l_discount", "l_tax")
@@ -98,7 +98,7 @@ _BLOCKS = [("external", ("pre_price_1d",)), ("memory", ("pre_change_5d",))]
 
 @register("q_nested_models")
 def q_nested_models(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested models of one- and five-session changes, HC3 and HAC covariances, with block tests."""
+    """Nested models of one- and five-session changes, HC3 and HAC covariances, with block inference."""
     df = _sample(spark, sf)
     rows = []
     for y, h in (("change_1d", 1), ("change_5d", 5)):
@@ -135,7 +135,7 @@ SELECT l_linenumber, family, round(p, 6) AS p, round(least(1, max(scaled) OVER (
 )
 def q_holm(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, _LINES).groupBy("l_linenumber", (F.col("l_suppkey") % 4).alias("family")).agg((F.count(F.lit(1)) / 100000.0).alias("p"))
-    return rounded(tests.holm(p, "p", "family"), "p", "p_holm")
+    return rounded(inference.holm(p, "p", "family"), "p", "p_holm")
 
 
 @register(
@@ -144,7 +144,7 @@ def q_holm(spark: SparkSession, sf: str) -> DataFrame:
 SELECT count(*) AS groups, round((12 / (max(n.n) * (max(n.n) + 1)) * sum(s.s * s.s / s.n) - 3 * (max(n.n) + 1)) / (1 - max(t.ties) / (max(n.n) ** 3 - max(n.n))), 4) AS h FROM s, t, n""",
 )
 def q_kruskal(spark: SparkSession, sf: str) -> DataFrame:
-    k = tests.kruskal(table(spark, sf, _LINES), "l_quantity", "l_returnflag")
+    k = inference.kruskal(table(spark, sf, _LINES), "l_quantity", "l_returnflag")
     return spark.createDataFrame([(k["groups"], round(k["h"], 4))], "groups long, h double")
 
 
@@ -155,11 +155,11 @@ SELECT count(*) AS n, least(sum(r) FILTER (x > 0), sum(r) FILTER (x < 0)) AS w F
 )
 def q_wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
     s = events.sessions(market(spark, sf), "d", "v", (1,)).select((F.col("session_value") - F.col("back_1")).alias("x"))
-    w = tests.signed_rank(s, "x")
+    w = inference.signed_rank(s, "x")
     return spark.createDataFrame([(w["n"], float(w["w"]))], "n long, w double")
 
 
 @register("q_mean_test", "SELECT count(c_acctbal) AS n, round(avg(c_acctbal), 6) AS mean, round(avg(c_acctbal) / (stddev_samp(c_acctbal) / sqrt(count(c_acctbal))), 4) AS t FROM customer")
 def q_mean_test(spark: SparkSession, sf: str) -> DataFrame:
-    m = tests.mean_test(table(spark, sf, "customer"), "c_acctbal")
+    m = inference.mean_test(table(spark, sf, "customer"), "c_acctbal")
     return spark.createDataFrame([(m["n"], round(m["mean"], 6), round(m["t"], 4))], "n long, mean double, t double")

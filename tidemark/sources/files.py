@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators.ingest import mixed_date, number, require
 
+# Names of columns and of the key of cached extractions.
 CORPUS_COLUMNS = ("url", "doc_type", "date", "text", "year", "meeting")
 SERIES_COLUMNS = ("observation_date", "VIXCLS")
 CACHE_KEY = ("document_id", "source_sha256", "provider", "model_id", "prompt_version")

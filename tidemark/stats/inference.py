@@ -3,19 +3,42 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import below
 from . import dist
 
 
 def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
     """n, mean, median, standard deviation (null for one row) and quartiles, by group or overall."""
     v = F.col(value).cast("double")
-    p = lambda q: F.percentile(v, F.lit(q))
-    aggs = [F.count(v).alias("n"), F.avg(v).alias("mean"), p(0.5).alias("median"), F.stddev_samp(v).alias("sd"), p(0.25).alias("q1"), p(0.75).alias("q3")]
-    return df.groupBy(*by).agg(*aggs)
+    rows = df.select(*by, v.alias("__v"))
+    basic = rows.groupBy(*by).agg(F.count("__v").alias("n"), F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("sd"))
+    places = quantiles(rows.where("__v is not null"), "__v", {"median": 0.5, "q1": 0.25, "q3": 0.75}, *by)
+    if not by:
+        return basic.join(places).select("n", "mean", "median", "sd", "q1", "q3")  # one row each
+    same = reduce(and_, (basic[c].eqNullSafe(places[c]) for c in by))
+    return basic.join(places, same, "left").select(*(basic[c] for c in by), "n", "mean", "median", "sd", "q1", "q3")
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """Exact quantiles, interpolated between neighbours: a value's place follows from the counts of smaller ones,
+    so no group is sorted or held as a whole."""
+    counts = df.groupBy(*(F.struct(c).alias(c) for c in by), value).agg(F.count(F.lit(1)).alias("__n"))
+    placed = below(counts, value, "__n", *by)
+    total = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
+    placed = placed.join(total, list(by)) if by else placed.join(total)
+    aggs = []
+    for name, q in shares.items():
+        at = (F.col("__total") - 1) * q
+        low, high = (F.max(F.when(F.col("below") <= edge, F.col(value))) for edge in (F.floor(at), F.ceil(at)))
+        aggs.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    out = placed.groupBy(*by).agg(*aggs)
+    return out.select(*(F.col(c)[c].alias(c) for c in by), *shares)
 
 
 def mean_test(df: DataFrame, value: str) -> dict[str, float]:
@@ -36,11 +59,9 @@ def average_rank(value: str | Column, *by: str) -> Column:
 
 
 def ranked(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Average ranks in parallel: counts by value are added up in order and joined back, so no window
-    over all rows is needed; only distinct values are sorted."""
+    """Average ranks in parallel: counts by value are added up in order, bucket by bucket, and joined back."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    below = F.coalesce(F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(F.col(value).alias("__v"), (below + (F.col("__n") + 1) / 2.0).alias(out))
+    ranks = below(counts, value, "__n").select(F.col(value).alias("__v"), (F.col("below") + (F.col("__n") + 1) / 2.0).alias(out))
     return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
