@@ -31,6 +31,22 @@ class Settings:
             raise ValueError(f"no adapter for provider {self.provider!r}")
 
 
+def read(path: str, environ: Mapping[str, str], prefix: str = "TIDEMARK_") -> Settings:
+    """Settings from a YAML file (sections are joined), with the same overrides."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("settings in YAML need the yaml package; pass a mapping to load() instead") from e
+    with open(path, encoding="utf-8") as f:
+        raw = yaml.safe_load(f) or {}
+    if not isinstance(raw, dict):
+        raise ValueError(f"{path} holds no settings")
+    values: dict[str, object] = {}
+    for key, value in raw.items():
+        values.update(value if isinstance(value, dict) else {key: value})
+    return load(values, environ, prefix)
+
+
 def load(values: Mapping[str, object], environ: Mapping[str, str], prefix: str = "TIDEMARK_") -> Settings:
     """Values by name; ``TIDEMARK_SEED`` and the like replace them."""
     kinds = {f: t for f, t in Settings.__annotations__.items()}

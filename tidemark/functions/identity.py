@@ -68,3 +68,15 @@ def flag_copies(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], re
     same = reduce(and_, (F.struct(F.col(k)) == F.col(f"__{k}") for k in keys))
     flagged = df.join(groups, same)
     return flagged.select(*(df[c] for c in df.columns), (F.col("__n") > 1).alias(repeated), (F.struct(*order) > F.col("__first")).alias(later))
+
+
+def identifier(c: Column) -> Column:
+    """A model's or tokenizer's name as names are compared: slashes one way, none at the end, in lower case."""
+    return F.lower(F.rtrim(F.replace(F.trim(c), F.lit("\\"), F.lit("/")), F.lit("/")))
+
+
+def require_pair(tokenizer: str, model: str) -> None:
+    """A tokenizer and a model must come from one checkpoint."""
+    names = [x.strip().replace("\\", "/").rstrip("/").casefold() for x in (tokenizer, model)]
+    if not all(names) or names[0] != names[1]:
+        raise ValueError(f"tokenizer {tokenizer!r} does not match model {model!r}")

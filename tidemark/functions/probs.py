@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,3 +72,11 @@ def normalised_labels(probabilities: Column, aliases: dict[str, str]) -> Column:
     named = F.transform(F.map_entries(probabilities), lambda e: F.struct(F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv)), F.lower(F.trim(e["key"]))), F.lower(F.trim(e["key"]))).alias("key"), e["value"].alias("value")))
     keys = F.array_distinct(F.transform(named, lambda e: e["key"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: total(F.transform(F.filter(named, lambda e: e["key"] == k), lambda e: e["value"]))))
+
+
+def regrouped(probabilities: Column, groups: dict[str, str], order: tuple[str, ...]) -> Column:
+    """Probabilities of the classes in ``order``, summed over the labels that ``groups`` gives each and made to add
+    up to 1; labels of no group are left out, and without any all are 0."""
+    sums = [reduce(add, (F.coalesce(probabilities[k], F.lit(0.0)) for k, g in groups.items() if g == name), F.lit(0.0)) for name in order]
+    whole = reduce(add, sums)
+    return F.map_from_arrays(F.array(*map(F.lit, order)), F.array(*(F.when(whole > 0, s / whole).otherwise(F.lit(0.0)) for s in sums)))

@@ -30,7 +30,7 @@ NEAR = 4
 STANCES = ("hawkish", "dovish", "neutral_or_mixed", "insufficient_evidence")
 
 
-def _matches(sentence: Column, patterns: tuple[str, ...], near: int) -> Column:
+def _matches(sentence: Column, patterns: tuple[str, ...], near: int, negations: tuple[str, ...]) -> Column:
     """The first match of each pattern, unless a negation stands among the words just before it."""
 
     def one(pattern: str) -> Column:
@@ -38,19 +38,19 @@ def _matches(sentence: Column, patterns: tuple[str, ...], near: int) -> Column:
         found = F.regexp_extract(sentence, f"({pattern})", 1)
         before = F.regexp_extract_all(F.lower(F.substring(sentence, F.lit(1), F.regexp_instr(sentence, F.lit(pattern)) - 1)), F.lit(r"(?U)[\w']+"), F.lit(0))
         nearby = F.slice(before, F.greatest(F.size(before) - near + 1, F.lit(1)), F.lit(near))
-        negated = F.arrays_overlap(nearby, F.array(*map(F.lit, NEGATIONS)))
+        negated = F.arrays_overlap(nearby, F.array(*map(F.lit, negations)))
         return F.when((found != "") & ~negated, found)
 
     return F.array_compact(F.array(*map(one, patterns)))
 
 
-def stance(text: Column, hawkish: tuple[str, ...] = HAWKISH, dovish: tuple[str, ...] = DOVISH, near: int = NEAR) -> Column:
+def stance(text: Column, hawkish: tuple[str, ...] = HAWKISH, dovish: tuple[str, ...] = DOVISH, near: int = NEAR, negations: tuple[str, ...] = NEGATIONS) -> Column:
     """struct(stance, hawkish_matches, dovish_matches, evidence): evidence are the sentences that matched."""
     text, any_ = F.coalesce(text, F.lit("")), F.lit("(?iU)(?:" + "|".join((*hawkish, *dovish)) + ")")
     none = F.expr("cast(array() as array<struct<sentence:string,up:array<string>,down:array<string>>>)")
 
     def read(s: Column) -> Column:
-        return F.struct(s.alias("sentence"), _matches(s, hawkish, near).alias("up"), _matches(s, dovish, near).alias("down"))
+        return F.struct(s.alias("sentence"), _matches(s, hawkish, near, negations).alias("up"), _matches(s, dovish, near, negations).alias("down"))
 
     def told(found: Column) -> Column:
         up, down = F.flatten(F.transform(found, lambda r: r["up"])), F.flatten(F.transform(found, lambda r: r["down"]))
@@ -163,3 +163,9 @@ def json_schema() -> dict:
         "uncertainties": texts, "abstained": {"type": "boolean"},
     }
     return {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
+
+
+def compared(status: Column, stance: Column, abstained: Column) -> Column:
+    """An extraction's stance by the names of expert labels; null for failures, abstentions and no evidence."""
+    none = ~status.eqNullSafe(F.lit("success")) | F.coalesce(abstained, F.lit(False)) | (stance == "insufficient_evidence")
+    return F.when(~F.coalesce(none, F.lit(False)), F.when(stance == "neutral_or_mixed", "neutral").otherwise(stance))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.probs import first_largest
+from ..functions.probs import first_largest, softmax
 
 
 def weighted(rows: DataFrame, by: tuple[str, ...], probabilities: str, n: int, weight: str | None = None) -> DataFrame:
@@ -35,3 +35,9 @@ def sentence_features(rows: DataFrame, by: str, label: str, probabilities: str,
     )
     means = F.array(*(F.col(f"mean_{k}") for k in labels))
     return out.withColumn("stance", first_largest(means, labels)).withColumn("net_stance", F.col(f"share_{up}") - F.col(f"share_{down}"))
+
+
+def logit_mean(rows: DataFrame, by: str, logits: str, n: int) -> DataFrame:
+    """Probabilities of the mean logits of a document's windows."""
+    means = rows.groupBy(by).agg(*(F.avg(F.col(logits)[i]).alias(f"__m{i}") for i in range(n)))
+    return means.select(by, softmax(F.array(*(F.col(f"__m{i}") for i in range(n)))).alias("probabilities"))

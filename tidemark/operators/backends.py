@@ -10,9 +10,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identity import require_pair
 from ..functions.probs import first_largest, softmax
 from ..functions.text import token_windows
-from .aggregate import weighted
+from .aggregate import by_paragraph, weighted
+
+
+class Tokenizer(Protocol):
+    """``name`` is the checkpoint, which must be the model's."""
+
+    name: str
+
+    def __call__(self, text: str) -> list[int]: ...
+
+
+def tokens_udf(make: Callable[[], Tokenizer], model: str):
+    """Text to ids by a tokenizer of the model's own checkpoint; null and empty texts have none."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = make()
+        require_pair(tokenizer.name, model)
+        for texts in parts:
+            yield texts.map(lambda t: list(tokenizer(t)) if t else [])
+
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<int>")
 
 
 class LogitBackend(Protocol):
@@ -59,14 +81,29 @@ def logits_udf(make: Callable[[], LogitBackend], batch: int = 8):
     return F.pandas_udf(run, "array<double>")
 
 
-def classify(docs: DataFrame, key: str, tokens: str, make: Callable[[], LogitBackend], labels: tuple[str, ...], max_length: int = 512, stride: int = 64) -> DataFrame:
-    """Windows of every document through the model, weighted by their tokens; error rows stay."""
-    chunks = docs.select(key, F.explode_outer(token_windows(F.col(tokens), max_length, stride)).alias("ids"))
+AGGREGATIONS = ("document_length_weighted", "document_mean", "paragraph_mean")
+
+
+def classify(
+    docs: DataFrame, key: str, tokens: str, make: Callable[[], LogitBackend], labels: tuple[str, ...], max_length: int = 512, stride: int = 64, aggregation: str = AGGREGATIONS[0], paragraph: str | None = None,
+) -> DataFrame:
+    """Windows of every document through the model; error rows stay. Windows weigh as many tokens as they hold, or
+    the same, or make up paragraphs (rows of ``docs`` with the same key, told apart by ``paragraph``) that weigh
+    the same."""
+    if aggregation not in AGGREGATIONS or (aggregation == "paragraph_mean") != (paragraph is not None):
+        raise ValueError(f"no such aggregation: {aggregation}")
+    unit = (paragraph,) if paragraph else ()
+    chunks = docs.select(key, *unit, F.explode_outer(token_windows(F.col(tokens), max_length, stride)).alias("ids"))
     # Nondeterministic keeps the optimiser from calling the model twice for one row.
     raw = chunks.withColumn("logits", logits_udf(make).asNondeterministic()(F.coalesce("ids", F.array().cast("array<int>"))))
     scored = raw.withColumn("p", softmax(F.col("logits")))
     good = scored.where("ids is not null and p is not null").withColumn("n", F.size("ids"))
-    mean = weighted(good, (key,), "p", len(labels), "n")
+    if paragraph:
+        mean = by_paragraph(good, key, paragraph, "p", len(labels), "n")
+    else:
+        mean = weighted(good, (key,), "p", len(labels), "n" if aggregation == AGGREGATIONS[0] else None)
+        if aggregation == "document_mean":
+            mean = mean.drop("token_count").join(good.groupBy(key).agg(F.sum("n").alias("token_count")), key)
     failed = scored.groupBy(key).agg(F.count_if(F.col("ids").isNull() | F.col("p").isNull()).alias("failed"))
     out = failed.join(mean, key, "left")
     status = F.when(F.col("failed") > 0, "error").otherwise("success")

@@ -56,6 +56,16 @@ def truth(c: Column) -> Column:
     return F.when(text.isin("true", "false"), text == "true")
 
 
+def require_truth(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a boolean column: true booleans pass (null is false), text must be true or false in any case."""
+    if dict(df.dtypes)[column] == "boolean":
+        return df.withColumn(column, F.coalesce(column, F.lit(False)))
+    bad = [r[0] for r in df.where(truth(F.col(column)).isNull()).select(column).distinct().orderBy(column).limit(10).collect()]
+    if bad:
+        raise ValueError(f"{column} is neither true nor false: {bad}")
+    return df.withColumn(column, truth(F.col(column)))
+
+
 def codes(*checks: tuple[str, Column]) -> Column:
     """Names of the checks that hold, comma-joined in order."""
     return F.concat_ws(",", *(F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in checks))

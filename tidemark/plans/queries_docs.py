@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, stance, text
-from ..operators import cache, ingest, quality
+from ..operators import cache, ingest, quality, summaries
 from ..session import table
 from .catalogue import register
 from .fixtures import DOCS_SQL, documents, rounded
@@ -106,11 +106,7 @@ def q_usability(spark: SparkSession, sf: str) -> DataFrame:
   (SELECT count(*) FROM documents WHERE contains(text, 'Ã')) AS possible_artefacts""",
 )
 def q_quality_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    sizes = docs.groupBy(identity.content_hash(F.col("text")).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    a = sizes.agg(F.sum("n").alias("input_rows"), F.count(F.lit(1)).alias("distinct_contents"), F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows"))
-    b = docs.agg(F.max("n_chars").alias("longest"), F.count_if(F.contains("text", F.lit("Ã"))).alias("possible_artefacts"))
-    return a.crossJoin(b)  # one row each
+    return summaries.quality_metrics(table(spark, sf, "documents"), identity.content_hash(F.col("text")), F.col("n_chars"), {"possible_artefacts": F.contains("text", F.lit("Ã"))})
 
 
 @register(
@@ -172,10 +168,34 @@ def q_token_windows(spark: SparkSession, sf: str) -> DataFrame:
 _UP, _DOWN = (r"\bof the\b", r"\bthe (?:and|on)\b"), (r"\bin (?:the|of)\b", r"\bwith\b")
 
 
-@register("q_stance_rules")
+#: Words of the invented prose that turn a phrase around, as the operator's own don't occur in it.
+_TURN = ("and", "wh", "is")
+
+
+def _stance_sql() -> str:
+    """Each sentence and pattern: the first match at word limits, unless one of the last four words before it turns it."""
+    word, side = r"[\pL\pN_]", r"[^\pL\pN_]"
+    sides = []
+    for patterns in (_UP, _DOWN):
+        found = []
+        for p in patterns:
+            bare = p.replace(r"\b", "")
+            hit = f"regexp_matches(x, '(?i)(?:^|{side})(?:{bare})(?:$|{side})')"
+            before = f"regexp_extract(x, '(?is)^(.*?(?:^|{side}))(?:{bare})(?:$|{side})', 1)"
+            turned = f"list_has_any(list_slice(list_reverse(regexp_extract_all(lower({before}), '(?:{word}|'')+')), 1, 4), {list(_TURN)})"
+            found.append(f"CASE WHEN {hit} AND NOT {turned} THEN 1 ELSE 0 END")
+        sides.append(f"list_transform(s, lambda x: {' + '.join(found)})")
+    return (
+        f"WITH t AS (SELECT doc_id, list_filter(list_transform({_STOP_SQL}, lambda x: trim(x, E' \\n\\t\\r')), lambda x: x <> '') AS s FROM documents), m AS (SELECT doc_id, {sides[0]} AS u, {sides[1]} AS d FROM t), "
+        "c AS (SELECT doc_id, coalesce(list_sum(u), 0)::INTEGER AS up, coalesce(list_sum(d), 0)::INTEGER AS down, len(list_filter(list_zip(u, d), lambda p: p[1] + p[2] > 0))::INTEGER AS evidence FROM m) "
+        "SELECT doc_id, CASE WHEN up > 0 AND down > 0 THEN 'neutral_or_mixed' WHEN up > 0 THEN 'hawkish' WHEN down > 0 THEN 'dovish' ELSE 'insufficient_evidence' END AS stance, up, down, evidence FROM c"
+    )
+
+
+@register("q_stance_rules", _stance_sql())
 def q_stance_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Phrases of the invented prose stand for a lexicon; the negation is the operator's own."""
-    s = stance.stance(F.col("text"), _UP, _DOWN)
+    """Phrases and negations of the invented prose stand for a lexicon."""
+    s = stance.stance(F.col("text"), _UP, _DOWN, negations=_TURN)
     out = table(spark, sf, "documents").select("doc_id", s.alias("s"))
     return out.select("doc_id", "s.stance", F.size("s.hawkish_matches").alias("up"), F.size("s.dovish_matches").alias("down"), F.size("s.evidence").alias("evidence"))
 
@@ -211,11 +231,12 @@ def q_mock_outlook(spark: SparkSession, sf: str) -> DataFrame:
     return _extracted(spark, sf).select("conv_id", "turn", "x.inflation_outlook")
 
 
-@register("q_grounding", "SELECT c.conv_id, c.turn, NOT contains(d.text, c.text) AS ungrounded FROM conversations c JOIN documents d ON d.doc_id = c.conv_id")
+@register("q_grounding", "SELECT doc_id, n_chars % 2 = 0 AND length(trim(text)) > 0 AND NOT contains(text, 'is not said') AS ungrounded FROM documents")
 def q_grounding(spark: SparkSession, sf: str) -> DataFrame:
-    quoted = table(spark, sf, "conversations").select("conv_id", "turn", F.array(F.struct(F.lit("key_risk").alias("field"), F.col("text").alias("quote"))).alias("evidence"))
-    sources = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("source"))
-    return quoted.join(sources, "conv_id").select("conv_id", "turn", (F.size(stance.ungrounded(F.col("evidence"), F.col("source"))) > 0).alias("ungrounded"))
+    """Every second document is quoted with a piece of itself, the others with words that it lacks."""
+    quote = F.when((F.col("n_chars") % 2 == 0) & (F.length(F.trim("text")) > 0), F.lit("is not said")).otherwise(F.substring("text", 3, 40))
+    quoted = table(spark, sf, "documents").select("doc_id", "text", F.array(F.struct(F.lit("key_risk").alias("field"), quote.alias("quote"))).alias("evidence"))
+    return quoted.select("doc_id", (F.size(stance.ungrounded(F.col("evidence"), F.col("text"))) > 0).alias("ungrounded"))
 
 
 @register("q_schema_audit", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN 'unexpected_keys' ELSE 'missing_keys' END AS errors FROM conversations")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import os
+import re
+import urllib.request
 from collections.abc import Callable
 
 import pandas as pd
@@ -58,9 +61,34 @@ def loaded(spark: SparkSession, loader: Callable[..., pd.DataFrame], *args: obje
     return spark.createDataFrame(loader(*args))
 
 
+def index_prices(spark: SparkSession, loader: Callable[[str, str], pd.DataFrame], start: str, end: str) -> DataFrame:
+    """(trading_date, value) of an injected download whose end is exclusive, for an inclusive range of dates. The price
+    is adjusted for dividends where the download has that."""
+    after = (datetime.date.fromisoformat(end) + datetime.timedelta(days=1)).isoformat()
+    raw = loader(start, after)
+    price = next((c for c in ("Adj Close", "Close") if c in raw.columns), None)
+    if price is None:
+        raise ValueError("the download has neither Adj Close nor Close")
+    dates = pd.to_datetime(raw.index, utc=True).tz_localize(None).normalize()
+    return spark.createDataFrame(pd.DataFrame({"trading_date": dates.date, "value": raw[price].astype(float).to_numpy()}), "trading_date date, value double")
+
+
+def downloaded(url: str, seconds: float = 60.0) -> str:
+    """The text behind a URL; for loaders that a caller allows to use the network."""
+    with urllib.request.urlopen(url, timeout=seconds) as answer:  # noqa: S310 - the caller names the address
+        return answer.read().decode("utf-8-sig")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """One record a line; a malformed line is an error."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """One record a line; malformed lines are an error that names the first one's number in its file."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    marked = T.StructType([*kind.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed, bad = F.from_json("value", marked, {"columnNameOfCorruptRecord": "_corrupt_record"}), "x is null or x._corrupt_record is not null"
+    if spark.read.text(path).where("trim(value) <> ''").select(parsed.alias("x")).where(bad).head(1):
+        files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+        first = files.where("trim(value) <> ''").withColumn("x", parsed).where(bad).orderBy("file", "at").first()
+        raise ValueError(f"{first['file'].rsplit('/', 1)[-1]}, line {first['at'] + 1}: not a record")
+    return spark.read.schema(kind).option("mode", "FAILFAST").json(path)
 
 
 def json_document(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +97,8 @@ def json_document(spark: SparkSession, path: str) -> DataFrame:
 
 def latest(cache: DataFrame, keys: tuple[str, ...] = CACHE_KEY, order: str = "generated_at") -> DataFrame:
     """The last record of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
+    # Of records of one time the greatest as text is taken, so that the choice is the same each time.
+    w = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc(F.to_json(F.struct("*"))))
     return cache.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
@@ -83,6 +112,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
+def pinned(spark: SparkSession, loader: Callable[[str, str], dict[str, pd.DataFrame]], name: str, revision: str) -> tuple[DataFrame, DataFrame]:
+    """Train and test tables of a data set at a fixed revision (a full commit hash), by an injected loader."""
+    if not re.fullmatch("[0-9a-f]{40}", revision):
+        raise ValueError(f"{name} needs the full hash of a revision, not {revision!r}")
+    found = loader(name, revision)
+    if lost := sorted({"train", "test"} - set(found)):
+        raise ValueError(f"{name} lacks {', '.join(lost)}")
+    return spark.createDataFrame(found["train"]), spark.createDataFrame(found["test"])
+
+
+def stripped(df: DataFrame, split: str | None = None) -> DataFrame:
+    """All columns as trimmed text, of one split if it is named; an error where nothing is left."""
+    kept = df.select(*(F.trim(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns))
+    kept = kept if split is None else kept.where(F.col("split") == split)
+    if not kept.head(1):
+        raise ValueError(f"no rows{'' if split is None else f' in split {split}'}")
+    return kept
+
+
 def labelled_splits(train: DataFrame, test: DataFrame, labels: dict[int, str]) -> DataFrame:
     """Train and test rows with named labels; an unknown label or an empty sentence is an error."""
     both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")), allowMissingColumns=True)

@@ -7,7 +7,9 @@ import math
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(df: DataFrame, path: str, form: str = "parquet", by: tuple[str, ...] = ()) -> None:
@@ -20,6 +22,32 @@ def table(df: DataFrame, path: str, form: str = "parquet", by: tuple[str, ...] =
     writer.format(form).save(path)
 
 
+def records(df: DataFrame, path: str) -> None:
+    """JSON lines whose keys are sorted, at the top and in structs; nulls are written."""
+    df.select(*(F.col(f"`{c}`") for c in sorted(df.columns))).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def pair(first: tuple[str, str], second: tuple[str, str]) -> None:
+    """Two small files (path, content), both written before either gets its name."""
+    temps = []
+    try:
+        for path, content in (first, second):
+            temps.append(_beside(path, content))
+    except BaseException:
+        for t in temps:
+            os.unlink(t)
+        raise
+    for t, (path, _) in zip(temps, (first, second), strict=True):
+        os.replace(t, path)
+
+
+def model(fitted: PipelineModel, path: str, provenance: dict) -> None:
+    """A fitted pipeline and, beside it, what it was made of."""
+    fitted.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(_plain(provenance), sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/provenance")
+
+
 def _plain(x: object) -> object:
     if isinstance(x, float) and not math.isfinite(x):
         return None
@@ -32,15 +60,20 @@ def _plain(x: object) -> object:
 
 def text(path: str, content: str) -> None:
     """A small file on the driver, written beside its place and renamed."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    fd, temp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
+    os.replace(_beside(path, content), path)
+
+
+def _beside(path: str, content: str) -> str:
+    folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    fd, temp = tempfile.mkstemp(dir=folder)
     try:
         with os.fdopen(fd, "w", encoding="utf-8") as f:
             f.write(content)
-        os.replace(temp, path)
     except BaseException:
         os.unlink(temp)
         raise
+    return temp
 
 
 def report(path: str, value: dict) -> None:

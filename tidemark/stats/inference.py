@@ -116,3 +116,9 @@ def holm(df: DataFrame, p: str, *family: str) -> DataFrame:
 
 def trend(df: DataFrame, y: str, x: str) -> DataFrame:
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+
+
+def families(tests: DataFrame, p: str, *family: str, level: float = 0.05) -> DataFrame:
+    """Holm-adjusted p-values of each family (a block of terms across all outcomes, or a correlation across all
+    outcomes and features) with the decision at ``level``."""
+    return holm(tests, p, *family).withColumn(f"{p}_reject", F.coalesce(F.col(f"{p}_holm") < level, F.lit(False)))

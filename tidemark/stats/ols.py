@@ -155,6 +155,19 @@ class Fit:
         f = float(b @ np.linalg.solve(v, b)) / len(at)
         return f, dist.f_upper(f, len(at), self.dof), len(at)
 
+    def standardised(self, df: DataFrame) -> dict[str, float]:
+        """Coefficients in standard deviations of term and outcome; the intercept has none."""
+        row = df.agg(F.stddev_samp(F.col(self.y).cast("double")), *(F.stddev_samp(c) for c in self.cols[1:])).first()
+        return {name: float(b) * s / row[0] if row[0] else math.nan for name, b, s in zip(self.names[1:], self.beta[1:], row[1:], strict=True)}
+
+    def anova(self, blocks: dict[str, tuple[str, ...]] | None = None) -> list[tuple[str, float, int, float, float]]:
+        """(term, sum of squares, degrees of freedom, F, p) of each term, or block of terms, given all others."""
+        out = []
+        for name, terms in (blocks or {t: (t,) for t in self.names[1:]}).items():
+            f, p, k = self.wald(self.plain(), terms)
+            out.append((name, f * k * self.ssr / self.dof, k, f, p))
+        return out
+
     def vif(self) -> dict[str, float]:
         """1 / (1 - R^2) of each term on the others, from the centred cross products; NaN if singular."""
         mean = self.xx[0] / self.n
