@@ -22,7 +22,8 @@ compared apart from each other:
    are brought together, and overlaps are counted fragment by fragment and summed for each pair.
 
 Equal sets form one class with one representative, whatever their number. Among sets that meet,
-each is first compared with one hub of its bucket; the links found give components; after that only
+each is first compared with two hubs of its buckets; the links found give components; then sets are
+compared with the least member of another component in their buckets; after that only
 sets of a bucket that are still in different components are compared, all of them. So no link
 between components is lost, and a large group of near copies gives as many pairs as it has members,
 not the square of that.
@@ -70,6 +71,8 @@ SKETCH_LONGS, MOST_BITS = 16, 1 << 16
 COUNT_FRAGMENTS = 4
 #: Pairs with one hub that a task compares before the hub's text is sent to another one too.
 PAIRS_A_HUB = 128
+#: Hubs that a set is first held against, of those that it meets.
+HUBS = 8
 #: Times that a set is cut anew when too many of its segments are empty.
 CUTS = 3
 
@@ -436,8 +439,10 @@ class Join:
     def _may_link(self, a: str, b: str) -> Column:
         """Sizes fit, and the sketches differ in no more bits than the sets may differ in."""
         na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-        differ = reduce(operator.add, (F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH_LONGS)))
-        return (self.q * F.least(na, nb) >= self.p * F.greatest(na, nb)) & (differ * (self.q + self.p) <= (self.q - self.p) * (na + nb))
+        return (self.q * F.least(na, nb) >= self.p * F.greatest(na, nb)) & (self._bits(a, b) * (self.q + self.p) <= (self.q - self.p) * (na + nb))
+
+    def _bits(self, a: str, b: str) -> Column:
+        return reduce(operator.add, (F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH_LONGS)))
 
     def _still_may(self, pairs: DataFrame) -> DataFrame:
         """The same by the wide sketches of larger sets: (hub, node, hub_t, node_t) and other columns."""
@@ -504,44 +509,68 @@ class Join:
         least = described.where("mark is null and n > 0 and doc_id is not null").groupBy("s1").agg(F.min(F.struct("doc_id", "t", "n", "sketch", "wide")).alias("x"))
         node_id = F.col("x.doc_id") if self.unique else F.struct("x.doc_id", "s1")
         nodes = store.keep(least.select("s1", F.col("s1").bitwiseAND(F.lit((1 << 40) - 1)).alias("part"), node_id.alias("id"), "x.t", "x.n", "x.sketch", "x.wide"), "nodes")
-        buckets = store.keep(described.where("mark is not null").groupBy("mark", "part", "hub").agg(F.count(F.lit(1)).alias("agree")), "buckets")
-
-        side = lambda c: nodes.select(F.col("part").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("s1", "t", "n", "sketch", "wide")))
-        # First each set with the two hubs that it shares the most segments with.
-        common = buckets.where("part <> hub").groupBy("hub", F.col("part").alias("node")).agg(F.sum("agree").alias("agree"))
-        near = common.join(side("hub"), "hub").join(side("node"), "node").where((F.col("hub_s1") != F.col("node_s1")) & self._may_link("hub_", "node_"))
-        best = Window.partitionBy("node_s1").orderBy(F.desc("agree"), "hub_s1")
-        chosen = self._still_may(near).withColumn("r", F.row_number().over(best)).where("r <= 2").select(F.col("hub_s1").alias("hub"), F.col("node_s1").alias("node"), "hub_t", "node_t")
-        first = store.keep(chosen, "pairs-1")
+        buckets = store.keep(described.where("mark is not null").select("mark", "part").distinct(), "buckets")
+
+        # First each set with two of the hubs that it shares the most segments with.
+        hubs = described.where("mark is not null and part <> hub").groupBy(F.col("part").alias("node")).agg(F.expr(f"approx_top_k(hub, {HUBS}, 256)").alias("h"))
+        first = store.keep(self._nearest(hubs.select("node", F.explode("h.item").alias("hub")), nodes, "part"), "pairs-1")
         links = self._verify(first, nodes, "links-1")
         parts = components(links, store, "parts-1")
         release(spark)
 
-        # Then all that met and are in different components still. Sketches only join what is left.
-        placed = nodes.join(parts.withColumnRenamed("node", "id"), "id", "left").select("part", "s1", F.coalesce("component", "id").alias("component"))
-        own = store.keep(buckets.select("mark", "part").distinct().join(placed, "part").drop("part"), "met")
-        split = own.groupBy("mark").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("mark", "c0")
-        open_ = store.keep(own.join(split, "mark").join(nodes.select("s1", "n", "sketch"), "s1"), "open")
-        l = open_.where("component <> c0").select("mark", *(F.col(c).alias(f"l_{c}") for c in ("s1", "n", "sketch", "component")))  # noqa: E741
+        # Then sets with the least member, in their buckets, of another component.
+        split = self._unsettled(buckets, nodes, parts, "open-1")
+        others = split.where("component <> low.component").select(F.col("low.s1").alias("hub"), F.col("s1").alias("node")).distinct()
+        second = store.keep(self._nearest(others.join(first.select("hub", "node"), ["hub", "node"], "left_anti"), nodes, "s1"), "pairs-2")
+        links2 = self._verify(second, nodes, "links-2")
+        parts = self._joined(parts, links2, "parts-2")
+
+        # At last all that met and are in different components still. Sketches only join what is left.
+        open_ = self._unsettled(buckets, nodes, parts, "open-2").join(nodes.select("s1", "n", "sketch"), "s1")
+        open_ = store.keep(open_, "open-3")
+        l = open_.where("component <> low.component").select("mark", *(F.col(c).alias(f"l_{c}") for c in ("s1", "n", "sketch", "component")))  # noqa: E741
         r = open_.select("mark", *(F.col(c).alias(f"r_{c}") for c in ("s1", "n", "sketch", "component")))
         # Both sides outside the least component would come twice.
         once = F.col("r_component") < F.col("l_component")
         more = l.join(r, (l["mark"] == r["mark"]) & once & self._may_link("l_", "r_"))
         more = more.select(F.least("l_s1", "r_s1").alias("hub"), F.greatest("l_s1", "r_s1").alias("node")).distinct()
-        done = first.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
-        named = lambda c: nodes.select(F.col("s1").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("t", "n", "wide")))
-        more = more.join(done, ["hub", "node"], "left_anti").join(named("hub"), "hub").join(named("node"), "node")
-        second = store.keep(self._still_may(more).select("hub", "node", "hub_t", "node_t"), "pairs-2")
-        links2 = self._verify(second, nodes, "links-2")
-        self.links = links.unionByName(links2)
-        if links2.head(1):
-            # The components so far are stars, to which the new links are added.
-            stars = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
-            parts = components(stars.unionByName(links2), store, "parts-2")
-        store.drop("open", "met", "buckets", "pairs-1", "pairs-2")
+        done = first.unionByName(second).select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
+        more = more.join(done, ["hub", "node"], "left_anti")
+        third = store.keep(self._still_may(self._with_sides(more, nodes, "s1")).select(F.col("hub_s1").alias("hub"), F.col("node_s1").alias("node"), "hub_t", "node_t"), "pairs-3")
+        links3 = self._verify(third, nodes, "links-3")
+        parts = self._joined(parts, links3, "parts-3")
+        self.links = links.unionByName(links2).unionByName(links3)
+        store.drop("open-1", "open-2", "open-3", "buckets", "pairs-1", "pairs-2", "pairs-3")
 
         return rows, nodes.select("s1", F.col("id").alias("node")).join(parts, "node", "left").select("s1", F.coalesce("component", "node").alias("component"))
 
+    def _with_sides(self, pairs: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
+        """Pairs of hub and node, given as this column of ``nodes``, with what is known of both."""
+        side = lambda c: nodes.select(F.col(by).alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("s1", "t", "n", "sketch", "wide")))
+        return pairs.join(side("hub"), "hub").join(side("node"), "node")
+
+    def _nearest(self, pairs: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
+        """For each node the two hubs, of those it may link with, whose sketches differ least."""
+        near = self._still_may(self._with_sides(pairs, nodes, by).where((F.col("hub_s1") != F.col("node_s1")) & self._may_link("hub_", "node_")))
+        best = Window.partitionBy("node_s1").orderBy(self._bits("hub_", "node_"), "hub_s1")
+        return near.withColumn("r", F.row_number().over(best)).where("r <= 2").select(F.col("hub_s1").alias("hub"), F.col("node_s1").alias("node"), "hub_t", "node_t").distinct()
+
+    def _unsettled(self, buckets: DataFrame, nodes: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+        """Sets (mark, s1, component) of buckets that hold several components, and ``low``, the least component with
+        its least set there."""
+        placed = nodes.select("part", "s1", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("part", "s1", F.coalesce("component", "id").alias("component"))
+        own = self.store.keep(buckets.join(placed, "part").drop("part"), f"{name}-met")
+        split = own.groupBy("mark").agg(F.min(F.struct("component", "s1")).alias("low"), F.max("component").alias("high")).where("low.component < high").select("mark", "low")
+        found = self.store.keep(own.join(split, "mark"), name)
+        self.store.drop(f"{name}-met")
+        return found
+
+    def _joined(self, parts: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Components, which are stars so far, with new links."""
+        if not links.head(1):
+            return parts
+        return components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), self.store, name)
+
     def _same_ids(self, rows: DataFrame, named: DataFrame) -> DataFrame:
         """Components of sets that share a doc_id are one."""
         of = rows.where("n > 0 and doc_id is not null").select("doc_id", "s1").distinct().join(named, "s1")
