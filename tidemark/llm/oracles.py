@@ -58,3 +58,26 @@ kept AS (SELECT own.*, pos <= shared AS inside, CASE WHEN pos <= shared THEN 'pr
 whole AS (SELECT pair_id, coalesce(sum(length(rendered)) FILTER (inside), 0) AS size FROM kept GROUP BY pair_id),
 placed AS (SELECT kept.*, CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, piece ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN inside THEN 0 ELSE size END AS BIGINT) AS begin FROM kept JOIN whole USING (pair_id))
 SELECT pair_id, piece AS part, pos, role, rendered, begin, begin + length(rendered) AS finish, NOT inside AND role IN ('assistant') AS train, chosen_id, rejected_id FROM placed"""
+
+
+HARD_NEGATIVES = """WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, a.label = r.label AS same, r.id AS id, CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM r a JOIN r ON a.id <> r.id WHERE a.id % 50 = 0),
+pos AS (SELECT a, id AS p, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id) <= 5)
+SELECT pos.a AS anchor_id, p AS positive_id, CAST(row_number() OVER (PARTITION BY pos.a, p ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, ps AS positive_score, score AS negative_score
+FROM pos JOIN s ON s.a = pos.a AND NOT same AND 50 * ps <= 100 * score AND 100 * score <= 95 * ps
+QUALIFY row_number() OVER (PARTITION BY pos.a, p ORDER BY score DESC, id) <= 3"""
+
+#: The level is the highest of (words left by the sources before) / (weights from here on), in the order of cap to weight.
+SOURCE_MIXING = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(concat_ws(':', '0', CAST(doc_id AS VARCHAR), text)), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+o AS (SELECT *, 3 * source_size AS cap, row_number() OVER (ORDER BY 3 * source_size / w, source) AS i FROM s),
+c AS (SELECT *, CAST((SELECT sum(source_size) FROM o) - coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest,
+  CAST(sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS shares FROM o),
+level AS (SELECT rest, shares FROM c ORDER BY rest / shares DESC, i LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN cap < level.rest * w / level.shares THEN CAST(cap AS DOUBLE) ELSE level.rest * w / level.shares END AS target FROM c, level),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
+r AS (SELECT d.doc_id, d.source, size, source_size, target, passes, target - passes * source_size AS left_over, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, source, size, source_size, target, CAST(size * (passes + CASE WHEN left_over > 0 AND 2 * (left_over - before) >= size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r"""

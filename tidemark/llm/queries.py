@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_hnsw, chat_preference, decontamination, jaccard_join, oracles, packing_best_fit, packing_cutting_stock, pii_bootstrap, quality_qda, toxicity_fm, url_automaton
+from . import ann_hnsw, chat_preference, decontamination, hard_negatives, jaccard_join, oracles, packing_best_fit, packing_cutting_stock, pii_bootstrap, quality_qda, source_mixing, token_alignment, toxicity_fm, url_automaton
 from .common import table
 
 
-def _word_vocabulary() -> str:
+def _vocabulary(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def _word_vocabulary() -> str:
+    return _vocabulary("word_bpe_49k.json")
 
 
 def _fold(n: int) -> Column:
@@ -74,9 +78,32 @@ def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = token_alignment.align(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", F.col("n_best_b").alias("n_best"), "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+_OPERATORS = (
+    op1_toxicity_machine, op2_token_matrices, op3_contextual_pii, op4_cutting_stock, op5_small_world, op6_decontamination, op7_url_automaton, op8_jaccard_join, op9_preference_pairs,
+    op10_quality_discriminant, op11_token_alignment, op12_hard_negatives, op13_source_mixing,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_machine, op2_token_matrices, op3_contextual_pii, op4_cutting_stock, op5_small_world, op6_decontamination, op7_url_automaton, op8_jaccard_join, op9_preference_pairs, op10_quality_discriminant)}
+    return {f.__name__: f for f in _OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": oracles.DECONTAMINATION, "op7_url_automaton": oracles.url_filter(), "op8_jaccard_join": oracles.JACCARD, "op9_preference_pairs": oracles.PREFERENCES}
+    return {
+        "op6_decontamination": oracles.DECONTAMINATION, "op7_url_automaton": oracles.url_filter(), "op8_jaccard_join": oracles.JACCARD, "op9_preference_pairs": oracles.PREFERENCES,
+        "op12_hard_negatives": oracles.HARD_NEGATIVES, "op13_source_mixing": oracles.SOURCE_MIXING,
+    }
