@@ -8,6 +8,9 @@ import json
 import logging
 import time
 
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
 from . import log
 from .plans import catalogue
 from .session import build_session
@@ -24,11 +27,14 @@ def main(argv: list[str] | None = None) -> dict:
     log.configure(args.log_level)
     spark = build_session(app=f"tidemark {args.query}")
     began = time.monotonic()
-    df = catalogue.queries()[args.query](spark, args.folder)
+    # Rows are counted by the very pass that writes, or only makes, them.
+    seen = Observation("rows")
+    df = catalogue.queries()[args.query](spark, args.folder).observe(seen, F.count(F.lit(1)).alias("rows"))
     if args.out:
         sinks.table(df, args.out)
-        df = spark.read.schema(df.schema).parquet(args.out)
-    summary = {"query": args.query, "rows": df.count(), "columns": df.columns, "out": args.out, "seconds": round(time.monotonic() - began, 3)}
+    else:
+        df.write.format("noop").mode("overwrite").save()
+    summary = {"query": args.query, "rows": seen.get["rows"], "columns": df.columns, "out": args.out, "seconds": round(time.monotonic() - began, 3)}
     logging.getLogger(__name__).info("query ended", extra={"query": args.query, "rows": summary["rows"]})
     print(json.dumps(summary, sort_keys=True))
     return summary

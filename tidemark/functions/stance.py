@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,6 +93,8 @@ EXTRACTION_TYPE = (
 )
 EXTRACTION_KEYS = ("schema_version", "policy_stance", "inflation_outlook", "labor_market_outlook", "economic_growth_outlook", "key_risks", "policy_rationale", "supporting_evidence", "uncertainties", "abstained")
 OPTIONAL_TEXT = ("inflation_outlook", "labor_market_outlook", "economic_growth_outlook")
+TEXT_LISTS = ("key_risks", "policy_rationale", "uncertainties")
+EVIDENCE_KEYS = ("field", "quote", "claim_type", "explanation")
 
 
 def extract(text: Column, terms: dict[str, tuple[str, ...]] = TERMS, most: int = 3) -> Column:
@@ -126,23 +131,79 @@ def _extraction(first: dict[str, Column], risks: Column, reasons: Column) -> Col
 
 
 def audit(payload: Column) -> Column:
-    """Codes of everything that is wrong with an extraction in JSON; none for a sound one."""
-    keys = F.json_object_keys(payload)
-    x = F.from_json(payload, EXTRACTION_TYPE)
-    expected = F.array(*map(F.lit, EXTRACTION_KEYS))
-    blank = lambda c: c.isNotNull() & (F.trim(c) == "")
-    bad_evidence = F.exists(x["supporting_evidence"], lambda e: ~F.coalesce(e["field"].isin(*EVIDENCE_FIELDS) & e["claim_type"].isin(*CLAIM_TYPES) & (F.trim(e["quote"]) != "") & (F.trim(e["explanation"]) != ""), F.lit(False)))
+    """Codes of everything that is wrong with an extraction in JSON; none for a sound one.
+
+    Values are looked at with the types that they have in the JSON (VARIANT), never cast: a number is no text and a text
+    no boolean, in lists and evidence items too. A key that is missing is told once, as such.
+    """
+    return let(F.try_parse_json(payload), lambda v: let(_parts(v), _codes))
+
+
+def _kind(v: Column) -> Column:
+    """STRING, BOOLEAN, VOID (a JSON null), ARRAY<...>, OBJECT<...> or a number's type; null where there is nothing."""
+    return F.schema_of_variant(v)
+
+
+def _text(v: Column) -> Column:
+    """A value that is text, else null."""
+    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _said(text: Column) -> Column:
+    """Is this a text with something in it?"""
+    return F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def _items(v: Column, key: str) -> Column:
+    return F.try_variant_get(v, f"$.{key}", "array<variant>")
+
+
+def _parts(v: Column) -> Column:
+    """What the checks look at, each taken out of the document once."""
+    at = {k: F.try_variant_get(v, f"$.{k}", "variant") for k in EXTRACTION_KEYS}
+    texts = [F.struct(_kind(at[k]).alias("kind"), _text(at[k]).alias("text")).alias(k) for k in ("schema_version", "policy_stance", *OPTIONAL_TEXT)]
+    lists = [F.struct(_kind(at[k]).alias("kind"), F.transform(_items(v, k), lambda x: _said(_text(x))).alias("said")).alias(k) for k in TEXT_LISTS]
+
+    def item(e: Column) -> Column:
+        own = F.try_variant_get(e, "$", "map<string,variant>")
+        return F.struct(F.map_keys(own).alias("keys"), *(_text(F.try_variant_get(e, f"$.{k}", "variant")).alias(k) for k in EVIDENCE_KEYS))
+
+    evidence = F.struct(_kind(at["supporting_evidence"]).alias("kind"), F.transform(_items(v, "supporting_evidence"), item).alias("items")).alias("supporting_evidence")
+    abstained = F.when(_kind(at["abstained"]) == "BOOLEAN", F.try_variant_get(v, "$.abstained", "boolean")).alias("abstained")
+    return F.struct(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")).alias("keys"), *texts, *lists, evidence, _kind(at["abstained"]).isNotNull().alias("abstains"), abstained)
+
+
+def _codes(x: Column) -> Column:
+    keys, expected = x["keys"], F.array(*map(F.lit, EXTRACTION_KEYS))
     code = lambda cond, name: F.when(F.coalesce(cond, F.lit(False)), F.lit(name))
+    there = lambda k: x[k]["kind"].isNotNull()
+    stance, evidence = _bare(x["policy_stance"]["text"]), x["supporting_evidence"]["items"]
+    wanted = F.array(*map(F.lit, EVIDENCE_KEYS))
+
+    def odd(e: Column) -> Column:
+        return e["keys"].isNull() | (F.size(F.array_except(wanted, e["keys"])) + F.size(F.array_except(e["keys"], wanted)) > 0)
+
+    def other(field: str, allowed: tuple[str, ...]) -> Column:
+        return F.exists(evidence, lambda e: _said(e[field]) & ~_bare(e[field]).isin(*allowed))
+
     return F.array_compact(F.array(
         code(keys.isNull(), "not_an_object"),
         code(F.size(F.array_except(expected, keys)) > 0, "missing_keys"), code(F.size(F.array_except(keys, expected)) > 0, "unexpected_keys"),
-        code(keys.isNotNull() & ~F.coalesce(x["schema_version"] == SCHEMA_VERSION, F.lit(False)), "schema_version"),
-        code(keys.isNotNull() & ~F.coalesce(x["policy_stance"].isin(*STANCES), F.lit(False)), "policy_stance"),
-        code(keys.isNotNull() & x["abstained"].isNull(), "abstained"),
-        *(code(blank(x[f]), f"blank_{f}") for f in OPTIONAL_TEXT),
-        code(bad_evidence, "evidence_item"),
-        code(x["abstained"] & (x["policy_stance"] != "insufficient_evidence"), "abstained_with_stance"),
-        code(~x["abstained"] & (F.coalesce(F.size(x["supporting_evidence"]), F.lit(0)) < 1), "claim_without_evidence"),
+        code(there("schema_version") & ~F.coalesce(_bare(x["schema_version"]["text"]) == SCHEMA_VERSION, F.lit(False)), "schema_version"),
+        code(there("policy_stance") & ~F.coalesce(stance.isin(*STANCES), F.lit(False)), "policy_stance"),
+        code(x["abstains"] & x["abstained"].isNull(), "abstained"),
+        *(code(there(f) & ~x[f]["kind"].isin("STRING", "VOID"), f"not_text_{f}") for f in OPTIONAL_TEXT),
+        *(code((x[f]["kind"] == "STRING") & ~_said(x[f]["text"]), f"blank_{f}") for f in OPTIONAL_TEXT),
+        *(code(there(f) & (x[f]["said"].isNull() | F.exists(x[f]["said"], lambda s: ~s)), f"list_{f}") for f in TEXT_LISTS),
+        code(there("supporting_evidence") & evidence.isNull(), "evidence_list"), code(F.exists(evidence, odd), "evidence_item"),
+        code(F.exists(evidence, lambda e: ~odd(e) & ~reduce(and_, (_said(e[k]) for k in EVIDENCE_KEYS))), "evidence_text"),
+        code(other("field", EVIDENCE_FIELDS), "evidence_field"), code(other("claim_type", CLAIM_TYPES), "evidence_claim_type"),
+        code(x["abstained"] & (stance != "insufficient_evidence"), "abstained_with_stance"),
+        code(~x["abstained"] & (F.size(evidence) == 0), "claim_without_evidence"),
     ))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import Ordered
 from .ranks import dealt
 
 
@@ -48,7 +49,7 @@ def selective(rows: DataFrame, truth: str, guess: str, valid: str, abstained: st
 
 def stratified_sample(rows: DataFrame, label: str, key: str, n: int, labels: int, seed: int = 42) -> DataFrame:
     """n rows dealt evenly over the labels, the first labels getting the remainder; the same each time."""
-    rank = rows.groupBy(label).agg(F.lit(0).alias("x")).withColumn("label_rank", F.row_number().over(Window.orderBy(label)))
+    rank = Ordered(rows.select(label).distinct(), label).numbered("label_rank", 1)
     quota = rank.select(label, (F.lit(n // labels) + F.when(F.col("label_rank") <= n % labels, 1).otherwise(0)).alias("quota"))
     return dealt(rows, label, key, seed).join(F.broadcast(quota), label).where(F.col("__rank") <= F.col("quota")).drop("__rank", "quota")
 

@@ -1,16 +1,16 @@
 """Announcement events: aggregation by date and strict positional alignment with trading sessions.
 
 A horizon counts sessions of a series' own calendar, not days. The value of the day of an event is used
-neither before nor after it. Calendars and events have a row a day, so the one window over them that
-has no key sorts a table whose size is bounded by the length of history, not by the corpus.
+neither before nor after it. Sessions are numbered, and events placed among them, range by range of the dates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ingest import era
+from .ordered import Ordered
 
 HORIZONS = (1, 5)
 #: Days of turmoil that a sensitivity analysis leaves out.
@@ -20,18 +20,14 @@ CRISIS = (2007, 2009)
 def sessions(observations: DataFrame, date: str, value: str, looks: tuple[int, ...] = HORIZONS) -> DataFrame:
     """Usable observations (date and value there) numbered by date, with values some sessions back."""
     usable = observations.where(F.col(date).isNotNull() & F.col(value).isNotNull())
-    order = Window.orderBy(date)
-    return usable.select(
-        F.col(date).alias("session_date"), F.col(value).alias("session_value"), F.row_number().over(order).alias("rn"),
-        *(F.lag(value, k).over(order).alias(f"back_{k}") for k in looks),
-    )
+    dated = Ordered(usable.select(F.col(date).alias("session_date"), F.col(value).alias("session_value")), "session_date")
+    return dated.window(max(looks, default=0), lambda w: {"rn": F.col("__n"), **{f"back_{k}": F.lag("session_value", k).over(w) for k in looks}})
 
 
 def positions(events: DataFrame, index: DataFrame, date: str = "event_date") -> DataFrame:
     """For each event date the number of the last session before it and of the first after it."""
     marks = events.select(F.col(date).alias("d"), F.lit(0).alias("rn")).distinct().unionByName(index.select(F.col("session_date").alias("d"), "rn"))
-    before = Window.orderBy("d", "rn").rowsBetween(Window.unboundedPreceding, -1)
-    at = marks.withColumn("prior", F.max(F.when(F.col("rn") > 0, F.col("rn"))).over(before)).where("rn = 0").drop("rn")
+    at = Ordered(marks, "d", "rn").running({"prior": ("max", F.when(F.col("rn") > 0, F.col("rn")))}, own=False).where("rn = 0").drop("rn")
     same = index.select(F.col("session_date").alias("d"), F.lit(1).alias("same"))
     return at.join(same, "d", "left").select(F.col("d").alias(date), "prior", (F.coalesce("prior", F.lit(0)) + F.coalesce("same", F.lit(0)) + 1).alias("after"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import Ordered
+
 #: Formats tried in turn where dates come in several.
 DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "d.M.yyyy", "MMM d, yyyy")
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -90,12 +92,5 @@ def era(date: Column) -> Column:
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """``source_row`` from 0 by a stated order, in parallel: counts of range partitions, then ranks in them."""
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    from pyspark.sql import Window
-
-    ranked = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    starts = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    return ranked.join(F.broadcast(starts), "__part").withColumn("source_row", (F.col("__start") + F.col("__rank") - 1).cast("long")).drop("__part", "__rank", "__start")
+    """``source_row`` from 0 by a stated order, in parallel."""
+    return Ordered(df, *order).numbered("source_row")

@@ -1,41 +1,29 @@
 """Positions in an order over whole tables or large groups, without a window that holds all of one.
 
-Rows fall into buckets that follow each other in the order. A window counts within a bucket, and what lies
-before a bucket is added up over a row for each, so a group as large as the table is ranked in parallel.
+Rows are ordered by group and value over ranges; what a group has before it, a row for each group, is taken off again, so
+a group as large as the table is ranked in parallel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 256
-
-
-def _starts(sums: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """For each bucket what the ones before it in its group hold; at most ``BUCKETS`` rows a group."""
-    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(*by, "__bucket", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+from .ordered import Ordered
 
 
 def below(counts: DataFrame, value: str, n: str, *by: str) -> DataFrame:
-    """``counts`` (a row for each value of a group, ``n`` times) with ``below``: how many are smaller. Buckets are
-    cut at quantiles of the distinct values, so each holds about as many of them."""
-    cuts = sorted(set(counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / BUCKETS for i in range(1, BUCKETS)], 1 / (4 * BUCKETS))))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0)
-    placed = counts.withColumn("__bucket", bucket)
-    starts = _starts(placed.groupBy(*by, "__bucket").agg(F.sum(n).alias("__sum")), by)
-    local = Window.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    own = placed.withColumn("__local", F.coalesce(F.sum(n).over(local), F.lit(0)))
-    return own.join(starts, [*by, "__bucket"]).withColumn("below", F.col("__start") + F.col("__local")).drop("__bucket", "__local", "__start")
+    """``counts`` (a row for each value of a group, ``n`` times) with ``below``: how many are smaller."""
+    placed = Ordered(counts, *by, value).running({"__before": ("sum", F.col(n))}, own=False).withColumn("__before", F.coalesce("__before", F.lit(0)))
+    if not by:
+        return placed.withColumnRenamed("__before", "below")
+    starts = placed.groupBy(*by).agg(F.min("__before").alias("__start"))
+    return placed.join(starts, list(by)).withColumn("below", F.col("__before") - F.col("__start")).drop("__before", "__start")
 
 
 def dealt(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     """``rows`` with ``__rank``, from 1, in an order within each label that depends on key and seed alone."""
-    h: Column = F.xxhash64(key, F.lit(seed))
-    placed = rows.withColumns({"__hash": h, "__bucket": F.pmod(h, F.lit(BUCKETS)).cast("int")})
-    starts = _starts(placed.groupBy(label, "__bucket").agg(F.count(F.lit(1)).alias("__sum")), (label,))
-    local = F.row_number().over(Window.partitionBy(label, "__bucket").orderBy("__hash", key))
-    starts = starts.select(F.col(label).alias("__label"), F.col("__bucket").alias("__b"), "__start")
-    ranked = placed.withColumn("__local", local).join(starts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__bucket") == F.col("__b")))
-    return ranked.withColumn("__rank", F.col("__start") + F.col("__local")).select(*rows.columns, "__rank")
+    placed = Ordered(rows.withColumn("__hash", F.xxhash64(key, F.lit(seed))), label, "__hash", key).numbered("__at", 1)
+    starts = placed.groupBy(F.col(label).alias("__label")).agg((F.min("__at") - 1).alias("__start"))
+    ranked = placed.join(starts, F.col(label).eqNullSafe(F.col("__label")))
+    return ranked.withColumn("__rank", F.col("__at") - F.col("__start")).select(*rows.columns, "__rank")

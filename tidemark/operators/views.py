@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.probs import first_largest
+from .ordered import Ordered
 
 
 def between(events: DataFrame, start: str, end: str, eras: tuple[str, ...], date: str = "event_date") -> DataFrame:
@@ -28,8 +29,7 @@ def rolling(events: DataFrame, columns: tuple[str, ...], n: int = 8, date: str =
     """Means of the last n events (of those there are), over what a filter has left."""
     if not 1 <= n <= 20:
         raise ValueError("the window is 1 to 20 events")
-    w = Window.orderBy(date).rowsBetween(-(n - 1), Window.currentRow)
-    return events.withColumns({f"{c}_rolling": F.avg(c).over(w) for c in columns})
+    return Ordered(events, date).window(n - 1, lambda w: {f"{c}_rolling": F.avg(c).over(w.rowsBetween(-(n - 1), 0)) for c in columns})
 
 
 def dominant(events: DataFrame, columns: tuple[str, ...], names: tuple[str, ...], out: str = "dominant_stance") -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identity, stance, text
-from ..operators import cache, ingest, quality, summaries
+from ..functions import identity, stance, tables, text
+from ..operators import cache, ingest, pacing, quality, summaries
 from ..session import table
 from .catalogue import register
 from .fixtures import DOCS_SQL, documents, rounded
@@ -153,18 +153,51 @@ def q_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(p).alias("paragraphs"), F.sha2(F.array_join(p, "|"), 256).alias("sha"))
 
 
-@register(
-    "q_token_windows",
-    r"""WITH t AS (SELECT doc_id, string_split_regex(trim(text, E' \n\t\r'), '\s+') AS w FROM documents)
+_WINDOWS_SQL = r"""WITH t AS (SELECT doc_id, string_split_regex(trim(text, E' \n\t\r'), '\s+') AS w FROM documents)
 SELECT doc_id, CAST(i // 110 AS INTEGER) AS chunk, CAST(len(list_slice(w, i + 1, i + 126)) AS INTEGER) AS tokens, sha256(array_to_string(list_slice(w, i + 1, i + 126), ' ')) AS sha
-FROM t, unnest(range(0, greatest(len(w) - 16 - 1, 0) + 1, 110)) AS r(i)""",
-)
+FROM t, unnest(range(0, greatest(len(w) - 16 - 1, 0) + 1, 110)) AS r(i)"""
+
+
+@register("q_token_windows", _WINDOWS_SQL)
 def q_token_windows(spark: SparkSession, sf: str) -> DataFrame:
     w = F.split(F.regexp_replace("text", r"^[ \n\t\r]+|[ \n\t\r]+$", ""), r"\s+")
     chunks = table(spark, sf, "documents").select("doc_id", F.posexplode(text.token_windows(w, 128, 16)).alias("chunk", "x"))
     return chunks.select("doc_id", "chunk", F.size("x").alias("tokens"), F.sha2(F.array_join("x", " "), 256).alias("sha"))
 
 
+@register("q_table_windows", _WINDOWS_SQL)
+def q_table_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same windows by a table function from SQL."""
+    tables.register(spark)
+    w = F.split(F.regexp_replace("text", r"^[ \n\t\r]+|[ \n\t\r]+$", ""), r"\s+")
+    docs = table(spark, sf, "documents").select("doc_id", w.alias("x"))
+    cut = spark.sql("SELECT * FROM token_windows(TABLE(SELECT * FROM {docs}) PARTITION BY (doc_id), 'x', 128, 16)", docs=docs)
+    return cut.select("doc_id", F.col("window").alias("chunk"), F.size("x").alias("tokens"), F.sha2(F.array_join("x", " "), 256).alias("sha"))
+
+
+@register("q_paced_calls", """SELECT doc_id, CASE WHEN text IS NULL OR doc_id % 35 = 0 THEN 'error' ELSE 'success' END AS status, CAST(CASE WHEN text IS NULL OR doc_id % 35 = 0 THEN 3 WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM documents""")
+def q_paced_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document through an offline provider that fails now and then, 6,000 calls a simulated minute."""
+    told = F.concat_ws(" ", F.col("doc_id").cast("string"), F.length("text").cast("string"))
+    work = table(spark, sf, "documents").select("doc_id", F.when(F.col("text").isNotNull(), told).alias("told"))
+    done = pacing.called(work, "doc_id", "told", _Flaky(), pacing.Plan(6000.0, lanes=32), pacing.simulated_time)
+    return done.select("doc_id", F.when(F.col("payload").isNull(), "error").otherwise("success").alias("status"), "attempts")
+
+
+class _Flaky:
+    """Fails for every fifth document's first call, and for every thirty-fifth's always."""
+
+    def __init__(self) -> None:
+        self.asked: str | None = None
+
+    def __call__(self, text: str | None) -> dict:
+        number = int(text.split()[0])
+        first, self.asked = self.asked != text, text
+        if number % 35 == 0 or (number % 5 == 0 and first):
+            raise ConnectionError("busy")
+        return {"length": int(text.split()[1])}
+
+
 _UP, _DOWN = (r"\bof the\b", r"\bthe (?:and|on)\b"), (r"\bin (?:the|of)\b", r"\bwith\b")
 
 
@@ -218,7 +251,16 @@ def _extracted(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", "text", stance.extract(F.col("text"), _TERMS).alias("x"))
 
 
-@register("q_mock_extract")
+_PICK_SQL = ", ".join(f"list_filter(s, lambda x: {' OR '.join(f"contains(lower(x), '{t}')" for t in terms)}) AS {field}" for field, terms in _TERMS.items())
+
+
+@register(
+    "q_mock_extract",
+    r"WITH q AS (SELECT conv_id, turn, list_filter(list_transform(" + _LINE_SQL + rf""", lambda x: trim(x, E' \n\t\r')), lambda x: x <> '') AS s FROM conversations), f AS (SELECT conv_id, turn, {_PICK_SQL} FROM q),
+e AS (SELECT *, len(list_distinct([hawkish[1], dovish[1]])) + (len(inflation_outlook) > 0)::INT + (len(labor_market_outlook) > 0)::INT + (len(economic_growth_outlook) > 0)::INT + len(list_distinct(key_risk[1:3])) + len(list_distinct(policy_rationale[1:3])) AS evidence FROM f)
+SELECT conv_id, turn, CASE WHEN len(hawkish) > 0 AND len(dovish) > 0 THEN 'neutral_or_mixed' WHEN len(hawkish) > 0 THEN 'hawkish' WHEN len(dovish) > 0 THEN 'dovish' ELSE 'insufficient_evidence' END AS policy_stance,
+  inflation_outlook[1] AS inflation_outlook, CAST(len(key_risk[1:3]) AS INTEGER) AS risks, CAST(evidence AS INTEGER) AS evidence, evidence = 0 AS abstained FROM e""",
+)
 def q_mock_extract(spark: SparkSession, sf: str) -> DataFrame:
     return _extracted(spark, sf).select("conv_id", "turn", "x.policy_stance", "x.inflation_outlook", F.size("x.key_risks").alias("risks"), F.size("x.supporting_evidence").alias("evidence"), "x.abstained")
 
@@ -239,13 +281,47 @@ def q_grounding(spark: SparkSession, sf: str) -> DataFrame:
     return quoted.select("doc_id", (F.size(stance.ungrounded(F.col("evidence"), F.col("text"))) > 0).alias("ungrounded"))
 
 
-@register("q_schema_audit", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN 'unexpected_keys' ELSE 'missing_keys' END AS errors FROM conversations")
+def _item(**other: str) -> str:
+    """An evidence item in JSON with some of its values replaced, or left out if empty."""
+    own = {"field": '"key_risk"', "quote": '"as it says"', "claim_type": '"explicit"', "explanation": '"It does."'} | other
+    return "{" + ",".join(f'"{k}":{v}' for k, v in own.items() if v) + "}"
+
+
+#: What is wrong with a payload, and the JSON of the values that make it so; an empty one is left out. Each is put into a
+#: sound extraction of the row.
+_WRONG: tuple[tuple[str, dict[str, str]], ...] = (
+    ("", {}), ("missing_keys", {"uncertainties": ""}), ("unexpected_keys", {"extra": "1"}), ("schema_version", {"schema_version": '"0.9"'}), ("schema_version", {"schema_version": "1.0"}),
+    ("policy_stance", {"policy_stance": '"moderate"'}), ("policy_stance", {"policy_stance": "null"}), ("abstained", {"abstained": '"false"'}), ("abstained", {"abstained": "0"}),
+    *((f"not_text_{f}", {f: "[1]"}) for f in stance.OPTIONAL_TEXT), *((f"blank_{f}", {f: '" \\t"'}) for f in stance.OPTIONAL_TEXT),
+    ("list_key_risks", {"key_risks": '"one"'}), ("list_key_risks", {"key_risks": '["one",2]'}), ("list_policy_rationale", {"policy_rationale": '["", "two"]'}), ("list_uncertainties", {"uncertainties": "[null]"}),
+    ("evidence_list", {"supporting_evidence": _item()}), ("evidence_item", {"supporting_evidence": '["as it says"]'}), ("evidence_item", {"supporting_evidence": f"[{_item()},{_item(quote='')}]"}),
+    ("evidence_item", {"supporting_evidence": f"[{_item(page='3')}]"}), ("evidence_text", {"supporting_evidence": f"[{_item(quote='5')}]"}), ("evidence_text", {"supporting_evidence": f"[{_item(explanation='null')}]"}),
+    ("evidence_field", {"supporting_evidence": f"[{_item(field='"mood"')}]"}), ("evidence_claim_type", {"supporting_evidence": f"[{_item(claim_type='"guess"')}]"}),
+    ("abstained_with_stance", {"abstained": "true", "supporting_evidence": "[]"}), ("claim_without_evidence", {"supporting_evidence": "[]"}), ("not_an_object", {}),
+    ("missing_keys,unexpected_keys,policy_stance", {"key_risks": "", "risks": "[]", "policy_stance": '"up"'}),
+)
+_CASE = f"(conv_id * 7 + turn) % {len(_WRONG)}"
+
+
+@register("q_schema_audit", f"SELECT conv_id, turn, [{', '.join(repr(codes) for codes, _ in _WRONG)}][{_CASE} + 1] AS errors FROM conversations")
 def q_schema_audit(spark: SparkSession, sf: str) -> DataFrame:
-    sound = F.to_json("x", {"ignoreNullFields": "false"})
-    extra = F.regexp_replace(sound, r"\}$", ',"extra":1}')
-    short = F.regexp_replace(sound, '"uncertainties":', '"uncertainties_":')
-    payload = F.when(F.col("turn") % 3 == 0, sound).when(F.col("turn") % 3 == 1, extra).otherwise(F.regexp_replace(short, '"uncertainties_":[^]]*\\],', ""))
-    return _extracted(spark, sf).select("conv_id", "turn", F.array_join(stance.audit(payload), ",").alias("errors"))
+    """Extractions of all turns, all but a few of them spoilt: every code occurs, alone and with others."""
+    sound = {k: F.coalesce(F.to_json(F.struct(F.col(f"x.{k}").alias("v")), {"ignoreNullFields": "false"}), F.lit("")) for k in stance.EXTRACTION_KEYS}
+    sound = {k: F.substring(v, F.lit(6), F.length(v) - 6) for k, v in sound.items()}  # {"v":...}
+    # Spoilt ones make a claim with evidence, whatever the row says, so that nothing else is wrong with them.
+    claim = {"policy_stance": F.lit('"hawkish"'), "supporting_evidence": F.lit(f"[{_item()}]"), "abstained": F.lit("false")}
+
+    def payload(values: dict[str, str]) -> Column:
+        own = sound | (claim if values else {}) | {k: F.lit(v) if v else None for k, v in values.items()}
+        parts = [F.concat(F.lit(f'"{k}":'), v) for k, v in own.items() if v is not None]
+        return F.concat(F.lit("{"), F.array_join(F.array(*parts), ","), F.lit("}"))
+
+    case = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(_WRONG)))
+    text = F.lit("[]")
+    for i, (codes, values) in enumerate(_WRONG):
+        if codes != "not_an_object":
+            text = F.when(case == i, payload(values)).otherwise(text)
+    return _extracted(spark, sf).select("conv_id", "turn", F.array_join(stance.audit(text), ",").alias("errors"))
 
 
 @register(

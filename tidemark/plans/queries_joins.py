@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, probs, stance
-from ..operators import aggregate, assemble, evaluate, ingest, markets, summaries
+from ..operators import aggregate, assemble, evaluate, events, ingest, markets, summaries
 from ..session import table
+from ..sources import snapshot
 from ..stats import inference, ols
+from ..storage import shared_folder
 from .catalogue import register
 from .fixtures import DOCS_SQL, MARKET_SQL, PREDICTIONS_SQL, SHARES, documents, logits, market, predictions, rounded
 
@@ -50,6 +55,38 @@ def q_dashboard_documents(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("document_id", "publication_date", "document_type", SHARES[0], "domain_policy_status"), SHARES[0])
 
 
+#: What the dashboard needs of each of its tables.
+ARTEFACTS = {
+    "documents": ("document_id", "publication_date", "document_type"), "nlp_predictions": ("doc_id", *SHARES), "domain_policy": ("doc_id", "domain_policy_status"), "events": ("event_date", "change_1d"),
+    "coefficients": ("term", "coefficient", "std_error"), "correlations": ("outcome", "feature", "n"), "analysis": ("model", "nobs"),
+}
+
+
+@register(
+    "q_dashboard_snapshot",
+    f"""WITH {DOCS_SQL} SELECT artefact, CAST(n AS BIGINT) AS n FROM (SELECT 'documents' AS artefact, count(*) AS n FROM docs UNION ALL SELECT 'nlp_predictions', count(*) FROM embeddings UNION ALL SELECT 'domain_policy', count(*) FROM embeddings
+  UNION ALL SELECT 'events', count(DISTINCT publication_date) FROM docs WHERE document_type = 'statement' UNION ALL SELECT 'coefficients', 2 UNION ALL SELECT 'correlations', 1 UNION ALL SELECT 'analysis', 1)""",
+)
+def q_dashboard_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """All seven tables of the dashboard, committed as one version and read back by its manifest."""
+    lines = table(spark, sf, "lineitem")
+    docs = documents(spark, sf).drop("text")
+    days = docs.where("document_type = 'statement'").select(F.col("publication_date").alias("event_date")).distinct()
+    f = ols.fit(lines, ols.design(lines, ("l_quantity", "l_discount")), "l_extendedprice")
+    terms = [(t, float(b), float(se)) for t, b, se, *_ in f.table(f.plain()) if t != "Intercept"]
+    n = lines.agg(F.count("l_quantity"), F.corr("l_extendedprice", "l_quantity")).first()
+    made = {
+        "documents": docs, "nlp_predictions": predictions(spark, sf), "domain_policy": _domain(spark, sf), "events": events.align(days, market(spark, sf), "d", "v"),
+        "coefficients": spark.createDataFrame(terms, "term string, coefficient double, std_error double"),
+        "correlations": spark.createDataFrame([("price", "quantity", n[0], n[1])], "outcome string, feature string, n long, pearson_r double"),
+        "analysis": spark.createDataFrame([("plain", f.n, f.summary()["r_squared"])], "model string, nobs long, r_squared double"),
+    }
+    folder = f"{shared_folder(spark)}/dashboard-{uuid.uuid4().hex}"
+    snapshot.commit(spark, folder, made)
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("artefact"), "n") for name, df in snapshot.load(spark, folder, ARTEFACTS).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 _KNOWN_SQL = "SELECT doc_id, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS good, CASE toxic WHEN 1 THEN 'toxic' ELSE 'clean' END AS tone FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL"
 _JUDGED_SQL = f"k AS ({_KNOWN_SQL}), j AS (SELECT doc_id, 'good' AS task, good AS expected, CASE WHEN n_chars % 3 > 0 THEN 'good' ELSE 'bad' END AS predicted FROM k JOIN documents USING (doc_id) UNION ALL SELECT doc_id, 'tone', tone, CASE WHEN n_chars % 7 = 0 THEN 'toxic' ELSE 'clean' END FROM k JOIN documents USING (doc_id))"
 

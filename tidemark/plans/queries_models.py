@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import probs, text
-from ..operators import aggregate, backends, evaluate, topics
+from ..operators import aggregate, backends, density, evaluate, topics, training
 from ..session import table
-from ..streaming import counts
+from ..storage import shared_folder
+from ..streaming import counts, extraction
 from .catalogue import register
 from .fixtures import PREDICTIONS_SQL, SHARES, STANCES, logits, predictions, rounded
 
@@ -166,6 +169,72 @@ def q_topics_lda(spark: SparkSession, sf: str) -> DataFrame:
     return assigned.select("doc_id", "topic", F.round("topic_weight", 4).alias("topic_weight"))
 
 
+class _Failing:
+    """A provider that is never there for one document in ten, and not at first for another."""
+
+    def __call__(self, text: str | None, attempt: int) -> dict:
+        text = text or "0"
+        kind = int(text.split(" ", 1)[0]) % 10
+        if kind == 7 or (kind == 3 and attempt == 1):
+            raise TimeoutError("no answer")
+        return {"length": len(text)}
+
+
+@register(
+    "q_stateful_cache",
+    """SELECT doc_id, 'success' AS outcome, CAST(CASE WHEN doc_id % 10 = 3 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM documents WHERE doc_id % 10 <> 7
+UNION ALL SELECT doc_id, 'error', 3 FROM documents WHERE doc_id % 10 = 7
+UNION ALL SELECT doc_id, 'reused', CASE WHEN doc_id % 10 = 3 THEN 2 ELSE 1 END FROM documents WHERE doc_id % 3 = 0 AND doc_id % 10 <> 7""",
+)
+def q_stateful_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests for all documents, then for every third again, through a stream that is stopped in between; a third start
+    sees the retries that are left."""
+    base = f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat_ws(" ", F.col("doc_id").cast("string"), F.substring("text", 1, 100)).alias("text"))
+    again = docs.where(F.col("document_id").cast("long") % 3 == 0)
+    for at, later, rows in (("2024-01-01 00:00:00", "2024-01-01 01:00:00", docs), ("2024-01-01 02:00:00", "2024-01-01 03:00:00", again), ("2024-01-01 04:00:00", "2024-01-01 05:00:00", again.limit(0))):
+        extraction.asked(rows, at).unionByName(extraction.tick(spark, later)).write.mode("append").parquet(f"{base}/in")
+        extraction.run(extraction.requests(spark, f"{base}/in"), f"{base}/out", f"{base}/checkpoint", _Failing())
+    found = spark.read.schema(extraction.ANSWERS).parquet(f"{base}/out").where("document_id <> ''")
+    return found.select(F.col("document_id").cast("long").alias("doc_id"), "outcome", "attempts")
+
+
+QUALITY = training.Settings(("bad", "good"))
+
+
+@register("q_training_run")
+def q_training_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of held-out documents after each of three epochs, and which model is the best."""
+    named = F.when(F.col("quality") == 1, "good").otherwise("bad").alias("quality")
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels").select("doc_id", named), "doc_id")
+    run = training.train(training.prepared(docs, "doc_id", "text", "quality", QUALITY), f"{shared_folder(spark)}/training-{uuid.uuid4().hex}", QUALITY, 3)
+    return rounded(run, "loss", "accuracy", "macro_f1", digits=4)
+
+
+@register("q_topic_clusters")
+def q_topic_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense regions of all embeddings; null for those in none."""
+    return density.clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", smallest=8, samples=4)
+
+
+@register("q_topic_words")
+def q_topic_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten words for each topic, of the documents whose embeddings are in it; the number is the feature."""
+    topic = q_topic_clusters(spark, sf).select(F.col("vec_id").alias("doc_id"), "topic")
+    return density.class_terms(table(spark, sf, "documents").join(topic, "doc_id"), "topic", "text", 10, ("the", "and", "der"))
+
+
+@register(
+    "q_class_terms",
+    f"""WITH t AS (SELECT lang, unnest({_WORDS_SQL}) AS term FROM documents WHERE lang IS NOT NULL), c AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL), w AS (SELECT lang, sum(n) AS words FROM c GROUP BY lang), a AS (SELECT term, sum(n) AS total FROM c GROUP BY term),
+x AS (SELECT lang, term, round(n / words * ln(1 + (SELECT avg(words) FROM w) / total), 9) AS weight FROM c JOIN w USING (lang) JOIN a USING (term))
+SELECT lang, term, round(weight, 7) AS weight, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS r FROM x) WHERE r <= 10""",
+)
+def q_class_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten words that tell each language from the others; the number is the feature."""
+    return rounded(density.class_terms(table(spark, sf, "documents"), "lang", "text", 10, ("the", "and", "der")), "weight", digits=7)
+
+
 @register("q_model_windows")
 def q_model_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations through a pluggable model, window by window."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events
@@ -128,6 +128,103 @@ def q_model_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in facts.items()], "measure string, value double")
 
 
+_TWO_SQL = """z AS (SELECT t, y - avg(y) OVER () AS y, a - avg(a) OVER () AS a, b - avg(b) OVER () AS b FROM x),
+s AS (SELECT count(*) AS n, sum(a * a) AS saa, sum(a * b) AS sab, sum(b * b) AS sbb, sum(a * y) AS say, sum(b * y) AS sby, sum(y * y) AS syy FROM z),
+f AS (SELECT *, saa * sbb - sab * sab AS det, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ga, (saa * sby - sab * say) / (saa * sbb - sab * sab) AS gb,
+  sbb / (saa * sbb - sab * sab) AS iaa, -sab / (saa * sbb - sab * sab) AS iab, saa / (saa * sbb - sab * sab) AS ibb FROM s)"""
+
+
+def _two_lines(spark: SparkSession, sf: str, name: str, third: Column) -> tuple[DataFrame, tuple[str, ...]]:
+    return table(spark, sf, _LINES).withColumn(name, third), ("l_quantity", "l_discount", name)
+
+
+_LINES_SQL = "x AS (SELECT 0 AS t, l_extendedprice AS y, l_quantity AS a, l_discount AS b FROM lineitem)"
+
+
+@register(
+    "q_collinear_fit",
+    f"WITH {_LINES_SQL}, {_TWO_SQL} SELECT 'l_quantity' AS term, round(ga, 4) AS coefficient, TRUE AS kept FROM f UNION ALL SELECT 'l_discount', round(gb, 4), TRUE FROM f UNION ALL SELECT 'twice', NULL, FALSE",
+)
+def q_collinear_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """A term that two others explain has no coefficient, and theirs are as without it."""
+    df, terms = _two_lines(spark, sf, "twice", 2 * F.col("l_quantity") + 3)
+    f = ols.fit(df, ols.design(df, terms), "l_extendedprice")
+    found = dict(zip(f.names, f.beta.tolist(), strict=True))
+    return spark.createDataFrame([(t, round(found[t], 4) if t in found else None, t not in f.dropped) for t in terms], "term string, coefficient double, kept boolean")
+
+
+@register("q_ill_conditioned_fit", f"WITH {_LINES_SQL}, {_TWO_SQL} SELECT round(ga, 2) AS of_quantity, round(gb, 1) AS of_discount FROM f")
+def q_ill_conditioned_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantity, and quantity with a hundred-thousandth of the discount: cross products can't tell them apart."""
+    df = table(spark, sf, _LINES).withColumn("near", F.col("l_quantity") + 1e-5 * F.col("l_discount"))
+    f = ols.fit(df, ols.design(df, ("l_quantity", "near")), "l_extendedprice")
+    _, one, two = f.beta.tolist()
+    return spark.createDataFrame([(round(one + two, 2), round(two * 1e-5, 1))], "of_quantity double, of_discount double")
+
+
+def _daily(spark: SparkSession, sf: str) -> DataFrame:
+    """A row a day: the largest order, in thousands, with the largest line of the day and the number of orders."""
+    day = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("t")).agg((F.max("o_totalprice") / 1000).alias("y"), F.count(F.lit(1)).cast("double").alias("b"))
+    return day.join(table(spark, sf, _LINES).groupBy(F.to_date("l_shipdate").alias("t")).agg((F.max("l_extendedprice") / 1000).alias("a")), "t")
+
+
+_DAILY_SQL = f"""x AS (SELECT t, y, a, b FROM (SELECT CAST(o_orderdate AS DATE) AS t, max(o_totalprice) / 1000 AS y, CAST(count(*) AS DOUBLE) AS b FROM orders GROUP BY 1) JOIN (SELECT CAST(l_shipdate AS DATE) AS t, max(l_extendedprice) / 1000 AS a FROM lineitem GROUP BY 1) USING (t)),
+{_TWO_SQL}, r AS (SELECT t, a, b, y - ga * a - gb * b AS e, 1 / n + iaa * a * a + 2 * iab * a * b + ibb * b * b AS h FROM z, f),
+ssr AS (SELECT sum(e * e) AS ssr FROM r)"""
+#: Covariance of both slopes: the inverse cross products on both sides of a middle (maa, mab, mbb).
+_SLOPES_SQL = """SELECT f.*, iaa * (iaa * maa + iab * mab) + iab * (iaa * mab + iab * mbb) AS vaa, iaa * (iab * maa + ibb * mab) + iab * (iab * mab + ibb * mbb) AS vab,
+  iab * (iab * maa + ibb * mab) + ibb * (iab * mab + ibb * mbb) AS vbb FROM f, {middle}"""
+_HC3_SQL = f"""hc AS (SELECT sum(a * a * e * e / ((1 - h) * (1 - h))) AS maa, sum(a * b * e * e / ((1 - h) * (1 - h))) AS mab, sum(b * b * e * e / ((1 - h) * (1 - h))) AS mbb FROM r), v3 AS ({_SLOPES_SQL.format(middle="hc")})"""
+_LAGS = 5
+_HAC_SQL = f"""u AS (SELECT t, a * e AS p, b * e AS q FROM r), lagged AS (SELECT u.*, {", ".join(f"lag(p, {k}) OVER (ORDER BY t) AS p{k}, lag(q, {k}) OVER (ORDER BY t) AS q{k}" for k in range(1, _LAGS + 1))} FROM u),
+ha AS (SELECT sum(p * p) + {" + ".join(f"2 * (1 - {k} / 6.0) * sum(p * p{k})" for k in range(1, _LAGS + 1))} AS maa, sum(p * q) + {" + ".join(f"(1 - {k} / 6.0) * (sum(p * q{k}) + sum(q * p{k}))" for k in range(1, _LAGS + 1))} AS mab,
+  sum(q * q) + {" + ".join(f"2 * (1 - {k} / 6.0) * sum(q * q{k})" for k in range(1, _LAGS + 1))} AS mbb FROM lagged), vh AS ({_SLOPES_SQL.format(middle="ha")})"""
+
+
+def _terms(v: str, more: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT '{x}' AS term, round(g{x}, 6) AS coefficient, round(sqrt(v{x}{x}), 6) AS std_error, round(g{x} / sqrt(v{x}{x}), 4) AS statistic{more} FROM {v}" for x in "ab")
+
+
+@register("q_hc3", f"WITH {_DAILY_SQL}, {_HC3_SQL} {_terms('v3', ', round(saa * sbb / det, 6) AS vif')}")
+def q_hc3(spark: SparkSession, sf: str) -> DataFrame:
+    """Both slopes of two regressors with errors that allow for unequal variances, and how far the other inflates them."""
+    df = _daily(spark, sf)
+    f = ols.fit(df, ols.design(df, ("a", "b")), "y")
+    vif = f.vif()
+    rows = [(t, round(b, 6), round(se, 6), round(s, 4), round(vif[t], 6)) for t, b, se, s, *_ in f.table(f.hc3(df)) if t != "Intercept"]
+    return spark.createDataFrame(rows, "term string, coefficient double, std_error double, statistic double, vif double")
+
+
+@register("q_hac", f"WITH {_DAILY_SQL}, {_HAC_SQL} {_terms('vh')}")
+def q_hac(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with errors that allow for five days of memory."""
+    df = _daily(spark, sf)
+    f = ols.fit(df, ols.design(df, ("a", "b")), "y")
+    rows = [(t, round(b, 6), round(se, 6), round(s, 4)) for t, b, se, s, *_ in f.table(f.hac(df, _LAGS, "t")) if t != "Intercept"]
+    return spark.createDataFrame(rows, "term string, coefficient double, std_error double, statistic double")
+
+
+def _wald_sql(v: str) -> str:
+    return f"(SELECT (vbb * ga * ga - 2 * vab * ga * gb + vaa * gb * gb) / (vaa * vbb - vab * vab) / 2 FROM {v})"
+
+
+@register(
+    "q_joint_tests",
+    f"""WITH {_DAILY_SQL}, {_HC3_SQL}, {_HAC_SQL}, k AS (SELECT e * e * h / (3 * (ssr / (n - 3)) * (1 - h) * (1 - h)) AS cook, n FROM r, f, ssr), d AS (SELECT e, e - lag(e) OVER (ORDER BY t) AS step FROM r),
+mom AS (SELECT avg(e * e) AS m2, avg(e ** 3) AS m3, avg(e ** 4) AS m4 FROM r), j AS (SELECT m3 / m2 ** 1.5 AS skew, m4 / (m2 * m2) AS kurtosis FROM mom), like_ AS (SELECT -n / 2.0 * (ln(2 * pi()) + ln(ssr / n) + 1) AS ll, n, ssr FROM f, ssr)
+SELECT measure, round(value, 4) AS value FROM (SELECT 'f_hc3' AS measure, {_wald_sql("v3")} AS value UNION ALL SELECT 'f_hac', {_wald_sql("vh")} UNION ALL SELECT 'max_cook', max(cook) FROM k UNION ALL SELECT 'influential', count(*) FILTER (cook > 4.0 / n) FROM k
+  UNION ALL SELECT 'durbin_watson', sum(step * step) / sum(e * e) FROM d UNION ALL SELECT 'skew', skew FROM j UNION ALL SELECT 'kurtosis', kurtosis FROM j UNION ALL SELECT 'jarque_bera', n / 6.0 * (skew * skew + (kurtosis - 3) ** 2 / 4) FROM j, f
+  UNION ALL SELECT 'rmse', sqrt(ssr / n) FROM like_ UNION ALL SELECT 'aic', 6 - 2 * ll FROM like_ UNION ALL SELECT 'bic', 3 * ln(n) - 2 * ll FROM like_ UNION ALL SELECT 'r_squared', 1 - ssr / syy FROM f, ssr)""",
+)
+def q_joint_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether both slopes are zero, under either covariance, and what the residuals look like."""
+    df = _daily(spark, sf)
+    f = ols.fit(df, ols.design(df, ("a", "b")), "y")
+    facts = {"f_hc3": f.wald(f.hc3(df), ("a", "b"))[0], "f_hac": f.wald(f.hac(df, _LAGS, "t"), ("a", "b"))[0], **f.influence(df), **f.diagnostics(df, "t"), **f.summary()}
+    names = ("f_hc3", "f_hac", "max_cook", "influential", "durbin_watson", "skew", "kurtosis", "jarque_bera", "rmse", "aic", "bic", "r_squared")
+    return spark.createDataFrame([(n, round(float(facts[n]), 4)) for n in names], "measure string, value double")
+
+
 @register(
     "q_holm",
     """WITH p AS (SELECT l_linenumber, l_suppkey % 4 AS family, count(*) / 100000.0 AS p FROM lineitem GROUP BY ALL), s AS (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p) + 1) * p AS scaled FROM p)

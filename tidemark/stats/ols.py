@@ -1,20 +1,20 @@
-"""Least squares: Spark adds up cross products in one pass, the driver solves the k x k system.
+"""Least squares: Spark folds all rows into one triangular factor, the driver solves the k x k system.
 
 Nothing of the size of the data leaves Spark: leverages, residuals, the middle of robust covariances
-and the diagnostics are aggregates of expressions over rows. Only lagged terms (HAC, Durbin-Watson)
-need the rows in order, which is a window over a time series.
+and the diagnostics are aggregates of expressions over rows. Lagged terms (HAC, Durbin-Watson)
+need the rows in order, range by range of it.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from . import dist
+from ..operators.ordered import Ordered
+from . import dist, qr
 
 
 def design(df: DataFrame, numbers: tuple[str, ...], factor: str | None = None) -> tuple[list[str], list[Column]]:
@@ -50,24 +50,20 @@ def gram(df: DataFrame, cols: list[Column], y: str) -> tuple[np.ndarray, np.ndar
     return xx, np.array(row[m : m + k], float), float(row[m + k]), int(row[m + k + 1]), float(row[m + k + 2])
 
 
-@dataclass
 class Fit:
-    """A fitted model with everything that needs no further look at the rows."""
-
-    names: list[str]
-    cols: list[Column]
-    y: str
-    xx: np.ndarray
-    xy: np.ndarray
-    yy: float
-    n: int
-    sum_y: float
-    beta: np.ndarray = field(init=False)
-    inverse: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        self.inverse = np.linalg.pinv(self.xx, hermitian=True)
-        self.beta = self.inverse @ self.xy
+    """A fitted model with everything that needs no further look at the rows. Terms that those before them explain are
+    in ``dropped``, and in nothing else."""
+
+    def __init__(self, names: list[str], cols: list[Column], y: str, r: np.ndarray, n: int):
+        told = qr.Solution(r, n, len(names))
+        self.names, self.cols = ([x[i] for i in told.kept] for x in (names, cols))
+        self.dropped = [x for i, x in enumerate(names) if i not in told.kept]
+        self.y, self.n = y, n
+        self.beta, self.inverse, self.ssr = told.beta, told.inverse, told.ssr
+        self.xx = r[:, told.kept].T @ r[:, told.kept]
+        self.condition = told.condition()
+        mean = r[:, 0] * (r[:, 0] @ r[:, -1]) / (r[:, 0] @ r[:, 0])  # the intercept comes first
+        self.tss = float(np.sum((r[:, -1] - mean) ** 2))
 
     @property
     def k(self) -> int:
@@ -75,15 +71,7 @@ class Fit:
 
     @property
     def dof(self) -> int:
-        return self.n - int(np.linalg.matrix_rank(self.xx, hermitian=True))
-
-    @property
-    def ssr(self) -> float:
-        return float(max(self.yy - self.beta @ self.xy, 0.0))
-
-    @property
-    def tss(self) -> float:
-        return self.yy - self.sum_y**2 / self.n
+        return self.n - self.k
 
     def summary(self) -> dict[str, float]:
         r2 = 1 - self.ssr / self.tss
@@ -128,11 +116,13 @@ class Fit:
         rows = self.with_rows(df)
         names = [f"__u{i}" for i in range(self.k)]
         rows = rows.select(order, *((c * F.col("residual")).alias(n) for c, n in zip(self.cols, names, strict=True)))
-        w = Window.orderBy(order)
+
         # The lags of a row enter a sum with their weights, so one column stands for all of them: the middle
         # is the sum of u (u/2 + weighted lags)' and its transpose.
-        behind = lambda n: sum(((1 - lag / (lags + 1)) * F.coalesce(F.lag(n, lag).over(w), F.lit(0.0)) for lag in range(1, lags + 1)), F.col(n) / 2)
-        lagged = rows.select(*names, *(behind(n).alias(f"{n}_b") for n in names))
+        def behind(w: WindowSpec) -> dict[str, Column]:
+            return {f"{n}_b": sum(((1 - lag / (lags + 1)) * F.coalesce(F.lag(n, lag).over(w), F.lit(0.0)) for lag in range(1, lags + 1)), F.col(n) / 2) for n in names}
+
+        lagged = Ordered(rows, order).window(lags, behind)
         pairs = [(i, j) for i in range(self.k) for j in range(self.k)]
         row = lagged.agg(*(F.sum(F.col(names[i]) * F.col(f"{names[j]}_b")) for i, j in pairs)).first()
         half = np.array(row, float).reshape(self.k, self.k)
@@ -144,8 +134,9 @@ class Fit:
         out = []
         for name, b, v in zip(self.names, self.beta, np.diag(covariance), strict=True):
             se = math.sqrt(max(v, 0.0))
+            b = float(b)
             t = b / se if se else math.nan
-            out.append((name, float(b), se, t, dist.t_two_sided(t, self.dof), b - wide * se, b + wide * se))
+            out.append((name, b, se, t, dist.t_two_sided(t, self.dof), b - wide * se, b + wide * se))
         return out
 
     def wald(self, covariance: np.ndarray, terms: tuple[str, ...]) -> tuple[float, float, int]:
@@ -164,7 +155,8 @@ class Fit:
         """(term, sum of squares, degrees of freedom, F, p) of each term, or block of terms, given all others."""
         out = []
         for name, terms in (blocks or {t: (t,) for t in self.names[1:]}).items():
-            f, p, k = self.wald(self.plain(), terms)
+            tested = tuple(t for t in terms if t in self.names)
+            f, p, k = self.wald(self.plain(), tested) if tested else (math.nan, math.nan, 0)
             out.append((name, f * k * self.ssr / self.dof, k, f, p))
         return out
 
@@ -190,7 +182,8 @@ class Fit:
 
     def diagnostics(self, df: DataFrame, order: str) -> dict[str, float]:
         rows = self.with_rows(df)
-        step = rows.withColumn("__before", F.lag("residual").over(Window.orderBy(order)))
+        # Only residuals in order are needed for the lag.
+        step = Ordered(rows.select(F.col(order).alias("__order"), "residual"), "__order").window(1, lambda w: {"__before": F.lag("residual").over(w)})
         e = F.col("residual")
         r = step.agg(F.sum(e * e), F.sum((e - F.col("__before")) ** 2), F.avg(e), F.avg(e**2), F.avg(e**3), F.avg(e**4)).first()
         m1, m2, m3, m4 = r[2], r[3], r[4], r[5]
@@ -201,32 +194,31 @@ class Fit:
         squares = rows.withColumn("__e2", e * e)
         aux = fit(squares, (self.names, self.cols), "__e2")
         bp = self.n * (1 - aux.ssr / aux.tss)
-        values = np.linalg.eigvalsh(self.xx)
         return {
             "rmse": math.sqrt(self.ssr / self.n), "durbin_watson": r[1] / r[0], "jarque_bera": jb, "jarque_bera_p": dist.chi2_upper(jb, 2), "skew": skew, "kurtosis": kurtosis,
-            "breusch_pagan": bp, "breusch_pagan_p": dist.chi2_upper(bp, self.n - self.dof - 1), "condition_number": math.sqrt(values[-1] / max(values[0], 1e-300)),
+            "breusch_pagan": bp, "breusch_pagan_p": dist.chi2_upper(bp, self.n - self.dof - 1), "condition_number": self.condition,
         }
 
 
 def fit(df: DataFrame, terms: tuple[list[str], list[Column]], y: str) -> Fit:
     names, cols = terms
-    return Fit(names, cols, y, *gram(df, cols, y))
+    return Fit(names, cols, y, *qr.factor(df, cols, F.col(y)))
 
 
 def hierarchy(df: DataFrame, baseline: tuple[str, ...], blocks: list[tuple[str, tuple[str, ...]]], factor: str | None, y: str, horizon: int, order: str) -> list[dict]:
-    """Nested models, each with one block more, from one pass for cross products: submatrices of the widest
-    model are the others. Covariance is HC3 for one session and HAC for longer horizons."""
+    """Nested models, each with one block more, from one pass: the leading columns of the widest model's factor are
+    the others'. Covariance is HC3 for one session and HAC for longer horizons."""
     every = baseline + tuple(t for _, b in blocks for t in b)
     names, cols = design(df, every, factor)
-    xx, xy, yy, n, sy = gram(df, cols, y)
+    r, n = qr.factor(df, cols, F.col(y))
     out, taken, last = [], len(names) - len(every) + len(baseline), None
     for name, terms in [("baseline", ()), *blocks]:
         taken += len(terms)
-        f = Fit(names[:taken], cols[:taken], y, xx[:taken, :taken], xy[:taken], yy, n, sy)
+        f = Fit(names[:taken], cols[:taken], y, np.column_stack((r[:, :taken], r[:, -1])), n)
         v = f.hc3(df) if horizon == 1 else f.hac(df, horizon, order)
         row = {"model": name, **f.summary(), "coefficients": f.table(v)}
-        if terms:
-            row |= dict(zip(("block_f", "block_p", "block_df"), f.wald(v, terms), strict=True))
+        if tested := tuple(t for t in terms if t in f.names):
+            row |= dict(zip(("block_f", "block_p", "block_df"), f.wald(v, tested), strict=True))
         if last:
             row |= {f"delta_{m}": row[m] - last[m] for m in ("adjusted_r_squared", "aic", "bic")}
         out.append(row)
