@@ -47,6 +47,25 @@ def test_recall_of_hard_vectors_in_a_whole_shard(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_beam_stays_narrow_where_vectors_tie(spark, monkeypatch):
+    """A third of all rows are one vector, and others come in pairs: which of equal rows are found says nothing."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(6000, 16))
+    x[::3] = x[0]
+    x[1::6] = x[4::6]
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(len(x))], "vec_id long, embedding array<double>")
+    widths, search = [], ann_hnsw._search
+    monkeypatch.setattr(ann_hnsw, "_search", lambda dim, largest, k, width: widths.append(width) or search(dim, largest, k, width))
+    found = ann_hnsw.nearest(df, F.col("vec_id") % 20 == 0, 20, shard_rows=3000).collect()
+    assert set(widths) == {ann_hnsw.SEARCH_BEAM}
+    least = {}
+    for q in range(0, len(x), 20):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        least[q] = np.sort(s)[-20]
+    assert sum(f.score >= least[f.query_id] for f in found) / (20 * len(least)) >= 0.9
+
+
 def test_few_and_repeated_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann_hnsw.nearest(df, F.col("vec_id") % 20 == 0).collect()]

@@ -230,21 +230,22 @@ def _search(dim: int, largest: float, k: int, width: int):
 
 
 def _exact(ids: np.ndarray, queries: np.ndarray, k: int):
-    """The nearest rows of a task for each query, by looking at all of them."""
+    """The nearest rows of a task for each query, by looking at all of them; scores and ties as in ``_search``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, whose = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
+        best = [(np.empty(0), np.empty(0, np.int64)) for _ in ids]
         for b in batches:
             if not b.num_rows:
                 continue
             own = b.column(0).to_numpy()
             x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
-            score = np.where(ids[:, None] == own, -np.inf, queries @ x.T)
-            both, rows = np.hstack((best, score)), np.hstack((whose, np.broadcast_to(own, score.shape)))
-            at = np.argpartition(-both, k - 1, axis=1)[:, :k]
-            best, whose = np.take_along_axis(both, at, 1), np.take_along_axis(rows, at, 1)
-        found = np.isfinite(best)
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[found]), pa.array(whose[found]), pa.array(best[found])], names=["query_id", "vec_id", "score"])
+            for i, (query, q) in enumerate(zip(ids, queries, strict=True)):
+                score, other = (x * q).sum(axis=1), own != query
+                score, whose = np.concatenate((best[i][0], score[other])), np.concatenate((best[i][1], own[other]))
+                first = np.lexsort((whose, -score))[:k]
+                best[i] = score[first], whose[first]
+        many = [len(s) for s, _ in best]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, many)), pa.array(np.concatenate([w for _, w in best])), pa.array(np.concatenate([s for s, _ in best]))], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -319,11 +320,13 @@ def beam_width(good: DataFrame, asked: DataFrame, index: DataFrame, shards: int,
     if not sample:
         return width
     ids, vectors = np.array([r["vec_id"] for r in sample], np.int64), np.array([r["v"] for r in sample], np.float64)
-    true = {(r["query_id"], r["vec_id"]) for r in _best(good.mapInArrow(_exact(ids, vectors, k), _FOUND), k).collect()}
+    exact = _best(good.mapInArrow(_exact(ids, vectors, k), _FOUND), k).groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).collect()
+    # Rows that tie with the last of the nearest are as near, whichever of them are found.
+    least, want = {r["query_id"]: r["least"] for r in exact}, sum(r["n"] for r in exact)
     block = _blocks(good.sparkSession.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, v array<double>"), 1)
     while width < 2 * shard_rows:
-        got = {(r["query_id"], r["vec_id"]) for r in _best(_found(index, shards, block, 1, _search(dim, largest, k, width)), k).collect()}
-        if len(got & true) >= RECALL * len(true):
+        got = _best(_found(index, shards, block, 1, _search(dim, largest, k, width)), k).select("query_id", "score").collect()
+        if sum(r["score"] >= least[r["query_id"]] for r in got) >= RECALL * want:
             break
         width *= 2
     return width
