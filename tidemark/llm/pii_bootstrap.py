@@ -9,17 +9,18 @@
 3. *Graph.* What stands left of a span is its lexical pattern: the two words before it, and the one
    word before it if that ends like a label (``:``, ``=``, ``#``). Of a word the last ``WORD`` code points
    count, everywhere alike; blanks between words may be many. Patterns and the instances (values) that
-   they stand before are the two sides of a graph; its edges are counted, combined before the shuffle.
-4. *Scores.* Seeds have score 1. A pattern's score for a kind is the share of all its occurrences in the
-   corpus, whatever follows, that are instances of the kind, weighted by their scores; a candidate's is
+   they stand before are the two sides of a graph; its edges are counted, combined before the shuffle. Patterns end
+   at *places*: where a word begins, or a token inside of a word, as behind ``tel:``. A seed that begins elsewhere, as
+   digits behind a plus sign or a letter, is a span but vouches for no pattern.
+4. *Scores.* Seeds have score 1. A pattern's score for a kind is the share of all places in the
+   corpus that it ends at, whatever follows, that are instances of the kind, weighted by their scores; a candidate's is
    the noisy-or of its patterns' scores. The two are computed in turn, ``ROUNDS`` times.
 5. Patterns with a score of at least ``ACCEPT`` and ``SUPPORT`` different seeds behind them are accepted, and
    whatever one stands before is a span of the kind that scores highest, with or without digits: the run of
    non-blank characters, begun by digits that blanks, brackets, hyphens or dots join to groups, without
-   quotes and marks around it, up to the next seed. Where a token begins inside of a word, as behind
-   ``tel:``, it is looked at too. What has no letter and no digit is no span.
+   quotes and marks around it, up to the next seed. What has no letter and no digit is no span.
 
-A pattern's occurrences are counted over all words of all documents. A bitmap of the patterns' hashes,
+A pattern's occurrences are counted at all places of all documents, the same that are looked at for spans. A bitmap of the patterns' hashes,
 of a fixed 128 KB, keeps words that belong to no pattern out of the shuffle.
 
 Null texts count as empty and have no spans, as have empty ones. Repeated rows are read once each, and
@@ -56,7 +57,8 @@ ANY = "[0-9@]"
 #: A token with a digit.
 TOKEN = r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z._@+-]*+[0-9])[A-Za-z0-9._@+-]++"
 VOUCHING_DIGITS = 4
-#: Where a word begins, and where a token begins inside of one.
+#: What tokens are made of; where a word begins, and where a token begins inside of one.
+PART = "[A-Za-z0-9._@+-]"
 WORD_BEGINS = r"(?<=\s)(?=\S)"
 TOKEN_BEGINS = r"(?<=[^\sA-Za-z0-9._@+-])(?=[A-Za-z0-9._@+-])"
 #: Marks before a span (brackets stay with a number), and a span with the marks after it.
@@ -68,8 +70,9 @@ BLANKS = " \t\n\x0b\f\r"
 WORD = 40
 #: Code points to the left of a span that are looked at first, and whether two whole words are among them.
 NEAR, ENOUGH = 200, r"\s\S++\s++\S++\s*+$"
-#: Spans before one that may be part of its pattern: each has five code points at least, a pattern two words.
-BEFORE = 17
+#: Spans before one that are read for its pattern, and read if those hold no two words: a span and the gap behind it have
+#: two code points at least, so that these hold all that counts of a word.
+BEFORE, FAR_BEFORE = 17, 2 * WORD
 ROUNDS = 3
 ACCEPT = 0.6
 SUPPORT = 3
@@ -97,7 +100,7 @@ def spans_of(text: Column, form: str, sound: Callable[[Column], Column]) -> Colu
 
         def named(spans: Column) -> Column:
             parts = F.flatten(F.zip_with(F.transform(gaps, _tail), matches, lambda g, m: F.array(g, m)))
-            own = let(parts, lambda p: F.transform(spans, lambda s: F.struct(s["start"], s["finish"], s["value"], _patterns(_left(p, s["i"])).alias("patterns"))))
+            own = let(parts, lambda p: F.transform(spans, lambda s: F.struct(s["start"], s["finish"], s["value"], let(_left(p, s["i"]), lambda left: _vouched(left, s["value"])).alias("patterns"))))
             return F.when(F.size(spans) > 0, own).otherwise(F.expr(_EMPTY))
 
         return let(kept, named)
@@ -118,8 +121,21 @@ def _tail(gap: Column) -> Column:
 
 def _left(parts: Column, i: Column) -> Column:
     """What stands left of match ``i``: the tail before it, or that with matches and tails before where it is short."""
-    own, first = F.get(parts, 2 * i), F.greatest(2 * i - 2 * BEFORE, F.lit(0))
-    return F.when((i == 0) | own.rlike(ENOUGH), own).otherwise(_short(F.array_join(F.slice(parts, first + 1, 2 * i - first + 1), "")))
+    own = F.get(parts, 2 * i)
+
+    def back(n: int) -> Column:
+        first = F.greatest(2 * i - 2 * n, F.lit(0))
+        return _short(F.array_join(F.slice(parts, first + 1, 2 * i - first + 1), ""))
+
+    near = let(back(BEFORE), lambda left: F.when((i <= BEFORE) | left.rlike(ENOUGH), left).otherwise(back(FAR_BEFORE)))
+    return F.when((i == 0) | own.rlike(ENOUGH), own).otherwise(near)
+
+
+def _vouched(left: Column, value: Column) -> Column:
+    """The patterns of a span at a place; none elsewhere."""
+    inside = left.rlike(r"\S$")
+    place = ~inside | (~left.rlike(rf"{PART}$") & value.rlike(rf"^{PART}"))
+    return F.when(place, _patterns(left)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def _word(word: Column) -> Column:
@@ -227,22 +243,40 @@ def _inside(bitmap: Column, h: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """How often each pattern occurs in all documents, whatever stands after it."""
+    """How often each pattern ends at a place in all documents, whatever stands after it."""
     bitmap = _bitmap(patterns.select(_pattern_hash(F.col("pattern")).alias("h")))
     if bitmap is None:
         return patterns.select("pattern", F.lit(0).cast("long").alias("total"))
-    list_ = F.split(F.lower(F.trim(F.coalesce(F.col("text"), F.lit("")))), r"\s+")
-    # A pattern is two words, or a label, with a word after it.
-    short = F.transform(list_, lambda a: F.when(F.length(a) > WORD, F.right(a, F.lit(WORD))).otherwise(a))
-    of_words = only(docs, "text").select(short.alias("w")).where("size(w) > 1")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    of_words = only(docs, "text").select(F.split(F.trim(text), r"\s+").alias("raw")).select("raw", F.transform("raw", _word).alias("w"))
+    # Where a word begins, a pattern is the two words before it, or the last of them if that is a label.
     n = F.size("w")
-    two = F.when(n > 2, F.zip_with(F.slice("w", F.lit(1), n - 2), F.slice("w", F.lit(2), n - 2), lambda a, b: _pattern_hash(F.concat(a, F.lit(" "), b)))).otherwise(F.array().cast("array<long>"))
+    none = F.array().cast("array<long>")
+    two = F.when(n > 2, F.zip_with(F.slice("w", F.lit(1), n - 2), F.slice("w", F.lit(2), n - 2), lambda a, b: _pattern_hash(F.concat(a, F.lit(" "), b)))).otherwise(none)
     label = F.transform(F.filter(F.slice("w", F.lit(1), n - 1), lambda a: a.rlike("[:=#]$")), _pattern_hash)
-    h = of_words.select(F.explode(F.concat(two, label)).alias("h"))
+
+    # Inside of a word, what stands before the place is the last word.
+    def inner(x: Column) -> Column:
+        return F.flatten(F.transform(_befores(F.split(x["own"], TOKEN_BEGINS, -1)), lambda b: F.transform(_of_words(x["before"], b), _pattern_hash)))
+
+    pairs = F.zip_with(F.concat(F.array(F.lit("")), F.slice("w", F.lit(1), n - 1)), "raw", lambda a, b: F.struct(a.alias("before"), b.alias("own")))
+    inside = F.flatten(F.transform(F.filter(pairs, lambda x: x["own"].rlike(TOKEN_BEGINS)), inner))
+    h = of_words.select(F.explode(F.concat(two, label, inside)).alias("h"))
     counts = h.where(_inside(bitmap, F.col("h"))).groupBy("h").agg(F.count(F.lit(1)).alias("total"))
     return patterns.withColumn("h", _pattern_hash(F.col("pattern"))).join(counts, "h", "left").select("pattern", F.coalesce("total", F.lit(0)).alias("total"))
 
 
+def _before(pieces: Column, j: Column) -> Column:
+    """What counts of a word's first ``j`` pieces; each has a character at least, so that so many hold all of it."""
+    return _word(F.array_join(F.slice(pieces, F.greatest(j - 2 * WORD, F.lit(0)) + 1, F.least(j, F.lit(2 * WORD))), ""))
+
+
+def _befores(pieces: Column) -> Column:
+    """What stands before each token inside of a word of these pieces."""
+    none = F.expr("cast(array() as array<string>)")
+    return let(pieces, lambda p: F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda j: _before(p, j))).otherwise(none))
+
+
 def annotate_behind(docs: DataFrame, accepted: DataFrame) -> DataFrame:
     """As annotate(), but with candidates for all that stands behind an accepted pattern (or, by chance of
     the bitmap, another), whatever it is made of."""
@@ -267,8 +301,7 @@ def annotate_behind(docs: DataFrame, accepted: DataFrame) -> DataFrame:
 
         def of_pieces(pieces: Column) -> Column:
             def of_piece(j: Column) -> Column:
-                # Each piece has a character at least, so that so many hold all of a word that counts.
-                near = _word(F.array_join(F.slice(pieces, F.greatest(j - 2 * WORD, F.lit(0)) + 1, F.least(j, F.lit(2 * WORD))), ""))
+                near = _before(pieces, j)
                 at = F.length(F.array_join(F.slice(pieces, F.lit(1), j), ""))
                 return let(near, lambda w: F.when(fits(w), begin(i, at, _of_words(word(raw, i, 1), w))).otherwise(none))
 
