@@ -2,8 +2,8 @@
 
 A text's terms are its distinct words and the first 3 to 7 letters of each, which stand for a stem in
 all its forms; they are hashed into ``2**BITS`` buckets. From the labelled training rows
-a bounded sample (at most ``SAMPLE`` rows, those with the smallest hash of doc_id; every row below the
-bound is used) is taken to fit the model. Spark counts in how many of its rows, and of those with label 1, each
+a bounded sample (at most ``SAMPLE`` labels, those with the smallest hash of doc_id, and as many rows, those with the
+smallest hash of doc_id and text; every row below the bounds is used) is taken to fit the model, and stored. Spark counts in how many of its rows, and of those with label 1, each
 bucket is. Two kinds of buckets are kept: ``KEPT`` whose presence alone says most about the label, and
 ``COMMON`` others of the rest whose presence differs most between rows, whatever they say alone, as a pair of
 them may say what neither does. Only kept buckets of the sample reach the driver. There the machine
@@ -13,7 +13,7 @@ Every document is then scored over its whole text.
 
 Null and empty texts have no terms and get the score of the bias. Without training rows of both
 labels every score is the share of label 1, or 0.5 with none. Null labels don't count. Repeated rows
-are scored once each; extra columns are ignored; an empty table gives an empty result.
+are scored once each, and of rows equal in doc_id, text and label one is learnt from; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, ship, tidy
+from .common import Stored, only, ship, tidy
 
 BITS = 20
 #: Most labelled rows that the model is fitted on.
@@ -196,12 +196,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column
     known = only(labels, "doc_id", label).where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
     if rows is not None:
         known = known.where(rows)
-    total = known.count()
-    if total > sample:
+    if known.count() > sample:
         # The smallest hashes: the same rows each time, at any size and layout of the table.
         known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    # The sample is bounded by its rows, so it may be sent to the tasks that read the texts.
-    own = only(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
+    # The labels are bounded by their number, so they may be sent to the tasks that read the texts, once. Rows of any
+    # number may share a doc_id: of equal ones one is learnt from, and of all again those with the smallest hashes.
+    store = Stored(docs.sparkSession, "toxicity")
+    found = only(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("h"))
+    own = store.keep(found.dropDuplicates(["h", "y"]), "sample")
+    if own.count() > sample:
+        least = own.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+        own = own.where(F.col("h") <= least)  # a text with both labels may be one too many
+    own = own.select("text", "y")
     # At most a row for each bucket, however many texts there are.
     counts = own.mapInArrow(tidy(_counts), "k int, seen long, toxic long").groupBy("k").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).where("seen >= 4").toPandas().sort_values("k")
     by_label = dict(own.groupBy("y").count().collect())
