@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored
 
-MOST_ROUNDS = 60
-
 
 def _least(df: DataFrame) -> DataFrame:
     """For each u the smallest of itself and its neighbours; combined before the shuffle."""
@@ -35,7 +35,7 @@ def components(links: DataFrame, store: Stored, name: str) -> DataFrame:
     """
     now = store.keep(links.select("u", "v").where("u <> v").distinct(), f"{name}-0")
     mark = None
-    for k in range(1, MOST_ROUNDS):
+    for k in count(1):
         step = store.keep(_small_star(_large_star(now)), f"{name}-{k}")
         found = step.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         store.drop(f"{name}-{k - 1}")
@@ -43,4 +43,3 @@ def components(links: DataFrame, store: Stored, name: str) -> DataFrame:
         if tuple(found) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         mark = tuple(found)
-    raise RuntimeError("components did not settle")

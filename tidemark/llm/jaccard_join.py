@@ -14,7 +14,8 @@ compared apart from each other:
    second and third time by other hashes and at last meets all such sets of its class.
    Signatures travel packed: a task sorts what it made and sends a few bytes for each to the slot of
    its range, which keeps those that several sets sent. Of signatures that the very same sets sent,
-   one is kept. A signature that very many sets send is settled in passes of bounded memory.
+   one is kept. There are as many slots as the texts' length asks for, so that one holds some millions of
+   signatures at any size; a signature that very many sets send is settled in passes of bounded memory.
 2. *Bound.* A sketch of parity bits differs in at most as many bits as the sets differ in n-grams; pairs
    that differ in more than they may are dropped where sets meet, before they are rows of their own. Sets too
    large for it have a wide sketch too, of two bits for each n-gram, by which pairs left are tested again.
@@ -62,8 +63,9 @@ GROUP_BYTES = 1 << 20
 REMEMBERED = 50_000
 #: Signatures that a task sorts and sends at a time, and that the task of a slot holds before it settles them.
 FLUSH_KEYS, HELD_KEYS = 600_000, 4_000_000
-#: Slots of signatures in a task that settles them.
-SLOTS = 4
+#: Slots of signatures in a task that settles them, at least; as many that a slot gets SLOT_KEYS signatures or so, with
+#: this many characters for a word; and the most.
+SLOTS, SLOT_KEYS, WORD_LENGTH, MOST_SLOTS = 4, 2_000_000, 5, 1 << 20
 #: 64-bit numbers of the sketch that every set has, and the most bits of the wide one of larger sets: the power
 #: of two from twice the set's size on.
 SKETCH_LONGS, MOST_BITS = 16, 1 << 16
@@ -488,6 +490,11 @@ class Join:
             "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"), F.col("s1").alias("set_id")
         )
 
+    def _signatures(self) -> int:
+        """About how many signatures all sets send: of each class and the next, one for each n-gram they may differ in."""
+        length = self.docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        return math.ceil(length / WORD_LENGTH * 4 * (self.q - self.p) / (self.q + self.p))
+
     def _doc(self, id_: str) -> Column:
         return F.col(id_) if self.unique else F.col(f"{id_}.doc_id")
 
@@ -498,7 +505,7 @@ class Join:
         """
         store, spark = self.store, self.docs.sparkSession
         n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        slots = min(SLOTS * n, 1 << 20)
+        slots = min(MOST_SLOTS, max(SLOTS * n, -(-self._signatures() // SLOT_KEYS)))
         sent = self.docs.mapInArrow(tidy(_describe(self.k, self.p, self.q, slots)), _SENT)
         described = store.keep(sent.repartitionById(n, F.col("slot")).sortWithinPartitions("slot").mapInArrow(tidy(_settled), _DESCRIBED), "described")
         release(spark)
