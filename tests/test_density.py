@@ -102,7 +102,7 @@ def plain(rows, smallest, samples, k, levels=None):
     def gain(level):
         return 1 / steps[level] - 1 / steps[min(level + 1, len(steps) - 1)]
 
-    def best(level, part):
+    def best(level, part, alone=False):
         """(stability of what is selected, the selected parts) of the cluster that begins at a level."""
         own, at = 0.0, part
         while True:
@@ -112,13 +112,13 @@ def plain(rows, smallest, samples, k, levels=None):
                 break
             level, at = level - 1, below[0]
         found = [best(level - 1, s) for s in below]
-        if own >= sum(v for v, _ in found):
+        if own >= sum(v for v, _ in found) and not (alone and found):
             return own, [part]
         return sum(v for v, _ in found), [s for _, chosen in found for s in chosen]
 
     topic = {}
     for part in alive[-1]:
-        for chosen in best(len(steps) - 1, part)[1]:
+        for chosen in best(len(steps) - 1, part, len(alive[-1]) == 1)[1]:
             topic |= dict.fromkeys(chosen, min(chosen))
     return {i: topic.get(point[v]) for i, v in rows}
 

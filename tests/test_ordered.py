@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import events, views
-from tidemark.operators.ordered import Ordered
+from tidemark.operators.ordered import NUMBER, Ordered
 from tidemark.plans import catalogue
 from tidemark.stats import ols
 
@@ -15,7 +15,7 @@ from tidemark.stats import ols
 def unkeyed(df):
     """Windows without a key in the plan that would run."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return [w for w in re.findall(r"windowspecdefinition\((.*?)\)", plan) if "__range" not in w.split("ASC")[0]]
+    return [w for w in re.findall(r"windowspecdefinition\((.*?)\)", plan) if "__o_range" not in w.split("ASC")[0]]
 
 
 @pytest.mark.parametrize("ranges", [1, 7, 40])
@@ -39,6 +39,12 @@ def test_numbers_lags_and_running_values(spark, ranges):
             assert got[x[0]] == ((sum(near), len(near), max(near), min(near)) if near else (None, 0, None, None))
 
 
+def test_columns_may_be_called_like_counts(spark):
+    df = spark.createDataFrame([(3, 10), (1, 20), (2, 30)], "v int, __n int").withColumns({"__range": F.lit(1), "__start": F.lit(2)})
+    got = Ordered(df, "v").running({"before": ("sum", F.col("__n"))}, own=False)
+    assert sorted((r.v, r["__n"], r.before) for r in got.collect()) == [(1, 20, None), (2, 30, 20), (3, 10, 50)]
+
+
 def test_no_rows(spark):
     o = Ordered(spark.createDataFrame([], "id long, v long"), "id")
     assert o.numbered("n").collect() == [] and o.window(2, lambda w: {"b": F.lag("v").over(w)}).collect() == [] and o.running({"s": ("sum", F.col("v"))}).collect() == []
@@ -49,9 +55,9 @@ def test_a_million_rows_in_many_ranges(spark):
     n = 1_000_000
     df = spark.range(n, numPartitions=16).select("id", F.when(F.col("id") % 3 == 0, 500_000).otherwise(F.col("id")).alias("k"))
     o = Ordered(df, "k", ranges=50)
-    sizes = [r["count"] for r in o.rows.groupBy("__range").count().collect()]
+    sizes = [r["count"] for r in o.rows.groupBy("__o_range").count().collect()]
     assert len(sizes) > 40 and max(sizes) < 3 * n / 50
-    out = o.window(7, lambda w: {"m": F.avg("k").over(w.rowsBetween(-7, 0)), "n": F.col("__n"), "back": F.lag("k", 7).over(w)})
+    out = o.window(7, lambda w: {"m": F.avg("k").over(w.rowsBetween(-7, 0)), "n": F.col(NUMBER), "back": F.lag("k", 7).over(w)})
     assert unkeyed(out) == []
     low = out.where("n <= 100000").agg(F.sum("m"), F.min("back"), F.count("back")).first()
     keys = sorted(500_000 if i % 3 == 0 else i for i in range(n))[:100_000]

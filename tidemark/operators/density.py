@@ -9,7 +9,8 @@
    cluster goes on in the one alive component that is left of it, ends where none is, and splits where several are.
 4. A cluster's stability is the sum over its rows of 1 / distance gained while they are in it; one that is whole at
    the top of the ladder begins there. Going up, a cluster is
-   selected if it is at least as stable as what is selected below it. Rows in no selected cluster are noise.
+   selected if it is at least as stable as what is selected below it. The only
+   cluster at the top is selected only if it never splits. Rows in no selected cluster are noise.
 
 Everything grows with rows, edges or clusters and is a table; the ladder alone goes through the driver.
 """
@@ -99,6 +100,10 @@ def _tree(placed: DataFrame, alive: DataFrame, steps: list[float]) -> DataFrame:
 def _selected(clusters: DataFrame) -> DataFrame:
     """level, root of the clusters that are at least as stable as what is selected below them."""
     done = None
+    tops = clusters.where("up_level is null").select("level").limit(2).count()
+    if tops == 1 and clusters.select("level").limit(2).count() > 1:
+        # A cluster of everything says nothing where there are others.
+        clusters = clusters.withColumn("stability", F.when(F.col("up_level").isNull(), -1.0).otherwise(F.col("stability")))
     at = sorted(r[0] for r in clusters.select("level").distinct().collect())  # no more than the ladder has
     for level in at:
         here = clusters.where(F.col("level") == level)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ingest import era
-from .ordered import Ordered
+from .ordered import NUMBER, Ordered
 
 HORIZONS = (1, 5)
 #: Days of turmoil that a sensitivity analysis leaves out.
@@ -21,7 +21,7 @@ def sessions(observations: DataFrame, date: str, value: str, looks: tuple[int, .
     """Usable observations (date and value there) numbered by date, with values some sessions back."""
     usable = observations.where(F.col(date).isNotNull() & F.col(value).isNotNull())
     dated = Ordered(usable.select(F.col(date).alias("session_date"), F.col(value).alias("session_value")), "session_date")
-    return dated.window(max(looks, default=0), lambda w: {"rn": F.col("__n"), **{f"back_{k}": F.lag("session_value", k).over(w) for k in looks}})
+    return dated.window(max(looks, default=0), lambda w: {"rn": F.col(NUMBER), **{f"back_{k}": F.lag("session_value", k).over(w) for k in looks}})
 
 
 def positions(events: DataFrame, index: DataFrame, date: str = "event_date") -> DataFrame:

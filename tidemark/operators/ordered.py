@@ -26,30 +26,34 @@ _AGGREGATES = {"sum": (F.sum, lambda a, b: a + b), "count": (F.count, lambda a,
 _JOINED = {"sum": lambda a, b: a + b, "count": lambda a, b: a + b, "max": F.greatest, "min": F.least}
 
 
+#: The number of a row, from 1 over the whole table, in the windows of ``Ordered.window``.
+NUMBER = "__o_n"
+
+
 class Ordered:
-    """A table in an order. ``rows`` has its columns and ``__range``, ``__n`` (from 1 over the whole table)."""
+    """A table in an order, whose columns have no names that begin with ``__o_``. ``rows`` has its columns and ``__o_range``, ``__o_n`` (from 1 over the whole table)."""
 
     def __init__(self, df: DataFrame, *order: str | Column, ranges: int | None = None):
         self.columns = df.columns
         keys = [F.col(o) if isinstance(o, str) else o for o in order]
-        named = df.withColumns({f"__k{i}": k for i, k in enumerate(keys)}).withColumn("__place", F.monotonically_increasing_id())
-        by = [*(f"__k{i}" for i in range(len(keys))), "__place"]
+        named = df.withColumns({f"__o_k{i}": k for i, k in enumerate(keys)}).withColumn("__o_place", F.monotonically_increasing_id())
+        by = [*(f"__o_k{i}" for i in range(len(keys))), "__o_place"]
         dealt = (named.repartitionByRange(ranges, *by) if ranges else named.repartitionByRange(*by)).sortWithinPartitions(*by)
         # A task's number and, below it, the row's number in the task.
         at = F.monotonically_increasing_id()
-        dealt = dealt.select(*self.columns, at.alias("__at"))
-        written = kept(dealt.select(*self.columns, F.shiftright("__at", 33).cast("int").alias("__range"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)).alias("__local")), "ordered")
-        sizes = sorted(written.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect())
+        dealt = dealt.select(*self.columns, at.alias("__o_at"))
+        written = kept(dealt.select(*self.columns, F.shiftright("__o_at", 33).cast("int").alias("__o_range"), F.col("__o_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("__o_local")), "ordered")
+        sizes = sorted(written.groupBy("__o_range").agg(F.count(F.lit(1)).alias("n")).collect())
         starts, total = [], 0
         for r, n in sizes:
             starts.append((r, total, n))
             total += n
         self.total = total
-        self._starts = F.broadcast(df.sparkSession.createDataFrame(starts, "__range int, __start long, __size long"))  # a row a range
-        self.rows = written.join(self._starts, "__range").withColumn("__n", F.col("__start") + F.col("__local") + 1).drop("__local")
+        self._starts = F.broadcast(df.sparkSession.createDataFrame(starts, "__o_range int, __o_start long, __o_size long"))  # a row a range
+        self.rows = written.join(self._starts, "__o_range").withColumn("__o_n", F.col("__o_start") + F.col("__o_local") + 1).drop("__o_local")
 
     def numbered(self, name: str, first: int = 0) -> DataFrame:
-        return self.rows.select(*self.columns, (F.col("__n") + (first - 1)).alias(name))
+        return self.rows.select(*self.columns, (F.col("__o_n") + (first - 1)).alias(name))
 
     def window(self, before: int, over: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
         """The table with columns of windows over at most ``before`` rows before each row.
@@ -57,13 +61,13 @@ class Ordered:
         ``over`` gets a window in order and returns the columns by name.
         """
         rows = self.rows
-        last = rows.where(F.col("__n") > F.col("__start") + F.col("__size") - before) if before else rows.limit(0)
+        last = rows.where(F.col("__o_n") > F.col("__o_start") + F.col("__o_size") - before) if before else rows.limit(0)
         # A row belongs to the halo of each range that starts behind it, and at most ``before`` rows away.
-        ahead = last.drop("__range", "__start", "__size").withColumn("__start", F.explode(F.sequence(F.col("__n"), F.col("__n") + (before - 1))))
-        halo = ahead.join(self._starts.where("__start > 0"), "__start").withColumn("__own", F.lit(False))
-        both = rows.withColumn("__own", F.lit(True)).unionByName(halo)
-        seen = both.withColumns(over(Window.partitionBy("__range").orderBy("__n")))
-        return seen.where("__own").drop("__own", "__range", "__start", "__size", "__n")
+        ahead = last.drop("__o_range", "__o_start", "__o_size").withColumn("__o_start", F.explode(F.sequence(F.col("__o_n"), F.col("__o_n") + (before - 1))))
+        halo = ahead.join(self._starts.where("__o_start > 0"), "__o_start").withColumn("__o_own", F.lit(False))
+        both = rows.withColumn("__o_own", F.lit(True)).unionByName(halo)
+        seen = both.withColumns(over(Window.partitionBy("__o_range").orderBy("__o_n")))
+        return seen.where("__o_own").drop("__o_own", "__o_range", "__o_start", "__o_size", "__o_n")
 
     def running(self, values: dict[str, tuple[str, Column]], own: bool = True) -> DataFrame:
         """The table with running values of all rows before each row, and of the row itself if ``own``.
@@ -71,20 +75,20 @@ class Ordered:
         ``values`` has for each new column one of sum, count, max and min, and what it is of. Nulls are passed over;
         before the first value there is null, or a count of 0.
         """
-        rows = self.rows.withColumns({f"__v_{name}": value for name, (_, value) in values.items()})
-        told = sorted(rows.groupBy("__range").agg(*(_AGGREGATES[kind][0](f"__v_{name}").alias(name) for name, (kind, _) in values.items())).collect(), key=lambda r: r["__range"])
+        rows = self.rows.withColumns({f"__o_v_{name}": value for name, (_, value) in values.items()})
+        told = sorted(rows.groupBy("__o_range").agg(*(_AGGREGATES[kind][0](f"__o_v_{name}").alias(name) for name, (kind, _) in values.items())).collect(), key=lambda r: r["__o_range"])
         carried, so_far = [], dict.fromkeys(values)
         for r in told:
-            carried.append((r["__range"], *so_far.values()))
+            carried.append((r["__o_range"], *so_far.values()))
             for name, (kind, _) in values.items():
                 known = [x for x in (so_far[name], r[name]) if x is not None]
                 so_far[name] = _AGGREGATES[kind][1](*known) if len(known) == 2 else next(iter(known), None)
-        kinds = {f.name: f.dataType.simpleString() for f in rows.groupBy("__range").agg(*(_AGGREGATES[kind][0](f"__v_{name}").alias(name) for name, (kind, _) in values.items())).schema}
-        before = rows.sparkSession.createDataFrame(carried, ", ".join(["__range int", *(f"`__b_{n}` {kinds[n]}" for n in values)]))
-        until = Window.partitionBy("__range").orderBy("__n").rowsBetween(Window.unboundedPreceding, Window.currentRow if own else -1)
-        out = rows.join(F.broadcast(before), "__range")  # a row a range
+        kinds = {f.name: f.dataType.simpleString() for f in rows.groupBy("__o_range").agg(*(_AGGREGATES[kind][0](f"__o_v_{name}").alias(name) for name, (kind, _) in values.items())).schema}
+        before = rows.sparkSession.createDataFrame(carried, ", ".join(["__o_range int", *(f"`__o_b_{n}` {kinds[n]}" for n in values)]))
+        until = Window.partitionBy("__o_range").orderBy("__o_n").rowsBetween(Window.unboundedPreceding, Window.currentRow if own else -1)
+        out = rows.join(F.broadcast(before), "__o_range")  # a row a range
         for name, (kind, _) in values.items():
-            within, carry = _AGGREGATES[kind][0](f"__v_{name}").over(until), F.col(f"__b_{name}")
+            within, carry = _AGGREGATES[kind][0](f"__o_v_{name}").over(until), F.col(f"__o_b_{name}")
             joined = _JOINED[kind](within, carry)
             value = F.when(carry.isNull(), within).when(within.isNull(), carry).otherwise(joined)
             out = out.withColumn(name, F.coalesce(value, F.lit(0)) if kind == "count" else value)

@@ -1,6 +1,7 @@
 """Training of a text classifier in epochs of mini-batches, with its gradients added up in Spark.
 
-Words are hashed to ``features`` numbers, and a document's classes score as the mean of its words' weights and a bias.
+Words are hashed to ``features`` numbers, and a document's classes score as the sum of its words' weights, divided by the
+square root of their number, and a bias.
 An epoch deals the training rows anew into mini-batches; for each, every task adds up the gradient of its rows, partial
 sums are added ``FAN`` at a time, and the driver takes one step (Adam) with what is a model's size, whatever the rows.
 After an epoch the model is tried on the validation rows, and one row with metrics and state is appended to a folder. The
@@ -87,7 +88,7 @@ def _scores(weights: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarr
         own = weights[ids[low : low + PIECE]]
         for c in range(weights.shape[1]):
             out[:, c] += np.bincount(doc[low : low + PIECE], own[:, c], len(sizes))
-    out = out / np.maximum(sizes, 1)[:, None] + weights[-1]
+    out = out / np.sqrt(np.maximum(sizes, 1))[:, None] + weights[-1]
     out = np.exp(out - out.max(axis=1, keepdims=True))
     return out / out.sum(axis=1, keepdims=True)
 
@@ -108,7 +109,7 @@ def _gradient(weights):
             p = _scores(w, ids, sizes)
             loss -= float(np.log(np.maximum(p[np.arange(len(label)), label], 1e-300)).sum())
             p[np.arange(len(label)), label] -= 1
-            doc, each = np.repeat(np.arange(len(sizes)), sizes), p / np.maximum(sizes, 1)[:, None]
+            doc, each = np.repeat(np.arange(len(sizes)), sizes), p / np.sqrt(np.maximum(sizes, 1))[:, None]
             for low in range(0, len(ids), PIECE):
                 for c in range(w.shape[1]):
                     total[:, c] += np.bincount(ids[low : low + PIECE], each[doc[low : low + PIECE], c], len(w))

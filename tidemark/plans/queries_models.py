@@ -199,7 +199,7 @@ def q_stateful_cache(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("document_id").cast("long").alias("doc_id"), "outcome", "attempts")
 
 
-QUALITY = training.Settings(("bad", "good"))
+QUALITY = training.Settings(("bad", "good"), rate=0.2)
 
 
 @register("q_training_run")
