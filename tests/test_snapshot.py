@@ -71,7 +71,7 @@ def test_empty_tables_and_nulls_have_a_fingerprint(spark):
     assert snapshot.fingerprint(x) == snapshot.fingerprint(y) != snapshot.fingerprint(z)
 
 
-def test_the_command_counts_rows_in_the_pass_that_writes_them(spark, sf_small, tmp_path):
+def test_the_command_tells_how_many_rows_it_wrote(spark, sf_small, tmp_path):
     out = f"file://{tmp_path}/out"
     told = command.main(["q_source_rows", sf_small, out, "--log-level", "ERROR"])
     assert told["rows"] == spark.read.parquet(out).count() == command.main(["q_source_rows", sf_small, "--log-level", "ERROR"])["rows"]
