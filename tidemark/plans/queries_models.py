@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import probs, text
 from ..operators import aggregate, backends, density, evaluate, topics, training
 from ..session import table
+from ..sources import paged
 from ..storage import shared_folder
 from ..streaming import counts, extraction
 from .catalogue import register
@@ -169,6 +170,17 @@ def q_topics_lda(spark: SparkSession, sf: str) -> DataFrame:
     return assigned.select("doc_id", "topic", F.round("topic_weight", 4).alias("topic_weight"))
 
 
+@register("q_paged_events", "SELECT event_type, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last FROM events GROUP BY event_type")
+def q_paged_events(spark: SparkSession, sf: str) -> DataFrame:
+    """All events, laid out as sixteen pages and read back through a paged format, each page by a task."""
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    own = table(spark, sf, "events").select("event_id", "event_type", F.pmod(F.xxhash64("event_id"), F.lit(16)).cast("int").alias("page"))
+    own.repartition("page").write.partitionBy("page").json(f"{folder}/parts")
+    fetch = paged.part_files(f"{folder}/parts", ("event_id", "event_type"))
+    rows = paged.read(spark, paged.source("event_pages", "event_id long, event_type string", fetch, lambda: 16))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+
+
 class _Failing:
     """A provider that is never there for one document in ten, and not at first for another."""
 

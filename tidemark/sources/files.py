@@ -80,14 +80,19 @@ def downloaded(url: str, seconds: float = 60.0) -> str:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """One record a line; malformed lines are an error that names the first one's number in its file."""
+    """One record a line; malformed lines are an error that names the first one's number in its file. Files are read in
+    pieces, and lines counted piece by piece."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     marked = T.StructType([*kind.fields, T.StructField("_corrupt_record", T.StringType())])
     parsed, bad = F.from_json("value", marked, {"columnNameOfCorruptRecord": "_corrupt_record"}), "x is null or x._corrupt_record is not null"
-    if spark.read.text(path).where("trim(value) <> ''").select(parsed.alias("x")).where(bad).head(1):
-        files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
-        first = files.where("trim(value) <> ''").withColumn("x", parsed).where(bad).orderBy("file", "at").first()
-        raise ValueError(f"{first['file'].rsplit('/', 1)[-1]}, line {first['at'] + 1}: not a record")
+    # A line's place: its file, where its piece of the file begins, and its number in the task, which rises in a piece.
+    place = ("file", "piece", "at")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("at"))
+    first = lines.where("trim(value) <> ''").withColumn("x", parsed).where(bad).select(*place).orderBy(*place).first()
+    if first:
+        earlier = (F.col("piece") < first["piece"]) | ((F.col("piece") == first["piece"]) & (F.col("at") < first["at"]))
+        before = lines.where((F.col("file") == first["file"]) & earlier).count()
+        raise ValueError(f"{first['file'].rsplit('/', 1)[-1]}, line {before + 1}: not a record")
     return spark.read.schema(kind).option("mode", "FAILFAST").json(path)
 
 
