@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # The modules register their queries when they are imported.
-from . import queries_docs, queries_events, queries_joins, queries_models, queries_stats  # noqa: E402, F401
+from . import queries_checks, queries_docs, queries_events, queries_joins, queries_models, queries_stats  # noqa: E402, F401
