@@ -7,7 +7,7 @@ from tidemark.llm.queries import oracle_sql, queries
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_oracle(spark, sf_small, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf_small}/{t}.parquet'")
     found = con.execute(oracle_sql()[name])
     names = [d[0] for d in found.description]
