@@ -75,3 +75,20 @@ def test_machine_learns_a_pair_that_no_term_tells(spark):
     got = machine.odds(np.array([0, 2, 3, 1]), np.array([0, 0, 0, 1]), 2)
     want = 0.1 + plain[[0, 2, 3]].sum() + sum(v[i] @ v[j] for i, j in ((0, 2), (0, 3), (2, 3)))
     np.testing.assert_allclose(got, [want, 0.1 + plain[1]])
+
+
+def test_a_labelled_id_on_very_many_rows_is_learnt_from_a_bounded_sample(spark, monkeypatch):
+    """One doc_id on 60,000 rows, all different, and another on 40,000 equal ones."""
+    many = spark.range(60_000).selectExpr("0L as doc_id", "concat('insult number', id) as text")
+    equal = spark.range(40_000).selectExpr("1L as doc_id", "'plain words again' as text")
+    others = spark.range(2, 102).selectExpr("id as doc_id", "concat(if(id % 2 = 0, 'insult here ', 'kind words '), id) as text")
+    docs = many.unionByName(equal).unionByName(others)
+    labels = spark.range(102).selectExpr("id as doc_id", "cast(id % 2 = 0 as int) as toxic")
+    seen = []
+    fit = toxicity_fm.fit
+    monkeypatch.setattr(toxicity_fm, "fit", lambda columns, common, rows, y, **more: seen.append((len(rows), float(y.sum()), [r.tolist() for r in rows])) or fit(columns, common, rows, y, **more))
+    for parts in (3, 7):
+        toxicity_fm.train(docs.repartition(parts), labels, sample=500)
+    assert seen[0] == seen[1] and 400 <= seen[0][0] <= 501 and seen[0][1] > 0
+    toxicity_fm.train(equal.unionByName(others), labels, sample=500)
+    assert seen[2][0] == 101  # of equal rows one
