@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, only, ship, tidy
-from .wordcache import word_cache
+from .wordcache import forget, word_cache
 
 #: Length classes of rests; a class is as wide as sequence_length / CLASSES tokens.
 CLASSES = 256
@@ -38,7 +38,7 @@ END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int, part int, place long"
 
 
-def _pieces(path: str, size: int, width: int):
+def _pieces(path: str, size: int, width: int, remember: bool):
     """Tokenises and cuts. ``kind`` is the class (CLASSES + 1: a whole sequence), ``place`` the rank
     within this task and class, ``part`` the task's number; a task that runs again gives the same."""
 
@@ -68,6 +68,8 @@ def _pieces(path: str, size: int, width: int):
             crc = np.fromiter((zlib.crc32(raw[x:y]) for x, y in zip(at.tolist(), (at + 4 * n).tolist(), strict=True)), np.int64, len(doc))
             own = [b.column(0).take(pa.array(doc)), *map(pa.array, (start, n, crc, total[doc], kind.astype(np.int32), np.full(len(doc), part, np.int32), place))]
             yield pa.RecordBatch.from_arrays(own, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "part", "place"])
+        if not remember:
+            forget(path)
 
     return run
 
@@ -166,14 +168,18 @@ def slots(used: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int,
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = 2048) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = 2048, remember: bool = True) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    A worker remembers the words that it has met for its next task, some 100 MB at most, unless told otherwise: where
+    other stages share its machine.
+    """
     spark = docs.sparkSession
     ship(spark)
     width = -(-sequence_length // CLASSES)
     capacity = sequence_length // width
     store = Stored(spark, "cutting-stock")
-    pieces = store.keep(only(docs, "doc_id", "text").mapInArrow(tidy(_pieces(tokenizer_path, sequence_length, width)), PIECES), "pieces")
+    pieces = store.keep(only(docs, "doc_id", "text").mapInArrow(tidy(_pieces(tokenizer_path, sequence_length, width, remember)), PIECES), "pieces")
 
     # Counts per task and class turn the rank within a task into the rank within the class.
     counts = pieces.groupBy("part", "kind").agg((F.max("place") + 1).alias("n"))

@@ -314,6 +314,11 @@ class WordCache:
 _CACHES: dict[str, WordCache] = {}
 
 
+def forget(path: str) -> None:
+    """Gives up a worker's cache for a file; the next task that needs it makes a new one."""
+    _CACHES.pop(path, None)
+
+
 def word_cache(path: str) -> WordCache:
     """One cache for each file and Python worker."""
     if path not in _CACHES:
