@@ -46,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing_cutting_stock.pack(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE_LENGTH)
+    return packing_cutting_stock.pack(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE_LENGTH, remember=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
