@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import LocalLDAModel
-from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, RegexTokenizer, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from .lda import train
 
 #: The largest vocabulary that Spark can count: pruning by documents alone decides about terms.
 MOST_TERMS = 2**31 - 1
@@ -30,44 +28,11 @@ def pruned_vocabulary(docs: DataFrame, key: str, text: str, least: int, share: f
     return counts.crossJoin(F.broadcast(n)).where((F.col("documents") >= least) & (F.col("documents") <= share * F.col("n"))).drop("n")  # n is one row
 
 
-def _fit_batch(counts: DataFrame, topics: int, seed: int, iterations: int) -> LocalLDAModel:
-    """Variational Bayes over all documents in every iteration.
-
-    ``pyspark.ml`` draws each iteration's documents with replacement, so even at subsamplingRate=1 about
-    37 % of them are not in it; only the optimizer beneath can be told not to. With a decay of (almost)
-    0 an iteration replaces the topics by what all documents say instead of moving them a few per cent.
-    """
-    spark = counts.sparkSession
-    jvm = spark._jvm.org.apache.spark
-    optimizer = jvm.mllib.clustering.OnlineLDAOptimizer()
-    optimizer = optimizer.setSampleWithReplacement(False).setMiniBatchFraction(1.0).setTau0(1.0).setKappa(1e-12).setOptimizeDocConcentration(False)
-    rows = getattr(getattr(jvm.ml.clustering, "LDA$"), "MODULE$").getOldDataset(counts._jdf, "__counts")
-    fitted = jvm.mllib.clustering.LDA().setK(topics).setSeed(seed).setMaxIterations(iterations).setOptimizer(optimizer).run(rows)
-    model = LocalLDAModel(jvm.ml.clustering.LocalLDAModel(f"lda_{topics}_{seed}", fitted.vocabSize(), fitted, spark._jsparkSession))
-    return model.setFeaturesCol("__counts").setTopicDistributionCol("__topics")
-
-
-def lda(docs: DataFrame, text: str, topics: int, terms: int = 10, seed: int = 42, min_df: float = 2, max_df: float = 0.95, iterations: int = 10) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    """The model, each document's first largest topic with its weight, and each topic's leading terms."""
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="__words", pattern="[^a-zA-Z]+", minTokenLength=3),
-        StopWordsRemover(inputCol="__words", outputCol="__kept"),
-        CountVectorizer(inputCol="__kept", outputCol="__counts", minDF=min_df, maxDF=max_df, vocabSize=MOST_TERMS),
-    ]
-    counting = Pipeline(stages=stages).fit(docs)
-    counts = counting.transform(docs).select("__counts").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = PipelineModel([*counting.stages, _fit_batch(counts, topics, seed, iterations)])
-    finally:
-        counts.unpersist()
-    weights = vector_to_array("__topics")
-    assigned = model.transform(docs).withColumn("topic", (F.array_position(weights, F.array_max(weights)) - 1).cast("int")).withColumn("topic_weight", F.array_max(weights))
-    vocabulary = model.stages[2].vocabulary
-    described = model.stages[3].describeTopics(terms)
-    table = described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("position", "x"))
-    names = docs.sparkSession.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
-    leading = table.join(F.broadcast(names), F.col("x.termIndices") == F.col("i")).select("topic", (F.col("position") + 1).alias("rank"), "term", F.col("x.termWeights").alias("weight"))
-    return model, assigned.drop("__words", "__kept", "__counts", "__topics"), leading
+def lda(docs: DataFrame, text: str, topics: int, terms: int = 10, seed: int = 42, min_df: float = 2, max_df: float = 0.95, iterations: int = 10, keep: tuple[str, ...] | None = None) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """The model, each document's columns (those in ``keep``, if given) with its first largest topic and that topic's weight,
+    and each topic's leading terms."""
+    model, assigned = train(docs, text, topics, seed, min_df, max_df, iterations, keep or tuple(docs.columns))
+    return PipelineModel([model]), assigned, model.leading(terms)
 
 
 def top_terms(weights: DataFrame, topic: str, term: str, weight: str, k: int) -> DataFrame:

@@ -166,7 +166,7 @@ def q_jaccard_category(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("q_topics_lda")
 def q_topics_lda(spark: SparkSession, sf: str) -> DataFrame:
-    _, assigned, _ = topics.lda(table(spark, sf, "documents").where("text is not null"), "text", 4)
+    _, assigned, _ = topics.lda(table(spark, sf, "documents").where("text is not null"), "text", 4, keep=("doc_id",))
     return assigned.select("doc_id", "topic", F.round("topic_weight", 4).alias("topic_weight"))
 
 

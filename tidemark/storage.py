@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -34,3 +35,17 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def replaced(df: DataFrame, what: str, before: str | None = None) -> tuple[DataFrame, str]:
+    """``df``, written and read back, and its folder; then the folder before, which ``df`` may have read, goes, as do the
+    shuffles behind it, whose files Spark keeps until the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if before:
+        old = spark._jvm.org.apache.hadoop.fs.Path(before)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path), path
